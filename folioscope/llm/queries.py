@@ -5,10 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe
+from folioscope.llm import byte_bpe, languages
 from folioscope.sources.tables import table
 
 
+PROSE = ("report", "letter", "contract")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the three tables with its label, read and found."""
+    documents = table(spark, d, "documents", "doc_id", "text", "lang")
+    pages = table(spark, d, "doc_text", "doc_id", "page_number", "raw_text", "language", "document_type").where(F.col("document_type").isin(*PROSE))
+    blocks = table(spark, d, "blocks", "doc_id", "page_number", "detection_order", "raw_text", "language")
+    none = F.lit(0)
+    profiles = languages.fit_profiles(
+        table(spark, d, "subject_examples", "text", "lang").withColumnRenamed("lang", "label"),
+        pages.select(F.col("raw_text").alias("text"), F.col("language").alias("label")),
+        documents.select("text", F.col("lang").alias("label")),
+    )
+    rows = (
+        documents.select(F.lit("documents").alias("tbl"), "doc_id", none.alias("page_number"), none.alias("detection_order"), F.col("lang").alias("label"), "text")
+        .unionByName(pages.select(F.lit("doc_text").alias("tbl"), "doc_id", "page_number", none.alias("detection_order"), F.col("language").alias("label"), F.col("raw_text").alias("text")))
+        .unionByName(blocks.select(F.lit("blocks").alias("tbl"), "doc_id", "page_number", "detection_order", F.col("language").alias("label"), F.col("raw_text").alias("text")))
+    )
+    return languages.label_texts(rows.where(F.length("text") >= languages.LEAST_LETTERS), profiles)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    wrong = languages.wrong_labels(_labelled(spark, d)).select("tbl", "doc_id", "page_number", "detection_order", "lang").distinct()
+    prose = table(spark, d, "doc_text", "doc_id", "page_number", "document_type").where(F.col("document_type").isin(*PROSE)).select("doc_id", "page_number").distinct()
+    held = prose.withColumn("_prose", F.lit(True))
+    return wrong.join(held, ["doc_id", "page_number"], "left").where("tbl <> 'blocks' OR _prose").select(wrong.columns)
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every sentence of documents."""
+    documents = table(spark, d, "documents", "doc_id", "text", "lang")
+    profiles = languages.fit_profiles(
+        table(spark, d, "subject_examples", "text", "lang").withColumnRenamed("lang", "label"), documents.select("text", F.col("lang").alias("label"))
+    )
+    return languages.segment_texts(documents, profiles)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
