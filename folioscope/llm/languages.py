@@ -89,15 +89,24 @@ _INSIDE = np.zeros(0x110000, bool)
 _INSIDE[[0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, 0x640, *range(0x202A, 0x202F), *range(0x2066, 0x206A), *range(0x64B, 0x653), 0x670, *range(0x300, 0x370)]] = True
 
 
+_WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u2018-\u201e\u2020-\u2022\u2013\u2014\u2026\u2030\u2039\u203a\u20ac\u2122\u0160\u0161\u0152\u0153\u017d\u017e\u0178\u0192\u02c6\u02dc]{1,3}")
+
+
+def _bytes_of(run: str) -> bytes:
+    """Bytes that CP1252 shows as ``run``; the five bytes it leaves out, as Latin-1."""
+    return b"".join(bytes([ord(c)]) if ord(c) < 256 else c.encode("cp1252") for c in run)
+
+
+def _mend(match: re.Match) -> str:
+    try:
+        return _bytes_of(match[0]).decode("utf-8")
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return match[0]
+
+
 def mended(text: str) -> str:
-    """Text read as Latin-1 or CP1252 by mistake, put right where it decodes."""
-    if "Ã" in text or "Ø" in text or "Ù" in text or "â€" in text:
-        for wrong in ("cp1252", "latin-1"):
-            try:
-                return text.encode(wrong).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-    return text
+    """Runs of UTF-8 read as CP1252 or Latin-1 by mistake, put right wherever they decode."""
+    return _WRONG.sub(_mend, text)
 
 
 def split(text: str) -> list[str]:

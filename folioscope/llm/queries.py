@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, languages
+from folioscope.llm import byte_bpe, languages, subjects
 from folioscope.sources.tables import table
 
 
@@ -55,6 +55,20 @@ def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.count_tokens(table(spark, d, "documents", "doc_id", "text"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "text")
+    return subjects.assign(documents, subjects.mine(documents, table(spark, d, "subject_examples", "text", "subject", "lang")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and sentences of the corpus by subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("n_sentences").alias("sentences"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
