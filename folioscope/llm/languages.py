@@ -319,8 +319,14 @@ def fit_rows(rows: pd.DataFrame) -> Profiles:
 
 def fit_profiles(*labelled: DataFrame) -> Profiles:
     """Prototypes from labelled texts (text, label), TRAINING_TEXTS of each frame at most, taken by hash, and COMMON."""
-    parts = [f.where("text IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("text")).limit(TRAINING_TEXTS).select("text", "label").toPandas() for f in labelled]
-    return fit_rows(pd.concat(parts, ignore_index=True))
+    return fit_rows(pd.concat([_sample(f.where("text IS NOT NULL AND label IS NOT NULL")) for f in labelled], ignore_index=True))
+
+
+def _sample(frame: DataFrame) -> pd.DataFrame:
+    """The TRAINING_TEXTS rows of the least hashes; every task drops at once those that are surely beyond them."""
+    share = min(1.0, 4 * TRAINING_TEXTS / max(frame.count(), 1))
+    spot = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    return frame.select("text", "label").where(spot <= share).orderBy(F.xxhash64("text")).limit(TRAINING_TEXTS).toPandas()
 
 
 FOUND = "tbl STRING, doc_id BIGINT, page_number INT, detection_order INT, lang STRING, confidence DOUBLE, letters INT, margin DOUBLE, labelled STRING"
