@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, languages, subjects
+from folioscope.llm import addresses, byte_bpe, languages, names, strings, subjects
 from folioscope.sources.tables import table
 
 
@@ -47,6 +47,37 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment_texts(documents, profiles)
 
 
+def _buildings(spark: SparkSession, d: str) -> DataFrame:
+    cards = table(spark, d, "fields", "doc_id", "extractor", "field_name", "value").where("extractor = 'IDCardExtractor' AND field_name = 'address'")
+    return addresses.buildings(cards.select("doc_id", "value"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return strings.pairs(_buildings(spark, d), "building")
+
+
+def p3_buildings(spark: SparkSession, d: str) -> DataFrame:
+    """Every card with its building and the number of the building's other cards."""
+    cards = _buildings(spark, d)
+    sizes = cards.groupBy("building").agg(F.countDistinct("doc_id").alias("cards"))
+    return cards.join(sizes, "building").select("doc_id", "building", (F.col("cards") - 1).alias("links"))
+
+
+def _persons(spark: SparkSession, d: str) -> DataFrame:
+    return names.persons(table(spark, d, "fields", "doc_id", "extractor", "field_name", "value"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return strings.pairs(_persons(spark, d), "person")
+
+
+def p7_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Every upload with its person and the number of the person's other uploads."""
+    persons = _persons(spark, d)
+    sizes = persons.groupBy("person").agg(F.countDistinct("doc_id").alias("uploads"))
+    return persons.join(sizes, "person").select("doc_id", "person", (F.col("uploads") - 1).alias("links"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
