@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import addresses, byte_bpe, languages, names, strings, subjects
+from folioscope.llm import addresses, byte_bpe, languages, names, packing, strings, subjects
 from folioscope.sources.tables import table
 
 
@@ -86,6 +86,18 @@ def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.count_tokens(table(spark, d, "documents", "doc_id", "text"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(p8_lengths(spark, d), table(spark, d, "containers", "container_kind", "capacity"))
+
+
+def p9_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p9_filling(spark: SparkSession, d: str) -> DataFrame:
+    return packing.filling(_packed(spark, d), table(spark, d, "containers", "container_kind", "capacity"))
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents", "doc_id", "text")
     return subjects.assign(documents, subjects.mine(documents, table(spark, d, "subject_examples", "text", "subject", "lang")))
