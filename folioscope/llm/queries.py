@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import addresses, byte_bpe, languages, names, packing, strings, subjects
+from folioscope.llm import addresses, byte_bpe, languages, names, packing, page_noise, strings, subjects
 from folioscope.sources.tables import table
 
 
@@ -63,6 +63,20 @@ def p3_buildings(spark: SparkSession, d: str) -> DataFrame:
     return cards.join(sizes, "building").select("doc_id", "building", (F.col("cards") - 1).alias("links"))
 
 
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "doc_text", "doc_id", "page_number", "document_type", "raw_text")
+    return pages.where(F.col("document_type").isin(*PROSE)).select("doc_id", "page_number", "raw_text").distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_noise.noisy_lines(_prose(spark, d))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of reports, letters and contracts as continuous readable paragraphs."""
+    return page_noise.paragraphs(_prose(spark, d))
+
+
 def _persons(spark: SparkSession, d: str) -> DataFrame:
     return names.persons(table(spark, d, "fields", "doc_id", "extractor", "field_name", "value"))
 
