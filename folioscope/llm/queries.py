@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import addresses, byte_bpe, languages, names, packing, page_noise, strings, subjects
+from folioscope.llm import addresses, byte_bpe, languages, names, packing, page_noise, personal, strings, subjects
 from folioscope.sources.tables import table
 
 
@@ -38,6 +38,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return wrong.join(held, ["doc_id", "page_number"], "left").where("tbl <> 'blocks' OR _prose").select(wrong.columns)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "doc_text", "doc_id", "page_number", "document_type", *personal.FIELDS)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find(_texts(spark, d)).select("doc_id", "page_number", "field", "pii_type", "start_pos")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of pages with typed placeholders."""
+    return personal.redact(_texts(spark, d))
+
+
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of every sentence of documents."""
     documents = table(spark, d, "documents", "doc_id", "text", "lang")
