@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.operators import nested, timestamps
+from folioscope.plans import reference_queries
 from folioscope.sources.tables import table
 
 
@@ -42,4 +43,8 @@ def queries() -> dict:
     found = {"p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found, "p5_shapes": p5_shapes}
     for name in nested.SUBTYPES:
         found[f"p5_{name}"] = lambda spark, d, name=name: nested.subtype(_nodes(spark, d), name)
-    return found
+    return reference_queries.QUERIES | found
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(reference_queries.SQL)
