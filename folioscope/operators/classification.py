@@ -65,6 +65,10 @@ def signals(text: Column, width: Column, height: Column, tables: Column, weights
     return out
 
 
+#: Columns that classification gives; columns of these names in the input give way.
+OUTPUTS = ("category", "confidence", "score", "signals", "scores")
+
+
 def classify(pages: DataFrame, text: str = "text", width: str | None = "width", height: str | None = "height", tables: str | None = None, weights: Weights = Weights()) -> DataFrame:
     """Adds ``category, confidence, score, signals, scores`` to pages; no shuffle, one projection per step.
 
@@ -98,7 +102,7 @@ def classify(pages: DataFrame, text: str = "text", width: str | None = "width",
     named = F.when(empty, F.array(F.lit("empty_input"))).when(sparse, F.array(F.lit("sparse_text_word_count_le_4"))).otherwise(F.array_distinct(F.transform("_hits", lambda h: h["signal"])))
     positive = F.map_from_entries(F.transform(F.filter("_scores", lambda s: s["score"] > 0), lambda s: F.struct(s["category"], F.round(s["score"], 2))))
     return base.select(
-        *pages.columns, category.alias("category"), confidence.alias("confidence"), F.when(scored, best).otherwise(0.0).alias("score"), named.alias("signals"),
+        *(c for c in pages.columns if c not in OUTPUTS), category.alias("category"), confidence.alias("confidence"), F.when(scored, best).otherwise(0.0).alias("score"), named.alias("signals"),
         F.when(scored, positive).otherwise(F.create_map().cast("map<string,double>")).alias("scores"),
     )
 

@@ -597,7 +597,8 @@ def provenance(fields: DataFrame, page_lines: DataFrame) -> DataFrame:
     by = lambda needle: F.try_element_at(F.filter("_lines", lambda v: F.contains(v["text"], needle)), F.lit(1))
     source = F.when(value != "", F.coalesce(by(value), by(label)))
     out = joined.withColumn("_at", source)
-    return out.select(*fields.columns, F.col("_at.line_number").alias("source_line"), "_at.left", "_at.top", "_at.right", "_at.bottom", F.when(F.col("_at.confidence") > 0, F.col("_at.confidence")).alias("line_confidence"))
+    new = ("source_line", "left", "top", "right", "bottom", "line_confidence")
+    return out.select(*(c for c in fields.columns if c not in new), F.col("_at.line_number").alias("source_line"), "_at.left", "_at.top", "_at.right", "_at.bottom", F.when(F.col("_at.confidence") > 0, F.col("_at.confidence")).alias("line_confidence"))
 
 
 def legacy_id(pages: DataFrame, as_of: str = AS_OF) -> DataFrame:

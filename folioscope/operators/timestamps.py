@@ -210,7 +210,7 @@ def resolve_dates(values: DataFrame, source: str, order: str) -> DataFrame:
     pick = F.filter("_all", lambda r: r["format"] == F.col("format"))[0]
     return (
         joined.withColumn("_pick", pick)
-        .select(*values.columns, "_pick.day", "_pick.second", "_pick.offset", "format", "posterior", (F.col("posterior") < DECIDED).alias("ambiguous"))
+        .select(*(c for c in values.columns if c not in ("day", "second", "offset", "format", "posterior", "ambiguous")), "_pick.day", "_pick.second", "_pick.offset", "format", "posterior", (F.col("posterior") < DECIDED).alias("ambiguous"))
     )
 
 

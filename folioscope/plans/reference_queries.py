@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import constants as C
 from folioscope.functions import text as T
 from folioscope.functions import validation as V
-from folioscope.operators import classification, evaluation, extraction, layout, recognition
+from folioscope.operators import classification, evaluation, extraction, images, layout, recognition
 from folioscope.sources import uploads as U
 from folioscope.sources.tables import table
 
@@ -774,3 +775,30 @@ def q_pixel_guard(spark: SparkSession, d: str) -> DataFrame:
     pages = _texts(spark, d, "width", "height").where("width IS NOT NULL AND height IS NOT NULL").distinct()
     return U.pages_within_pixels(pages).select("doc_id", *big("page_number", "running_pixels"))
 
+
+
+# ---- images (I1-I8) -----------------------------------------------------------------------------------------------
+def _drawn(spark: SparkSession) -> DataFrame:
+    """Images of every kind that the thresholds part: flat, half dark, lines of text, the same shadowed, small, unreadable."""
+    white = np.full((400, 600), 255, np.uint8)
+    text = white.copy()
+    for y in range(40, 360, 30):
+        text[y : y + 8, 50:550:3] = 0
+    half = white.copy()
+    half[:, 300:] = 20
+    shadow = (text * np.linspace(0.4, 1, 600)[None, :]).astype(np.uint8)
+    rows = [(i, (a.shape[0], a.shape[1], 1, a.tobytes())) for i, a in enumerate((white, text, half, shadow, text[:100, :120]))] + [(5, (-1, -1, -1, b""))]
+    return spark.createDataFrame(rows, "doc_id BIGINT, image STRUCT<height INT, width INT, nChannels INT, data BINARY>")
+
+
+@query()
+def q_image_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality and skew of drawn images."""
+    return images.quality(_drawn(spark)).select("doc_id", "quality.*")
+
+
+@query()
+def q_image_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What preprocessing would do to drawn images."""
+    found = images.measured(_drawn(spark)).where("image.height > 0")
+    return found.select("doc_id", images.plan(F.col("image.width"), F.col("image.height"), F.col("measures")).alias("p")).select("doc_id", "p.*")
