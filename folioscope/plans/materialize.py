@@ -21,3 +21,17 @@ def cut(frame: DataFrame) -> DataFrame:
     """``frame`` written once to the reliable checkpoint folder and read from there by every consumer."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+#: Estimated bytes of input for each core under which a frame is spread over all cores.
+SMALL = 64 * 1024 * 1024
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A small frame dealt over all cores, so that one file of one row group does not leave the work to one task.
+
+    Larger inputs have splits enough and are left alone: a corpus is never shuffled for this.
+    """
+    context = frame.sparkSession.sparkContext
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(2 * context.defaultParallelism) if size < SMALL * context.defaultParallelism else frame
