@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import addresses, byte_bpe, languages, names, packing, page_noise, personal, strings, subjects
+from folioscope.plans.materialize import spread
 from folioscope.sources.tables import table
 
 
@@ -39,7 +40,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_text", "doc_id", "page_number", "document_type", *personal.FIELDS)
+    return spread(table(spark, d, "doc_text", "doc_id", "page_number", "document_type", *personal.FIELDS))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +107,11 @@ def p7_persons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return byte_bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
+    return byte_bpe.encode_corpus(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
 def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return byte_bpe.count_tokens(table(spark, d, "documents", "doc_id", "text"))
+    return byte_bpe.count_tokens(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +127,7 @@ def p9_filling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents", "doc_id", "text")
+    documents = spread(table(spark, d, "documents", "doc_id", "text"))
     return subjects.assign(documents, subjects.mine(documents, table(spark, d, "subject_examples", "text", "subject", "lang")))
 
 
