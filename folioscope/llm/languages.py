@@ -341,6 +341,8 @@ def label_texts(frame: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             found = decide(shared.value, batch["text"].tolist())
             found = [f if f[2] < LEAST_LETTERS or bears_language(t) else (None, 0.0, 0, 0.0) for f, t in zip(found, batch["text"])]
             out = batch[["tbl", "doc_id", "page_number", "detection_order"]].copy()
@@ -372,8 +374,10 @@ def segment_texts(frame: DataFrame, profiles: Profiles) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(d, i, s) for d, t in zip(batch["doc_id"], batch["text"]) if t for i, s in enumerate(split(t))]
+            if not rows:
+                continue
             found = pd.DataFrame(rows, columns=["doc_id", "segment", "text"])
-            scores, letters = shared.value.segments(found["text"].tolist()) if rows else (np.zeros((0, 1)), np.zeros(0))
+            scores, letters = shared.value.segments(found["text"].tolist())
             power = np.exp(HEAT * (scores - scores.max(1, keepdims=True)))
             known = letters > 0
             found["lang"] = [shared.value.languages[k] if ok else None for k, ok in zip(scores.argmax(1), known)]
