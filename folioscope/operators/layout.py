@@ -6,6 +6,8 @@ blocks into lines depends on a running mean and is a fold over the page's blocks
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,19 +31,34 @@ def clustered_lines(blocks: DataFrame) -> DataFrame:
 
     Blocks need the columns of ``recognition.boxed`` and a detection_order that is unique on the page.
     """
-    entry = F.struct("top", "detection_order", "cy", F.greatest("height", F.lit(LEAST_HEIGHT)).alias("h"))
-    page = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    entry = F.struct("top", "detection_order", "cy", F.greatest("height", F.lit(LEAST_HEIGHT)).alias("h"), F.struct(*blocks.columns).alias("block"))
+    page = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(entry), _by("top")).alias("_all"))
     page = page.withColumn("_near", LINE_TOLERANCE * upper_median(F.transform("_all", lambda b: b["h"])))
-    start = F.struct(F.lit(1).alias("line"), F.col("_all")[0]["cy"].alias("mean"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<struct<detection_order:int,line:int,place:int>>").alias("out"))
+    start = F.struct(F.lit(1).alias("line"), F.col("_all")[0]["cy"].alias("mean"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(state: Column, b: Column) -> Column:
         joins = F.abs(b["cy"] - state["mean"]) <= F.col("_near")
         line, total, n = F.when(joins, state["line"]).otherwise(state["line"] + 1), F.when(joins, state["total"] + b["cy"]).otherwise(b["cy"]), F.when(joins, state["n"] + 1).otherwise(1)
-        placed = F.struct(b["detection_order"].alias("detection_order"), line.alias("line"), (F.size(state["out"]) + 1).alias("place"))
-        return F.struct(line.alias("line"), (total / n).alias("mean"), total.alias("total"), n.alias("n"), F.concat(state["out"], F.array(placed)).alias("out"))
+        return F.struct(line.alias("line"), (total / n).alias("mean"), total.alias("total"), n.alias("n"), F.concat(state["out"], F.array(line)).alias("out"))
+
+    return _unfolded(page.withColumn("_lines", F.aggregate("_all", start, step, lambda s: s["out"])), blocks.columns)
+
+
+def _by(first: str) -> Callable[[Column, Column], Column]:
+    """Order of blocks by a coordinate, then by detection."""
+
+    def compare(a: Column, b: Column) -> Column:
+        less = (a[first] < b[first]) | ((a[first] == b[first]) & (a["detection_order"] < b["detection_order"]))
+        return F.when(less, -1).when((a[first] == b[first]) & (a["detection_order"] == b["detection_order"]), 0).otherwise(1)
 
-    placed = page.select(*PAGE, F.explode(F.aggregate("_all", start, step, lambda s: s["out"])).alias("p")).select(*PAGE, "p.*")
-    return blocks.join(placed, [*PAGE, "detection_order"])
+    return compare
+
+
+def _unfolded(page: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks of folded pages with their line and place: the blocks ride in the fold's array, so no join follows."""
+    each = page.select(*PAGE, F.posexplode(F.arrays_zip(F.col("_all"), F.col("_lines").alias("_lines"))).alias("place", "_e"))
+    # the keys stay the grouping's own, so that later windows need no exchange
+    return each.select(*(F.col(c) if c in PAGE else F.col("_e._all.block")[c].alias(c) for c in columns), F.col("_e._lines").alias("line"), (F.col("place") + 1).alias("place"))
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -70,17 +87,16 @@ def engine_order(blocks: DataFrame) -> DataFrame:
     """The recognizer's own order: blocks join a line while near its first block, each line from the right."""
     centre = lambda axis: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[axis]) / 4
     base = blocks.withColumns({"_y": centre("y"), "_x": centre("x")})
-    page = base.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("_y", "detection_order", "height"))).alias("_all"))
-    start = F.struct(F.lit(1).alias("line"), F.col("_all")[0]["_y"].alias("first"), F.array().cast("array<struct<detection_order:int,line:int,place:int>>").alias("out"))
+    entry = F.struct("_y", "detection_order", "height", F.struct(*base.columns).alias("block"))
+    page = base.groupBy(*PAGE).agg(F.array_sort(F.collect_list(entry), _by("_y")).alias("_all"))
+    start = F.struct(F.lit(1).alias("line"), F.col("_all")[0]["_y"].alias("first"), F.array().cast("array<int>").alias("out"))
 
     def step(state: Column, b: Column) -> Column:
         joins = (F.abs(b["_y"] - state["first"]) < b["height"] * ENGINE_TOLERANCE) | (F.size(state["out"]) == 0)
         line, first = F.when(joins, state["line"]).otherwise(state["line"] + 1), F.when(joins, state["first"]).otherwise(b["_y"])
-        placed = F.struct(b["detection_order"].alias("detection_order"), line.alias("line"), (F.size(state["out"]) + 1).alias("place"))
-        return F.struct(line.alias("line"), first.alias("first"), F.concat(state["out"], F.array(placed)).alias("out"))
+        return F.struct(line.alias("line"), first.alias("first"), F.concat(state["out"], F.array(line)).alias("out"))
 
-    placed = page.select(*PAGE, F.explode(F.aggregate("_all", start, step, lambda s: s["out"])).alias("p")).select(*PAGE, "p.*")
-    joined = base.join(placed, [*PAGE, "detection_order"])
+    joined = _unfolded(page.withColumn("_lines", F.aggregate("_all", start, step, lambda s: s["out"])), base.columns)
     order = W.partitionBy(*PAGE).orderBy("line", F.col("_x").desc(), "place")
     return joined.withColumn("line_number", F.col("line")).withColumn("reading_order", F.row_number().over(order)).drop("_x", "_y", "line", "place")
 
@@ -89,8 +105,13 @@ def _joined(column: str, separator: str, order: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(column, F.lit("")).alias("t")))), lambda x: x["t"]), separator)
 
 
-def lines(ordered: DataFrame) -> DataFrame:
-    """Lines of blocks in reading order: text, box, mean confidence, language, direction."""
+def lines(ordered: DataFrame, local: bool = False) -> DataFrame:
+    """Lines of blocks in reading order: text, box, mean confidence, language, direction.
+
+    ``local`` says that pages already lie whole in partitions, as after ``reading_order``; else they are brought there by
+    one exchange, which serves everything that follows.
+    """
+    ordered = ordered if local else ordered.repartition(*PAGE)
     raw = F.when(F.coalesce(F.col("raw_text"), F.lit("")) == "", F.col("text")).otherwise(F.col("raw_text"))
     out = ordered.withColumn("_raw", raw).groupBy(*PAGE, "line_number").agg(
         _joined("text", " ", "reading_order").alias("text"), _joined("_raw", " ", "reading_order").alias("raw_text"), F.avg("confidence").alias("confidence"),
@@ -111,8 +132,8 @@ def _header(text: Column, height: Column, median: Column) -> Column:
 
 def paragraphs_of_lines(page_lines: DataFrame) -> DataFrame:
     """Adds is_header and block_id to lines: a paragraph ends at headers and at wide gaps."""
-    median = page_lines.groupBy(*PAGE).agg(F.median("height").alias("_median"))
-    base = page_lines.join(median, list(PAGE)).withColumn("is_header", _header(F.col("text"), F.col("height"), F.col("_median")))
+    base = page_lines.withColumn("_median", F.median("height").over(W.partitionBy(*PAGE)))
+    base = base.withColumn("is_header", _header(F.col("text"), F.col("height"), F.col("_median")))
     order = W.partitionBy(*PAGE).orderBy("line_number")
     gap = F.greatest(F.lit(0.0), F.col("top") - F.lag("bottom").over(order))
     new = F.lag("line_number").over(order).isNull() | F.col("is_header") | F.lag("is_header").over(order) | (gap > F.col("_median") * GAP)

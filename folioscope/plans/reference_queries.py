@@ -12,6 +12,7 @@ from folioscope.functions import constants as C
 from folioscope.functions import text as T
 from folioscope.functions import validation as V
 from folioscope.operators import classification, evaluation, extraction, images, layout, recognition
+from folioscope.plans.materialize import spread
 from folioscope.sources import uploads as U
 from folioscope.sources.tables import table
 
@@ -414,14 +415,14 @@ _SPARSE = f"n <= 4 AND NOT {any_('low', C.SPARSE_EXCEPTIONS)}"
   round(CASE WHEN x = '' OR ({_SPARSE}) THEN 0 ELSE best END, 6) AS score FROM ({_CLASS})""")
 def q_classify(spark: SparkSession, d: str) -> DataFrame:
     """Category, confidence and score of every page."""
-    pages = _texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text")
+    pages = spread(_texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text"))
     return classification.classify(pages).select("doc_id", *big("page_number"), "category", r6("confidence").alias("confidence"), r6("score").alias("score"))
 
 
 @query()
 def q_classify_signals(spark: SparkSession, d: str) -> DataFrame:
     """The signals of every page's class."""
-    pages = _texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text")
+    pages = spread(_texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text"))
     return classification.classify(pages).select("doc_id", *big("page_number"), "category", F.explode("signals").alias("signal"))
 
 
@@ -698,7 +699,7 @@ def q_char_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_text_metrics(spark: SparkSession, d: str) -> DataFrame:
     """M2: character and word errors of the clean text of every page against its raw text."""
-    pages = _texts(spark, d, "raw_text", "normalized_text").distinct()
+    pages = spread(_texts(spark, d, "raw_text", "normalized_text").distinct())
     return evaluation.text_metrics(pages, "raw_text", "normalized_text").drop("raw_text", "normalized_text")
 
 
