@@ -118,6 +118,8 @@ def readings(value: str | None) -> tuple[tuple[str, str, int | None, int | None]
             at = clock(m[4])
             return (("iso_datetime", day, *at),) if at else ()
     if text.isdecimal():
+        if len(text) > 13:
+            return ()
         n = int(text)
         if len(text) == 8:
             found = [("ymd_digits", _day(n // 10000, n // 100 % 100, n % 100))]
