@@ -62,7 +62,7 @@ COMMON = {
     "ar": "في من على إلى عن أن التي الذي هذا هذه ما لا كان كانت قد مع بعد قبل ثم أو كل حتى لم لن بين عند غير ذلك هو هي كما حيث",
 }
 
-_TAGS = re.compile(r"<[^<>]{1,80}>|&#?\w{2,8};|https?://\S+|\S+(?:[@＠©]|[(\[]at[)\]])\S+")
+_TAGS = re.compile(r"<[^<>]{1,80}>|&#?\w{2,8};|https?://\S+|(?<!\S)[^\s@＠©(\[]{1,100}(?:[@＠©]|[(\[]at[)\]])\S{1,200}")
 _SENTENCE = re.compile(r"(?<=[.!?؟…])[\s\"'»)\]]+|\n\s*\n|(?:\s*<br\s*/?>\s*)+|\s+[/|–—•]\s+")
 
 

@@ -42,6 +42,8 @@ CANDIDATES = 6
 #: Probability from which a replacement or a join counts.
 MISREAD, JOINED = 0.5, 0.5
 SEED = 11
+#: Words that a task counts before it passes them on.
+HELD = 300_000
 
 # Characters that scanners take for each other.
 CONFUSED = ["0oOQ", "1lIi|!", "5sS", "9gq", "8B", "ce", "hb", "t†f", "a@", "uv", "nu", "2zZ", "6bG", "oc", "ij", "بتثنيى", "جحخچ", "دذ", "رز", "سش", "صض", "طظ", "عغ", "فق", "هة", "اأإآ", "وؤ", "كگ"]
@@ -60,7 +62,7 @@ _LETTERS = re.compile(r"[^\W\d_]+(?:[-‑][^\W\d_]+)*")
 _PAGE = re.compile(r"^[\W_]*(?:(?:page|pages|p|pg|seite|s|pág|página|صفحة|ص)\W{0,3})?(?:\d{1,4}(?:\s*(?:/|of|von|de|sur|من)\s*\d{1,4})?|[ivxlc]{1,7})[\W_]*$", re.I)
 _TAIL = re.compile(r"(?:^|\s+[|–—-]?\s*|\s*\|\s*)((?:[\[(—–-]\s*)?(?:(?:page|p|seite|s|pág|página|صفحة)\W{0,3})?\d{1,4}(?:\s*(?:/|of|von|de|sur|من)\s*\d{1,4})?(?:\s*[\])—–-])?|\b[ivxlc]{1,7})\s*$", re.I)
 _ROMAN = re.compile(r"^(?=.)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
-_MAIL = re.compile(r"\S*(?:[@＠©]|\(at\)|\[at\])\S*\.\S+")
+_MAIL = re.compile(r"(?:[@＠©]|\(at\)|\[at\])\S{0,200}\.\S")
 
 
 def visible(line: str) -> str:
@@ -120,6 +122,9 @@ COUNTS = "kind STRING, doc_id BIGINT, word STRING, n BIGINT, upper BIGINT"
 def corpus_counts(pages: DataFrame) -> DataFrame:
     """Words of all pages (kind 'word'), with how many begin upper case inside a line, and keys of edge lines."""
 
+    def rows_of(words: Counter, upper: Counter, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows + [("word", 0, w, n, upper[w]) for w, n in words.items()], columns=["kind", "doc_id", "word", "n", "upper"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words, upper, rows = Counter(), Counter(), []
@@ -139,8 +144,10 @@ def corpus_counts(pages: DataFrame) -> DataFrame:
                                 words[low] += 1
                                 upper[low] += i > 0 and part[0].isupper()
                     after = open_ if found else after
-            rows += [("word", 0, w, n, upper[w]) for w, n in words.items()]
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "word", "n", "upper"])
+                if len(words) + len(rows) > HELD:
+                    yield rows_of(words, upper, rows)
+                    words, upper, rows = Counter(), Counter(), []
+            yield rows_of(words, upper, rows)
 
     found = pages.select("doc_id", "raw_text").mapInPandas(run, COUNTS)
     return found.groupBy("kind", "doc_id", "word").agg(F.sum("n").alias("n"), F.sum("upper").alias("upper"))

@@ -33,6 +33,8 @@ TRAINING_PAGES = 1500
 #: and a common word; at most 1 / share words each.
 LEAST = {"given": (5e-4, 2), "named": (4e-3, 4), "word": (1e-5, 5)}
 THRESHOLD = 0.5
+#: Words that a task counts before it passes them on.
+HELD = 300_000
 
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠⁦-⁩﻿ـ]")
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:[-'’]\n?[^\W\d_]+)*"
@@ -45,7 +47,7 @@ OTHER_CUES = "order lot los lote vorgang commande pedido article artikel artícu
 _PHONE, _ID, _OTHER = (frozenset(x.split()) for x in (PHONE_CUES, ID_CUES, OTHER_CUES))
 
 _MAIL = re.compile(
-    r"[A-Za-z0-9][A-Za-z0-9._+\-]*(?:[@＠©]|\((?:at|AT)\)|\[(?:at|AT)\]| [@＠©] | ?\[(?:at|AT)\] ?| ?\((?:at|AT)\) ?)[A-Za-z0-9\-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9\-]+)*(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z]{2,}"
+    r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9][A-Za-z0-9._+\-]{0,63}(?:[@＠©]|\((?:at|AT)\)|\[(?:at|AT)\]| [@＠©] | ?\[(?:at|AT)\] ?| ?\((?:at|AT)\) ?)[A-Za-z0-9\-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9\-]+)*(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z]{2,}"
 )
 # Ways that telephone numbers are written, and identity numbers.
 PHONES = [
@@ -350,6 +352,9 @@ def fit(pages: DataFrame) -> Finder:
                         words = re.findall(r"[^\W\d_]+", folded(line[m.end() :]))
                         counts.update(("named", w) for w in words if (len(w) > 2 or (len(w) == 2 and w > "؀")) and not w.startswith("ال"))
                     counts.update(("word", w) for w in re.findall(r"(?<![^\W\d_])[a-zß-ÿ؀-ۿ][^\W\d_A-Z]+", line))
+                if len(counts) > HELD:
+                    yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "word", "n"])
+                    counts = Counter()
             yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "word", "n"])
 
     base = pages.where("raw_text IS NOT NULL").select("document_type", "raw_text")

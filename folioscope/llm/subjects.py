@@ -50,6 +50,8 @@ LEAST_SHARE = 1e-5
 #: Scores tried as threshold of a sentence; the one that suits the examples best holds.
 THRESHOLDS = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6]
 SENTENCES = 2
+#: Runs that a task counts before it passes them on.
+HELD = 300_000
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _END = re.compile(r"(?<=[.!?؟…])[\s\"'»)\]]+|[\r\n]+")
@@ -199,6 +201,10 @@ def corpus_counts(texts: DataFrame, matcher: Matcher, profiles: Profiles) -> Dat
     and of the texts' other sentences on the subject, so that copies and templates count once."""
     shared = texts.sparkSession.sparkContext.broadcast((matcher, profiles))
 
+    def rows_of(counts: dict[tuple, list]) -> pd.DataFrame:
+        rows = [(*k, n, *(b - (1 << 64) if b >> 63 else b for b in bits)) for k, (n, *bits) in counts.items()]
+        return pd.DataFrame(rows, columns=["lang", "run", "subject", "n", "cells", "places"]).astype({"n": "int64", "cells": "int64", "places": "int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match, profile = shared.value
         for batch in batches:
@@ -225,8 +231,10 @@ def corpus_counts(texts: DataFrame, matcher: Matcher, profiles: Profiles) -> Dat
                             entry[0] += 1
                             entry[1] |= cell
                             entry[2] |= place
-            rows = [(*k, n, *(b - (1 << 64) if b >> 63 else b for b in bits)) for k, (n, *bits) in counts.items()]
-            yield pd.DataFrame(rows, columns=["lang", "run", "subject", "n", "cells", "places"]).astype({"n": "int64", "cells": "int64", "places": "int64"})
+                if len(counts) > HELD:
+                    yield rows_of(counts)
+                    counts = {}
+            yield rows_of(counts)
 
     return texts.where("text IS NOT NULL").select("text").mapInPandas(run, COUNTS).groupBy("lang", "run", "subject").agg(F.sum("n").alias("n"), F.bit_or("cells").alias("cells"), F.bit_or("places").alias("places"))
 
