@@ -37,8 +37,10 @@ SHORT = {
 TITLES = frozenset("dr mr mrs ms miss prof eng ing sir herr frau mme mlle m.lle sr sra srta don doña dott السيد السيده الدكتور الدكتوره المهندس المهندسه الاستاذ الاستاذه".split())
 #: Share of all known given words that makes a word a common given name: at most 1 / GIVEN_SHARE words.
 GIVEN_SHARE = 5e-4
-#: Surnames with so many given names each are names of their own, however near to each other.
-ESTABLISHED = 3
+#: A misspelling holds this share of the uploads of both spellings at most (with this many standard errors to spare).
+TYPED_SHARE, ERRORS = 0.2, 2.33
+#: Chance under which given names that two spellings share are no coincidence.
+COINCIDENCE = 0.05
 
 _DROP = re.compile(r"[ـً-ْٰ​-‏‪-‮⁦-⁩﻿­'’`]")
 _ARABIC = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ی": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "چ": "ج", "گ": "ك", "ک": "ك", "پ": "ب", "ء": None})
@@ -209,13 +211,43 @@ def persons(fields: DataFrame) -> DataFrame:
     return members.join(roots, members["node"] == roots["id"], "left").select("doc_id", F.coalesce("root", "node").alias("person")).distinct()
 
 
+def _spellings(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (a, b) of near surnames that may be spellings of one.
+
+    Either the rarer is no more frequent than misspellings are, or most of its given names stand under the other too, and
+    that is no coincidence: by the share that the other's given names have of everyone else's. All are shares, so more
+    copies of the same uploads change nothing that is clear. Surnames with initials only give no evidence against.
+    """
+    held = nodes.where(F.length("g") > 1).groupBy("s", "g").agg(F.sum("n").alias("n"))
+    every = held.groupBy("g").agg(F.sum("n").alias("every"))
+    uploads = nodes.groupBy("s").agg(F.sum("n").alias("n"))
+    full = held.join(every, "g").groupBy("s").agg(F.sum("n").alias("full"), F.count("*").alias("givens"), F.sum(F.col("every") - F.col("n")).alias("others"))
+    sizes = cut(uploads.join(full, "s", "left").fillna(0, ["full", "givens", "others"]))
+    total = sizes.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
+    x = sizes.select(F.col("s").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "full", "givens", "others")))
+    y = sizes.select(F.col("s").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", "full", "givens", "others")))
+    both = near.join(x, "a").join(y, "b")
+    rare, swap = F.least("n_a", "n_b"), F.col("n_a") < F.col("n_b")
+    share = TYPED_SHARE * (F.col("n_a") + F.col("n_b"))
+    both = cut(both.withColumn("typed", (rare <= share + ERRORS * F.sqrt(share * (1 - TYPED_SHARE))) | (F.when(swap, F.col("givens_a")).otherwise(F.col("givens_b")) == 0)))
+    # given names of the rarer (r) that stand under the other (o)
+    open_ = both.where(~F.col("typed"))
+    first = lambda c, o, r: F.when(swap, F.col(f"{c}_a" if r else f"{c}_b")).otherwise(F.col(f"{c}_b" if r else f"{c}_a")).alias(o)
+    turned = open_.select(
+        "a", "b", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("r"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("o"),
+        first("givens", "givens", True), first("others", "others", False), (total - F.col("full_a") - F.col("full_b")).alias("rest"),
+    )
+    own, theirs = held.select(F.col("s").alias("r"), "g", F.col("n").alias("shared")), held.select(F.col("s").alias("o"), "g")
+    met = turned.join(own, "r").join(theirs, ["o", "g"]).groupBy("a", "b").agg(F.count("*").alias("same"), F.sum("shared").alias("shared"), F.first("givens").alias("givens"), F.first("others").alias("others"), F.first("rest").alias("rest"))
+    chance = (F.col("others") - F.col("shared")) / F.greatest(F.col("rest"), F.lit(1))
+    agreed = met.where((F.col("same") >= F.col("givens") * (1 + chance) / 2) & (F.pow(chance, F.col("same")) <= COINCIDENCE))
+    return both.where("typed").select("a", "b").unionByName(agreed.select("a", "b"))
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes of names that denote one person."""
     agree = (F.col("x.m1") == "") | (F.col("y.m1") == "") | (F.col("x.m1") == F.col("y.m1"))
-    near = segment_join(nodes, "s")
-    rich = nodes.where(F.length("g") > 1).groupBy("s").agg(F.countDistinct("g").alias("givens"))
-    near = near.join(rich.select(F.col("s").alias("a"), F.col("givens").alias("ga")), "a", "left").join(rich.select(F.col("s").alias("b"), F.col("givens").alias("gb")), "b", "left")
-    near = cut(near.where(~((F.coalesce("ga", F.lit(0)) >= ESTABLISHED) & (F.coalesce("gb", F.lit(0)) >= ESTABLISHED))).select("a", "b"))
+    near = cut(_spellings(nodes, segment_join(nodes, "s")))
     # every surname with itself and with those near it
     other = near.select(F.col("a").alias("s"), F.col("b").alias("t")).union(near.select(F.col("b").alias("s"), F.col("a").alias("t")))
     full, short = nodes.where(F.length("g") > 1), nodes.where(F.length("g") == 1)

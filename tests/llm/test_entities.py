@@ -83,3 +83,30 @@ def test_building_parts(spark):
     assert addresses.parse("90 ط. القوارب الكبير ش15 قسم كاتوكيجو ١٠٣٨٢")[:2] == ("90", "10382") and addresses.parse("Losizaweg 79 / Wohnung 14, 10042 Vemasustadt")[:3] == ("79", "10042", ["losiza", "weg", "vemasustadt"])
     assert addresses.parse("Flat 7 131  Dusapi Av. - 10210")[:2] == ("131", "10210") and addresses.parse("51 Veveru RdRubeseford10701")[:3] == ("51", "10701", ["veveru", "rd", "rubeseford"]) and addresses.parse(None) is None
     assert addresses.buildings(spark.createDataFrame([], "doc_id BIGINT, value STRING")).count() == 0
+
+
+FIELD_ROWS = "doc_id BIGINT, extractor STRING, field_name STRING, value STRING"
+
+
+def _linked(spark, names_of):
+    """Whether the uploads of two surnames that bear one given name are one person, among others of other names."""
+    rows = []
+    for surname, givens in names_of:
+        for given in givens:
+            doc = len(rows) // 2
+            rows += [(doc, "PassportExtractor", "surname", surname), (doc, "PassportExtractor", "given_names", given)]
+    people = {r.doc_id: r.person for r in names.persons(spark.createDataFrame(rows, FIELD_ROWS)).collect()}
+    flat = [(s, g) for s, gs in names_of for g in gs]
+    held = {(s, g): people[i] for i, (s, g) in enumerate(flat)}
+    return {(a, b, g) for (a, g), p in held.items() for (b, h), q in held.items() if a < b and g == h and p == q}
+
+
+def test_misspellings_of_frequent_surnames_are_linked(spark):
+    givens = ["Quentin", "Rosalind", "Ursula", "Theodore", "Zachary", "Dolores"]
+    others = [(s, ["Guillaume", "Fatima", "Ottilie", "Samuel"] * 6) for s in ("Bakirov", "Dusetin", "Hopulak")]
+    # one surname with all given names, its misspelling with five of them
+    found = _linked(spark, [("Lerovand", givens * 10), ("Lerovamd", givens[:5]), *others])
+    assert found == {("Lerovamd", "Lerovand", g) for g in givens[:5]}
+    # as frequent as each other: by the given names that they share
+    assert len(_linked(spark, [("Lerovand", givens[:3] * 10), ("Lerovamd", givens[:3] * 10), *others])) == 3
+    assert not _linked(spark, [("Lerovand", givens[:4] * 10), ("Lerovamd", ["Quentin", "Samuel", "Victoria", "Leonardo"] * 10), *others])
