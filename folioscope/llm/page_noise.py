@@ -1,8 +1,9 @@
 """Noise of scanned pages: furniture, words divided at line ends, misrecognised words; and the text without it.
 
 One pass over all pages counts words and the first and last lines of pages. Frequent words (a share of all words, so
-their number is bounded) form the vocabulary. Correction candidates of another word are the vocabulary words that share
-most of its character q-grams, met in an inverted index; boosted trees rank them by how a scanner confuses characters,
+their number is bounded) form the vocabulary. Correction candidates of another word are all vocabulary words within the
+allowed scanner cost, found exactly: one table of least costs is filled for all of them at once, row by row, and words
+leave it when their costs have passed the limit; boosted trees rank them by how a scanner confuses characters,
 and a second set of trees looks at pairs of lines and says whether the first one's last word goes on in the second.
 Both are trained on the vocabulary itself: words sent through the confusions and words cut in two, against words that
 are right although they are not in the rest of the vocabulary. Furniture is what stands at the edge of pages and comes
@@ -37,8 +38,10 @@ EDGE_SHARE, EDGE_COUNT = 0.002, 3
 CONFUSED_RATIO = 40
 #: Vocabulary words and other words that the trees are trained on, at most.
 TRAINING_WORDS = 3000
-#: Candidates ranked for a word.
-CANDIDATES = 6
+#: Tenths of scanner cost up to which a vocabulary word is a candidate.
+COST_LIMIT = 20
+#: Candidates of a word that the trees are trained on, at most, besides the right one: the nearest.
+TRAINING_NEAR = 6
 #: Probability from which a replacement or a join counts.
 MISREAD, JOINED = 0.5, 0.5
 SEED = 11
@@ -187,54 +190,114 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+#: (two or three letters, the letter that a scanner takes for them).
+_MERGED = [(two, one) for one, every in SPLIT.items() for two in every]
+
+
+def misread_once(word: str) -> set[str]:
+    """All words that are read as ``word`` by one confusion or with one stray mark."""
+    out = {word[:i] + y + word[i + 1 :] for i, x in enumerate(word) for y in _SAME.get(x, ())}
+    out |= {word[:i] + word[i + 1 :] for i, x in enumerate(word) if not x.isalnum() or x == "ـ"}
+    out |= {word[:i] + one + word[i + len(two) :] for two, one in _MERGED for i in range(len(word)) if word.startswith(two, i)}
+    return out | {word[:i] + two + word[i + 1 :] for i, x in enumerate(word) for two in SPLIT.get(x, ()) if len(two) == 2}
+
+
+def costs(a: str, letters: np.ndarray, alphabet: dict[str, int], scanner: bool = True, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``letters`` left, table of their last costs): ``ocr_cost`` or, not ``scanner``, ``edit_distance`` in tenths.
+
+    Column j of the table is the cost of the first j letters. A row leaves when no cost of the last three letters of ``a``,
+    from which all later ones come, is within the limit.
+    """
+    kind = np.int16 if len(a) + letters.shape[1] < 3000 else np.int32
+    steps = np.arange(letters.shape[1] + 1, dtype=kind) * kind(10)
+    left = np.arange(len(letters))
+    rows = [np.broadcast_to(steps, (len(letters), len(steps)))]
+    for i, x in enumerate(a, 1):
+        same = np.full(len(alphabet) + 1, 10, kind)
+        if scanner:
+            same[[alphabet[y] for y in _SAME.get(x, ()) if y in alphabet]] = 3
+        if x in alphabet:
+            same[alphabet[x]] = 0
+        last = rows[-1]
+        row = last + kind(3 if scanner and (not x.isalnum() or x == "ـ") else 10)
+        row[:, 0] = last[:, 0] + kind(3 if scanner and not x.isalnum() else 10)
+        np.minimum(row[:, 1:], last[:, :-1] + same[letters], out=row[:, 1:])
+        if scanner:
+            for two, one in _MERGED:
+                if one in alphabet and i >= len(two) and a.startswith(two, i - len(two)):
+                    before = rows[-len(two)][:, :-1] + kind(3)
+                    np.minimum(row[:, 1:], before, out=row[:, 1:], where=letters == alphabet[one])
+            for two in SPLIT.get(x, ()):
+                if len(two) == 2 and two[0] in alphabet and two[1] in alphabet:
+                    pair = (letters[:, :-1] == alphabet[two[0]]) & (letters[:, 1:] == alphabet[two[1]])
+                    np.minimum(row[:, 2:], last[:, :-2] + kind(3), out=row[:, 2:], where=pair)
+        row = np.minimum.accumulate(row - steps, axis=1) + steps
+        rows = [*rows[-2:], row]
+        if limit is not None:
+            near = np.minimum.reduce([r.min(1) for r in rows]) <= limit
+            if not near.all():
+                left, letters, rows = left[near], letters[near], [r[near] for r in rows]
+            if not len(left):
+                break
+    return left, rows[-1]
+
+
 @dataclass
 class Lexicon:
-    """The vocabulary with its index and trees; made on the driver, indexes built on each worker."""
+    """The vocabulary with its table of letters and trees; made on the driver, the table built on each worker."""
 
     counts: dict[str, int]
     ranker: Boosted | None = None
     joiner: Boosted | None = None
     titles: frozenset[str] = frozenset()
     feet: frozenset[str] = frozenset()
-    _index: dict | None = field(default=None, repr=False)
     _memo: dict | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "_memo": None}
+        made = ("_words", "_alphabet", "_lengths", "_letters", "_logs")
+        return {k: v for k, v in self.__dict__.items() if k not in made} | {"_memo": None}
 
     def _build(self) -> None:
-        self._index = defaultdict(list)
-        self._words = list(self.counts)
+        self._words = sorted(self.counts, key=len)
+        self._alphabet = {c: k for k, c in enumerate(sorted(set().union(*self._words)), 1)}
+        self._lengths = np.array([len(w) for w in self._words], int)
+        self._letters = np.zeros((len(self._words), int(self._lengths.max(initial=0))), np.int16)
         for k, w in enumerate(self._words):
-            for g in grams(w):
-                self._index[g].append(k)
-        self._index = {g: np.array(v) for g, v in self._index.items()}
-        self._sizes = np.array([len(grams(w)) for w in self._words])
-        self._lengths = np.array([len(w) for w in self._words])
+            self._letters[k, : len(w)] = [self._alphabet[c] for c in w]
+        self._logs = np.log([self.counts[w] for w in self._words])
         self._memo = {}
 
-    def candidates(self, word: str, hidden: str | None = None) -> list[str]:
-        """Vocabulary words by shared q-grams, the most first."""
-        if self._index is None:
+    def near(self, word: str, hidden: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, costs) of all vocabulary words within COST_LIMIT of ``word``, the least cost and most frequent first."""
+        if self._memo is None:
             self._build()
-        plain = re.sub(r"[\W_]", "", word)
-        turned = {word, plain, *(plain.translate(t) for t in _TURNS)}
-        found = [w for w in turned if w in self.counts and w != word and w != hidden]
-        asked = grams(plain) | set().union(*(grams(t) for t in turned))
-        met = [self._index[g] for g in asked if g in self._index]
-        if met:
-            shared = np.bincount(np.concatenate(met), minlength=len(self._words))
-            fits = shared / np.sqrt(self._sizes * max(1, len(grams(plain)))) * (np.abs(self._lengths - len(plain)) <= 2)
-            top = np.argpartition(-fits, min(CANDIDATES + 1, len(fits) - 1))[: CANDIDATES + 2]
-            found += [self._words[k] for k in top[np.argsort(-fits[top])] if fits[k] >= 0.3]
-        return [w for w in dict.fromkeys(found) if w != hidden][:CANDIDATES]
-
-    def features(self, word: str, candidate: str, cost: float, upper: bool) -> list[float]:
-        a, b = grams(word), grams(candidate)
-        return [
-            cost, edit_distance(word, candidate), len(word), len(candidate), math.log(self.counts[candidate]), len(a & b) / len(a | b), any(c.isdigit() for c in word),
-            any(not c.isalnum() for c in word), word[:1] == candidate[:1], upper, cost / len(candidate),
-        ]
+        # a confusion takes two letters away or adds one, at three tenths
+        changes = COST_LIMIT // 3
+        lo, hi = np.searchsorted(self._lengths, [len(word) - 2 * changes, len(word) + changes + 1])
+        width = int(self._lengths[hi - 1]) if hi > lo else 0
+        left, table = costs(word, self._letters[lo:hi, :width], self._alphabet, limit=COST_LIMIT)
+        left = left + lo
+        cost = table[np.arange(len(left)), self._lengths[left]]
+        good = cost <= COST_LIMIT
+        left, cost = left[good], cost[good]
+        order = np.lexsort((left, -self._logs[left], cost))
+        left, cost = left[order], cost[order]
+        other = np.array([self._words[k] not in (word, hidden) for k in left], bool)
+        return left[other], cost[other] / 10
+
+    def features(self, word: str, places: np.ndarray, cost: np.ndarray, upper: bool) -> np.ndarray:
+        """A row for each of the vocabulary words at ``places``."""
+        lengths = self._lengths[places]
+        letters = self._letters[places, : int(lengths.max(initial=0))]
+        edits = costs(word, letters, self._alphabet, scanner=False)[1][np.arange(len(places)), lengths] // 10
+        own, words = grams(word), [self._words[k] for k in places]
+        shared = [(len(own & g), len(own | g)) for g in map(grams, words)]
+        out = np.empty((len(places), 11))
+        out[:, 0], out[:, 1], out[:, 2], out[:, 3], out[:, 4] = cost, edits, len(word), lengths, self._logs[places]
+        out[:, 5] = [a / b for a, b in shared]
+        out[:, 6], out[:, 7] = any(c.isdigit() for c in word), any(not c.isalnum() for c in word)
+        out[:, 8], out[:, 9], out[:, 10] = [w[:1] == word[:1] for w in words], upper, cost / lengths
+        return out
 
     def reading(self, word: str, upper: bool) -> tuple[str | None, float]:
         """(replacement, probability) of a word that is not in the vocabulary."""
@@ -245,10 +308,10 @@ class Lexicon:
             if len(self._memo) > 200_000:
                 self._memo.clear()
             best: tuple[str | None, float] = (None, 0.0)
-            near = [(c, cost) for c in self.candidates(word) if (cost := ocr_cost(word, c)) <= 2.0]
-            if near and self.ranker:
-                p = self.ranker.probability(np.array([self.features(word, c, cost, upper) for c, cost in near]))
-                best = (near[int(p.argmax())][0], float(p.max()))
+            places, cost = self.near(word)
+            if len(places) and self.ranker:
+                p = self.ranker.probability(self.features(word, places, cost, upper))
+                best = (self._words[places[int(p.argmax())]], float(p.max()))
             self._memo[key] = best
         return self._memo[key]
 
@@ -268,9 +331,6 @@ class Lexicon:
         return float(self.joiner.probability(np.array([self.join_features(low, rest, mark, upper)]))[0]) >= JOINED
 
 
-_TURNS = [str.maketrans(a, b) for a, b in (("01598@†", "olsgbat"), ("01598@†", "oisqbat"), ("0159|!", "olsgll"))]
-
-
 def corrupted(word: str, rng: np.random.Generator) -> str:
     """A word as a scanner may read it: one confusion or two, or a stray mark."""
     for _ in range(1 + (rng.random() < 0.15)):
@@ -297,15 +357,12 @@ def learn(counts: dict[str, int], other: dict[str, bool], titles: frozenset[str]
     """The lexicon with trees trained on vocabulary words and on ``other`` words (word: upper case inside lines)."""
     rng = np.random.default_rng(SEED)
     plain = sorted(counts, key=lambda w: -counts[w])
-    clean = Lexicon(counts)
     # frequent misreadings of still more frequent words leave the vocabulary
     wrong = set()
     for w in plain:
         if len(w) >= 3:
-            for c in clean.candidates(w, w):
-                if c not in wrong and counts[c] >= CONFUSED_RATIO * counts[w] and ocr_cost(w, c) <= 0.35:
-                    wrong.add(w)
-                    break
+            if any(c != w and c not in wrong and counts.get(c, 0) >= CONFUSED_RATIO * counts[w] for c in misread_once(w)):
+                wrong.add(w)
     lexicon = Lexicon({w: n for w, n in counts.items() if w not in wrong}, titles=titles, feet=feet)
     words = [w for w in plain if w not in wrong]
     chosen = [words[k] for k in rng.permutation(len(words))[:TRAINING_WORDS]]
@@ -315,23 +372,19 @@ def learn(counts: dict[str, int], other: dict[str, bool], titles: frozenset[str]
             continue
         read = corrupted(w, rng)
         if read != w and read not in lexicon.counts:
-            for c in lexicon.candidates(read):
-                cost = ocr_cost(read, c)
-                if cost <= 2.0:
-                    x.append(lexicon.features(read, c, cost, False))
-                    y.append(c == w)
-        for c in lexicon.candidates(w, hidden=w)[:3]:
-            cost = ocr_cost(w, c)
-            if cost <= 2.0:
-                x.append(lexicon.features(w, c, cost, False))
-                y.append(False)
+            places, cost = lexicon.near(read)
+            right = np.array([lexicon._words[k] == w for k in places], bool)
+            taken = right | (np.cumsum(~right) <= TRAINING_NEAR)
+            x += list(lexicon.features(read, places[taken], cost[taken], False))
+            y += right[taken].tolist()
+        places, cost = (v[:3] for v in lexicon.near(w, hidden=w))
+        x += list(lexicon.features(w, places, cost, False))
+        y += [False] * len(places)
     for w, upper in sorted(other.items())[:TRAINING_WORDS]:
         if upper:
-            for c in lexicon.candidates(w)[:3]:
-                cost = ocr_cost(w, c)
-                if cost <= 2.0:
-                    x.append(lexicon.features(w, c, cost, True))
-                    y.append(cost <= 0.3 and rng.random() < 0.5)
+            places, cost = (v[:3] for v in lexicon.near(w))
+            x += list(lexicon.features(w, places, cost, True))
+            y += [bool(c <= 0.3 and rng.random() < 0.5) for c in cost]
     if len(set(y)) == 2:
         lexicon.ranker = Boosted().fit(np.array(x, float), np.array(y, float))
     x, y = [], []

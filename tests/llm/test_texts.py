@@ -144,3 +144,15 @@ def test_subjects(spark):
         found.setdefault(r.doc_id, set()).add(r.subject)
     right = sum(found.get(i, set()) == set(kinds) for i, _, kinds in docs)
     assert right >= 0.95 * len(docs) and not found.keys() & {900, 901, 902, 903}
+
+
+def test_candidates_are_all_words_within_the_cost(lexicon):
+    vocabulary = {*lexicon.counts, "com", "con", "cor", "car", "can", "cow", "cop", "cot", "cob", "cod", "coy", "until", "tanto"}
+    wide = page_noise.Lexicon({w: 5 for w in vocabulary})
+    for read in ("cori", "corn", "uritii", "fanfo", "c^om", "xq", "confirrned", "ﬁ", "o"):
+        places, cost = wide.near(read)
+        expected = {w: page_noise.ocr_cost(read, w) for w in vocabulary if w != read and page_noise.ocr_cost(read, w) <= 2}
+        assert {wide._words[k]: c for k, c in zip(places, cost)} == pytest.approx(expected)
+    assert {"con", "com", "cor", "car", "can", "cow", "cop", "cot", "cob", "cod", "coy"} <= {wide._words[k] for k in wide.near("cori")[0]}
+    for w in vocabulary:
+        assert {c for c in page_noise.misread_once(w) if c in vocabulary and c != w} == {c for c in vocabulary if c != w and page_noise.ocr_cost(w, c) <= 0.35}
