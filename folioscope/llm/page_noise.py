@@ -1,6 +1,7 @@
 """Noise of scanned pages: furniture, words divided at line ends, misrecognised words; and the text without it.
 
-One pass over all pages counts words and the first and last lines of pages. Frequent words (a share of all words, so
+One pass over all pages collects distinct lines and the first and last lines of pages; words are counted over distinct
+lines, so that copies of a page count once. Frequent words (a share of all words, so
 their number is bounded) form the vocabulary. Correction candidates of another word are all vocabulary words within the
 allowed scanner cost, found exactly: one table of least costs is filled for all of them at once, row by row, and words
 leave it when their costs have passed the limit; boosted trees rank them by how a scanner confuses characters,
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.boosting import Boosted
 from folioscope.plans.materialize import cut
 
-#: Share of all words that makes a word vocabulary (at most 1 / WORD_SHARE words), and its least count.
+#: Share of all words of distinct lines that makes a word vocabulary (at most 1 / WORD_SHARE words), and its least count.
 WORD_SHARE, WORD_COUNT = 2e-5, 4
 #: Share of documents (and least number) with which a line at the edge of pages is common furniture or a common title.
 EDGE_SHARE, EDGE_COUNT = 0.002, 3
@@ -45,7 +46,7 @@ TRAINING_NEAR = 6
 #: Probability from which a replacement or a join counts.
 MISREAD, JOINED = 0.5, 0.5
 SEED = 11
-#: Words that a task counts before it passes them on.
+#: Words or lines that a task holds before it passes them on.
 HELD = 300_000
 
 # Characters that scanners take for each other.
@@ -119,41 +120,65 @@ def stands_apart(lines: list[str], i: int) -> bool:
     return len(text) <= 0.82 * widths[(9 * len(widths)) // 10] or len(text) > 1.25 * widths[len(widths) // 2] or bool(re.search(r"[|–—]", text))
 
 
-COUNTS = "kind STRING, doc_id BIGINT, word STRING, n BIGINT, upper BIGINT"
+COUNTS = "kind STRING, doc_id BIGINT, word STRING, skips BOOLEAN"
+WORDS = "word STRING, n BIGINT, upper BIGINT"
 
 
-def corpus_counts(pages: DataFrame) -> DataFrame:
-    """Words of all pages (kind 'word'), with how many begin upper case inside a line, and keys of edge lines."""
+def corpus_lines(pages: DataFrame) -> DataFrame:
+    """Distinct lines of all pages (kind 'line'; ``skips``: the first word is the rest of a divided one) and keys of edge lines.
 
-    def rows_of(words: Counter, upper: Counter, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows + [("word", 0, w, n, upper[w]) for w, n in words.items()], columns=["kind", "doc_id", "word", "n", "upper"])
+    Digits are one, so that a page copied under many documents, or a template filled in with numbers, is one set of lines.
+    """
+
+    def rows_of(lines: set, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows + [("line", 0, text, skips) for text, skips in lines], columns=["kind", "doc_id", "word", "skips"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words, upper, rows = Counter(), Counter(), []
+            held, rows = set(), []
             for doc, text in zip(batch["doc_id"], batch["raw_text"]):
                 lines = text.split("\n")
                 top, bottom = edges_of(lines)
-                rows += [("top" if i in top else "bottom", doc, k, 1, 0) for i in {*top, *bottom} if stands_apart(lines, i) and len(k := edge_key(lines[i])) > 3]
+                rows += [("top" if i in top else "bottom", doc, k, False) for i in {*top, *bottom} if stands_apart(lines, i) and len(k := edge_key(lines[i])) > 3]
                 after = False
                 for line in lines:
-                    found, open_ = words_of(line), divided(line)
-                    for i, w in enumerate(found):
-                        if (after and i == 0) or (open_ and i == len(found) - 1):
-                            continue
-                        for part in re.split(r"['’]", w):
-                            if _LETTERS.fullmatch(part):
-                                low = part.lower()
-                                words[low] += 1
-                                upper[low] += i > 0 and part[0].isupper()
-                    after = open_ if found else after
-                if len(words) + len(rows) > HELD:
-                    yield rows_of(words, upper, rows)
-                    words, upper, rows = Counter(), Counter(), []
-            yield rows_of(words, upper, rows)
+                    if words_of(line):
+                        held.add((re.sub(r"\d", "0", " ".join(line.split())), after))
+                        after = divided(line)
+                if len(held) + len(rows) > HELD:
+                    yield rows_of(held, rows)
+                    held, rows = set(), []
+            yield rows_of(held, rows)
 
     found = pages.select("doc_id", "raw_text").mapInPandas(run, COUNTS)
-    return found.groupBy("kind", "doc_id", "word").agg(F.sum("n").alias("n"), F.sum("upper").alias("upper"))
+    return found.groupBy("kind", "doc_id", "word", "skips").agg(F.count("*").alias("n"))
+
+
+def corpus_words(lines: DataFrame) -> DataFrame:
+    """Words of distinct lines (word, skips), with how many begin upper case inside a line."""
+
+    def rows_of(words: Counter, upper: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(w, n, upper[w]) for w, n in words.items()], columns=["word", "n", "upper"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, upper = Counter(), Counter()
+        for batch in batches:
+            for line, after in zip(batch["word"], batch["skips"]):
+                found, open_ = words_of(line), divided(line)
+                for i, w in enumerate(found):
+                    if (after and i == 0) or (open_ and i == len(found) - 1):
+                        continue
+                    for part in re.split(r"['’]", w):
+                        if _LETTERS.fullmatch(part):
+                            low = part.lower()
+                            words[low] += 1
+                            upper[low] += i > 0 and part[0].isupper()
+            if len(words) > HELD:
+                yield rows_of(words, upper)
+                words, upper = Counter(), Counter()
+        yield rows_of(words, upper)
+
+    return lines.select("word", "skips").mapInPandas(run, WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("upper").alias("upper"))
 
 
 def grams(word: str) -> set[str]:
@@ -406,8 +431,8 @@ def learn(counts: dict[str, int], other: dict[str, bool], titles: frozenset[str]
 
 def fit(pages: DataFrame) -> tuple[Lexicon, DataFrame]:
     """(lexicon, keys (doc_id, keys) of lines that come back at the edges of a document's pages)."""
-    counts = cut(corpus_counts(pages))
-    words = counts.where("kind = 'word'")
+    counts = cut(corpus_lines(pages))
+    words = cut(corpus_words(counts.where("kind = 'line'")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(WORD_COUNT, WORD_SHARE * total)
     vocabulary = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).select("word", "n").toLocalIterator()}
@@ -415,7 +440,7 @@ def fit(pages: DataFrame) -> tuple[Lexicon, DataFrame]:
     share = min(1.0, 4 * TRAINING_WORDS / max(rare.count(), 1))
     spot = F.xxhash64("word") / F.lit(2.0**64) + 0.5
     other = {r["word"]: r["upper"] >= 0.8 * r["n"] for r in rare.where(spot <= share).orderBy(F.xxhash64("word")).limit(TRAINING_WORDS).collect()}
-    edges = counts.where("kind <> 'word'")
+    edges = counts.where("kind <> 'line'")
     documents = pages.select("doc_id").distinct().count()
     common = edges.groupBy("kind", "word").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= max(EDGE_COUNT, EDGE_SHARE * documents))
     kept = {"top": set(), "bottom": set()}

@@ -156,3 +156,10 @@ def test_candidates_are_all_words_within_the_cost(lexicon):
     assert {"con", "com", "cor", "car", "can", "cow", "cop", "cot", "cob", "cod", "coy"} <= {wide._words[k] for k in wide.near("cori")[0]}
     for w in vocabulary:
         assert {c for c in page_noise.misread_once(w) if c in vocabulary and c != w} == {c for c in vocabulary if c != w and page_noise.ocr_cost(w, c) <= 0.35}
+
+
+def test_words_of_copied_pages_count_once(spark):
+    rows = [(i, 1, f"The confirrned order 10{i}\nwas sent to the housing office.") for i in range(60)]
+    rows += [(100 + i, 1, f"Every {w} is confirmed here\nand {w} stays.") for i, w in enumerate(["window", "garden", "letter", "stone", "bridge", "river"])]
+    lexicon, _ = page_noise.fit(spark.createDataFrame(rows, "doc_id BIGINT, page_number INT, raw_text STRING"))
+    assert "confirmed" in lexicon.counts and "confirrned" not in lexicon.counts
