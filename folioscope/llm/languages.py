@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -332,8 +334,19 @@ def _sample(frame: DataFrame) -> pd.DataFrame:
 FOUND = "tbl STRING, doc_id BIGINT, page_number INT, detection_order INT, lang STRING, confidence DOUBLE, letters INT, margin DOUBLE, labelled STRING"
 
 
-def label_texts(frame: DataFrame, profiles: Profiles) -> DataFrame:
-    """Language, confidence, letters and margin of rows (tbl, doc_id, page_number, detection_order, label, text).
+@lru_cache(100_000)
+def _script_of(letter: str) -> str:
+    return unicodedata.name(letter, "unknown").split()[0].lower()
+
+
+def script_of(text: str | None) -> str | None:
+    """The script of most letters (of two as frequent, the first by name), None without letters."""
+    found = Counter(_script_of(c) for c in text or "" if c.isalpha())
+    return min(found, key=lambda s: (-found[s], s)) if found else None
+
+
+def label_texts(frame: DataFrame, profiles: Profiles, script: bool = False) -> DataFrame:
+    """Language, confidence, letters and margin of rows (tbl, doc_id, page_number, detection_order, label, text), with their script if asked for.
 
     Lines of only names, addresses or numbers have no language.
     """
@@ -348,9 +361,11 @@ def label_texts(frame: DataFrame, profiles: Profiles) -> DataFrame:
             out = batch[["tbl", "doc_id", "page_number", "detection_order"]].copy()
             out["lang"], out["confidence"], out["letters"], out["margin"] = zip(*found) if found else ((), (), (), ())
             out["labelled"] = ["-".join(sorted(s)) if (s := label_set(v)) else None for v in batch["label"]]
+            if script:
+                out["script"] = [script_of(t) for t in batch["text"]]
             yield out
 
-    return frame.mapInPandas(run, FOUND)
+    return frame.mapInPandas(run, f"{FOUND}, script STRING" if script else FOUND)
 
 
 #: Margin over which a language overrules a label that names another.
@@ -364,19 +379,20 @@ def wrong_labels(labelled: DataFrame) -> DataFrame:
     )
 
 
-SEGMENTS = "doc_id BIGINT, segment INT, text STRING, lang STRING, confidence DOUBLE"
+SEGMENTS = "segment INT, text STRING, lang STRING, confidence DOUBLE"
 
 
-def segment_texts(frame: DataFrame, profiles: Profiles) -> DataFrame:
-    """Every segment (sentence) of (doc_id, text) with its language and confidence."""
+def segment_texts(frame: DataFrame, profiles: Profiles, keys: str = "doc_id BIGINT") -> DataFrame:
+    """Every segment (sentence) of (``keys``, text) with its language and confidence."""
+    names = [k.split()[0] for k in keys.split(", ")]
     shared = frame.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, s) for d, t in zip(batch["doc_id"], batch["text"]) if t for i, s in enumerate(split(t))]
+            rows = [(*k, i, s) for *k, t in zip(*(batch[n] for n in names), batch["text"]) if t for i, s in enumerate(split(t))]
             if not rows:
                 continue
-            found = pd.DataFrame(rows, columns=["doc_id", "segment", "text"])
+            found = pd.DataFrame(rows, columns=[*names, "segment", "text"])
             scores, letters = shared.value.segments(found["text"].tolist())
             power = np.exp(HEAT * (scores - scores.max(1, keepdims=True)))
             known = letters > 0
@@ -384,4 +400,4 @@ def segment_texts(frame: DataFrame, profiles: Profiles) -> DataFrame:
             found["confidence"] = np.where(known, power.max(1) / power.sum(1), 0.0)
             yield found
 
-    return frame.select("doc_id", "text").mapInPandas(run, SEGMENTS)
+    return frame.select(*names, "text").mapInPandas(run, f"{keys}, {SEGMENTS}")

@@ -61,6 +61,31 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment_texts(documents, profiles)
 
 
+def _every_text(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Profiles]:
+    """Every text of documents, doc_text and blocks, of any kind and length, and the profiles."""
+    documents = table(spark, d, "documents", "doc_id", "text", "lang").withColumnRenamed("lang", "label")
+    pages = table(spark, d, "doc_text", "doc_id", "page_number", "raw_text", "language", "document_type").withColumnsRenamed({"raw_text": "text", "language": "label"})
+    blocks = table(spark, d, "blocks", "doc_id", "page_number", "detection_order", "raw_text", "language").withColumnsRenamed({"raw_text": "text", "language": "label"})
+    examples = table(spark, d, "subject_examples", "text", "lang").withColumnRenamed("lang", "label")
+    profiles = languages.fit_profiles(examples, pages.where(F.col("document_type").isin(*PROSE)).select("text", "label"), documents.select("text", "label"))
+    none, rest = F.lit(0), ("label", "text")
+    rows = documents.select(F.lit("documents").alias("tbl"), "doc_id", none.alias("page_number"), none.alias("detection_order"), *rest)
+    rows = rows.unionByName(pages.select(F.lit("doc_text").alias("tbl"), "doc_id", "page_number", none.alias("detection_order"), *rest))
+    return rows.unionByName(blocks.select(F.lit("blocks").alias("tbl"), "doc_id", "page_number", "detection_order", *rest)), profiles
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Language, script and confidence of every text of the three tables."""
+    rows, profiles = _every_text(spark, d)
+    return languages.label_texts(rows, profiles, script=True).select("tbl", "doc_id", "page_number", "detection_order", "lang", "script", "confidence").distinct()
+
+
+def p1_all_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every sentence of the three tables."""
+    rows, profiles = _every_text(spark, d)
+    return languages.segment_texts(rows, profiles, "tbl STRING, doc_id BIGINT, page_number INT, detection_order INT").distinct()
+
+
 def _buildings(spark: SparkSession, d: str) -> DataFrame:
     cards = table(spark, d, "fields", "doc_id", "extractor", "field_name", "value").where("extractor = 'IDCardExtractor' AND field_name = 'address'")
     return addresses.buildings(cards.select("doc_id", "value"))

@@ -163,3 +163,15 @@ def test_words_of_copied_pages_count_once(spark):
     rows += [(100 + i, 1, f"Every {w} is confirmed here\nand {w} stays.") for i, w in enumerate(["window", "garden", "letter", "stone", "bridge", "river"])]
     lexicon, _ = page_noise.fit(spark.createDataFrame(rows, "doc_id BIGINT, page_number INT, raw_text STRING"))
     assert "confirmed" in lexicon.counts and "confirrned" not in lexicon.counts
+
+
+def test_every_text_has_language_script_and_segments(spark):
+    from folioscope.llm import queries
+
+    d, keys = "/root/testdata/sf0.001", ["tbl", "doc_id", "page_number", "detection_order"]
+    texts = queries.p1_texts(spark, d).toPandas()
+    for name in ("documents", "doc_text", "blocks"):
+        rows = spark.read.parquet(f"{d}/{name}.parquet").select(*(c for c in ("doc_id", "page_number", "detection_order") if name != "documents" and (c != "detection_order" or name == "blocks") or c == "doc_id")).distinct()
+        assert len(texts[texts.tbl == name][keys].drop_duplicates()) == rows.count()
+    assert {"latin", "arabic"} <= set(texts.script) and languages.script_of("اب a 1") == "arabic" and languages.script_of("12") is None
+    assert set(queries.p1_all_segments(spark, d).select("tbl").distinct().toPandas().tbl) == {"documents", "doc_text", "blocks"}
