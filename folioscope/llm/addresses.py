@@ -3,8 +3,9 @@
 An address is read into house number, postcode, locality and the words of its street; flats are left out. Which words
 are localities, and their postcodes, is learnt from where words stand beside postcodes. Rewrites are mined from
 addresses that agree in all but one word of the street: word pairs that are near in spelling or abbreviate each other
-and that stand for each other significantly often are rewritten, rarer to more frequent word, and the addresses are
-matched again, until no new rewrite appears. Addresses with equal number, place and street then denote one building.
+and that stand for each other significantly often are rewritten to the longer or more frequent word, along chains to
+their end, and the addresses are matched again, until no new rewrite appears. Addresses with equal number, place and
+street then denote one building. Localities and rewrites are tables and meet the words in joins.
 
 Defined results: null and blank addresses, and those without house number, street or place, match nothing; repeated
 rows count once; digits of any script, case, accents, order of parts and lost separators do not matter.
@@ -17,9 +18,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.names import _near, folded
+from folioscope.llm.names import folded
 from folioscope.llm.strings import segment_join
 from folioscope.plans.materialize import cut
 
@@ -35,7 +37,8 @@ ENDS = ("strasse", "str", "weg", "platz", "pl", "gasse", "allee")
 BESIDE, SPREAD = 0.5, 0.3
 #: Likelihood ratio (one per cent) and share of a word's places that a rewrite needs, for typing errors and abbreviations.
 SIGNIFICANT, TYPED_SHARE, SHORT_SHARE = 6.63, 0.3, 0.08
-ROUNDS = 5
+#: Letters of an abbreviation, at most.
+SHORT = 5
 
 _CAMEL = re.compile(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])")
 _EDGE = re.compile(r"(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])")
@@ -74,98 +77,108 @@ def _parsed(cards: DataFrame) -> DataFrame:
     def run(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(v) or (None, None, None, None) for v in values], columns=["number", "code", "words", "beside"])
 
-    return cards.select("doc_id", F.pandas_udf(run, PARSED)("value").alias("p")).select("doc_id", "p.*").where("number IS NOT NULL AND size(words) > 0")
+    read = cards.where("value IS NOT NULL").select("doc_id", F.pandas_udf(run, PARSED)("value").alias("p")).select("doc_id", "p.*").where("number IS NOT NULL AND size(words) > 0")
+    return read.withColumn("address", F.concat_ws("|", "number", F.coalesce("code", F.lit("")), F.array_join("words", " ")))
 
 
-def localities(parsed: DataFrame) -> dict[str, str]:
-    """Postcode of each locality; there are at most 10**5 postcodes, and three localities of each at most."""
+def localities(parsed: DataFrame) -> DataFrame:
+    """(word, code): every word that is a locality, with the postcode that it stands beside."""
     words = parsed.where("code IS NOT NULL").select("number", "code", "beside", F.explode(F.array_distinct("words")).alias("word"))
     each = words.groupBy("word", "code").agg(F.count("*").alias("n"), F.count_if(F.array_contains("beside", F.col("word"))).alias("near"), F.countDistinct("number").alias("numbers"))
     codes = words.groupBy("code").agg(F.countDistinct("number").alias("all"))
     each = each.join(codes, "code")
     best = each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.max_by(F.struct("code", "n", "numbers", "all"), "n").alias("top"))
     found = best.where((F.col("near") >= BESIDE * F.col("n")) & (F.col("top.n") >= 0.8 * F.col("n")) & (F.col("top.numbers") >= F.greatest(F.lit(2), SPREAD * F.col("top.all"))) & (F.length("word") > 3))
-    ranked = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY top.code ORDER BY n DESC, word)")).where("rank <= 3")
-    return {r["word"]: r["code"] for r in ranked.select("word", F.col("top.code").alias("code")).toLocalIterator()}
-
-
-def _placed(parsed: DataFrame, known: dict[str, str]) -> DataFrame:
-    """Rows (doc_id, number, place, street) with the street's words in order of the alphabet."""
-    shared = parsed.sparkSession.sparkContext.broadcast(known)
-
-    def run(code: pd.Series, words: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, ws in zip(code, words):
-            ws = list(ws)
-            held = [w for w in ws if w in shared.value and (c is None or shared.value[w] == c)]
-            if not held:
-                # a locality typed wrong, last or first in the address
-                held = [w for w in {ws[0], ws[-1]} if len(w) > 5 and any((c is None or k == c) and _near(w, name) for name, k in shared.value.items())]
-                names = {k for w in held for name, k in shared.value.items() if _near(w, name)}
-                place = c or (names.pop() if len(names) == 1 else None)
-            else:
-                place = c or shared.value[held[0]]
-            street = sorted(w for w in ws if w not in held)
-            out.append((place, street if street else None))
-        return pd.DataFrame(out, columns=["place", "street"])
-
-    placed = parsed.select("doc_id", "number", F.pandas_udf(run, "STRUCT<place STRING, street ARRAY<STRING>>")("code", "words").alias("p"))
-    return placed.select("doc_id", "number", "p.*").where("place IS NOT NULL AND street IS NOT NULL").distinct()
+    return found.select("word", F.col("top.code").alias("code"))
+
+
+def _placed(parsed: DataFrame) -> DataFrame:
+    """Rows (address, number, place, street) of readable addresses, with the street's words in order of the alphabet.
+
+    Words are localities as they are or, last or first in the address and none else being one, within a typing error.
+    """
+    known = cut(localities(parsed))
+    each = parsed.select("address", "number", "code", "words").distinct()
+    ends = F.array_distinct(F.array(F.element_at("words", 1), F.element_at("words", -1)))
+    edge = each.select(F.explode(ends).alias("word")).where(F.length("word") > 5)
+    far = F.levenshtein("a", "b", 2)
+    swapped = (far == 2) & (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
+    near = segment_join(edge.union(known.select("word"))).where((far == 1) | swapped)
+    typed = near.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("name")), F.struct(F.col("b").alias("word"), F.col("a").alias("name")))).alias("w")).select("w.*")
+    typed = typed.join(known.select(F.col("word").alias("name"), F.col("code").alias("of")), "name").select("word", "of", F.lit(False).alias("exact"))
+    spelt = known.select("word", F.col("code").alias("of"), F.lit(True).alias("exact")).union(typed)
+    words = each.select("address", "code", ends.alias("ends"), F.posexplode("words").alias("at", "word")).join(spelt, "word")
+    words = words.where((F.col("code").isNull() | (F.col("code") == F.col("of"))) & (F.col("exact") | (F.array_contains("ends", F.col("word")) & (F.length("word") > 5))))
+    exact = F.col("exact")
+    held = words.groupBy("address").agg(
+        F.collect_set(F.when(exact, F.col("word"))).alias("held"), F.min_by("of", F.when(exact, F.col("at"))).alias("of"),
+        F.collect_set(F.when(~exact, F.col("word"))).alias("edges"), F.min(F.when(~exact, F.col("of"))).alias("least"), F.max(F.when(~exact, F.col("of"))).alias("most"),
+    )
+    all_ = each.join(held, "address", "left")
+    own = F.coalesce(F.size("held") > 0, F.lit(False))
+    place = F.coalesce("code", F.when(own, F.col("of")).when(F.col("least") == F.col("most"), F.col("least")))
+    street = F.array_sort(F.array_except("words", F.when(own, F.col("held")).otherwise(F.coalesce("edges", F.array().cast("array<string>")))))
+    return all_.select("address", "number", place.alias("place"), street.alias("street")).where("place IS NOT NULL AND size(street) > 0")
 
 
 def _rewrites(streets: DataFrame) -> DataFrame:
-    """(word, better) of significant rewrites among streets (number, place, street) that agree in all but one word."""
-    slot = F.transform("street", lambda w, i: F.struct(w.alias("word"), F.concat_ws(" ", F.array_except(F.col("street"), F.array(w))).alias("rest")))
-    slots = streets.select("number", "place", F.explode(slot).alias("s")).select(F.concat_ws("|", "number", "place", "s.rest").alias("slot"), "s.word").where("slot NOT LIKE '%|'").distinct()
-    slots = cut(slots)
+    """(word, better) of words that stand for each other significantly among streets (number, place, street) that agree in
+    all else. The word of more than SHORT letters, then the more frequent, is the better. Slots that one word stands in
+    take no part in the joins."""
+    slot = F.transform("street", lambda w: F.struct(w.alias("word"), F.concat_ws("|", "number", "place", F.array_join(F.array_remove("street", w), " ")).alias("slot")))
+    slots = streets.select(F.explode(slot).alias("s")).select("s.slot", "s.word").distinct()
+    slots = cut(slots.withColumn("k", F.count("*").over(W.partitionBy("slot"))))
+    total = slots.agg(F.coalesce(F.sum(1 / F.col("k")), F.lit(1.0))).first()[0]
     held = slots.groupBy("word").agg(F.count("*").alias("n"))
-    total = slots.select("slot").distinct().count()
-    typed = segment_join(slots, "word", "slot").select("scope", "a", "b", F.lit(TYPED_SHARE).alias("share"))
-    first = slots.withColumn("first", F.substring("word", 1, 1))
-    short = first.select("slot", "first", F.col("word").alias("a")).where(F.length("a") <= 5)
-    long = first.select("slot", "first", F.col("word").alias("b"))
+    several = slots.where("k > 1").select("slot", "word")
+    typed = segment_join(several, "word", "slot", once=False).select("scope", "a", "b", F.lit(None).cast("string").alias("short"))
+    first, length = F.substring("word", 1, 1).alias("first"), F.length("word")
+    short = several.where(length <= SHORT).select("slot", first, F.substring("word", 2, 1).alias("second"), F.col("word").alias("a"))
+    letters = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.substring(F.col("word"), F.lit(2), length), "")))
+    long = several.where(length > 1).select("slot", first, F.explode(letters).alias("second"), F.col("word").alias("b"))
     inside = F.expr("b RLIKE concat('^', array_join(split(a, ''), '.*'))")
-    abbreviated = short.join(long, ["slot", "first"]).where((F.length("a") < F.length("b")) & inside).select(F.col("slot").alias("scope"), "a", "b", F.lit(SHORT_SHARE).alias("share"))
-    met = typed.unionByName(abbreviated).groupBy("a", "b").agg(F.countDistinct("scope").alias("n_ab"), F.min("share").alias("share"))
-    both = met.join(held.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a").join(held.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
-    expected = F.col("n_a") * F.col("n_b") / F.lit(float(max(total, 1)))
-    ratio = 2 * F.col("n_ab") * F.log(F.col("n_ab") / expected)
-    to_b = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") > F.col("a")))
-    # an abbreviation always goes to the word it is short for
-    to_b = to_b | (F.col("share") == SHORT_SHARE)
-    kept = both.where((ratio >= SIGNIFICANT) & (F.col("n_ab") >= F.col("share") * F.when(to_b, F.col("n_a")).otherwise(F.col("n_b"))))
-    turned = kept.select(F.when(to_b, F.col("a")).otherwise(F.col("b")).alias("word"), F.when(to_b, F.col("b")).otherwise(F.col("a")).alias("better"), "n_ab")
-    ranked = turned.groupBy("word").agg(F.reverse(F.array_sort(F.collect_set(F.struct("n_ab", "better")))).alias("all"))
-    ranked = ranked.select("word", F.col("all")[0]["better"].alias("better"), F.slice("all", 2, 100).alias("others"))
+    brief = short.join(long, ["slot", "first", "second"]).where((F.length("a") < F.length("b")) & inside).select(F.col("slot").alias("scope"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("short"))
+    # a pair found both ways is an abbreviation
+    both = typed.unionByName(brief).groupBy("scope", "a", "b").agg(F.max("short").alias("short"))
+    met = both.groupBy("a", "b").agg(F.count("*").alias("n_ab"), F.max("short").alias("short"))
+    met = met.join(held.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a").join(held.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
+    ratio = 2 * F.col("n_ab") * F.log(F.col("n_ab") * total / (F.col("n_a") * F.col("n_b")))
+    least = F.when(F.col("short") == F.col("a"), SHORT_SHARE * F.col("n_a")).when(F.col("short") == F.col("b"), SHORT_SHARE * F.col("n_b")).otherwise(TYPED_SHARE * F.least("n_a", "n_b"))
+    kept = met.where((ratio >= SIGNIFICANT) & (F.col("n_ab") >= least))
+    rank = lambda w: F.struct((F.length(w) > SHORT).alias("long"), F.col(f"n_{w}").alias("n"), F.col(w).alias("word"))
+    lower, upper = F.least(rank("a"), rank("b")), F.greatest(rank("a"), rank("b"))
+    ranked = kept.select(lower.alias("lower"), upper.alias("upper"), F.col("short").isNotNull().alias("brief"))
+    ranked = ranked.withColumn("best", F.max("upper").over(W.partitionBy("lower.word")))
     # words with one abbreviation are one word: Street and Strasse are both Str.
-    same = ranked.where(F.length("word") <= 5).select(F.explode("others.better").alias("word"), "better")
-    turned = ranked.select("word", "better").unionByName(same.where(F.length("better") > 5).join(ranked.select("word"), "word", "left_anti"))
-    best = turned.where("word <> better").groupBy("word").agg(F.min("better").alias("better"))
-    # of two words that would change places, the first stays
-    back = best.select(F.col("better").alias("word"), F.col("word").alias("back"))
-    return best.join(back, "word", "left").where("back IS NULL OR back <> better OR word > better").select("word", "better").distinct()
+    same = F.when(F.col("brief") & (F.col("upper") < F.col("best")), F.struct("upper.word", "best"))
+    turned = ranked.select(F.explode(F.array_compact(F.array(F.struct("lower.word", "best"), same))).alias("r")).select("r.word", "r.best")
+    return turned.groupBy("word").agg(F.max("best")["word"].alias("better"))
 
 
-def _followed(rewrites: DataFrame, by: DataFrame) -> DataFrame:
-    """Rewrites whose better word is itself rewritten, led on to the last."""
-    step = by.select(F.col("word").alias("better"), F.col("better").alias("last"))
-    return rewrites.join(step, "better", "left").select("word", F.coalesce("last", "better").alias("better")).where("word <> better")
+def _led_on(rewrites: DataFrame) -> DataFrame:
+    """Rewrites to the last word of their chain. A better word always ranks higher, so chains end."""
+    while True:
+        step = rewrites.select(F.col("word").alias("better"), F.col("better").alias("next"))
+        led = cut(rewrites.join(step, "better", "left").select("word", F.coalesce("next", "better").alias("better"), F.col("next").isNotNull().alias("more")))
+        rewrites = led.select("word", "better")
+        if led.where("more").isEmpty():
+            return rewrites
 
 
 def buildings(cards: DataFrame) -> DataFrame:
-    """(doc_id, building) of cards (doc_id, value)."""
-    parsed = cut(_parsed(cards.where("value IS NOT NULL").distinct()))
-    first = placed = cut(_placed(parsed, localities(parsed)))
-    book = None
-    for _ in range(ROUNDS):
+    """(doc_id, building) of cards (doc_id, value); a card without a readable address has building null.
+
+    Rewrites are mined and applied until no new one appears. Every round takes words out of the streets and brings none
+    in, so the rounds end.
+    """
+    parsed = cut(_parsed(cards.distinct()))
+    placed = cut(_placed(parsed))
+    while True:
         found = cut(_rewrites(placed.select("number", "place", "street").distinct()))
         if found.isEmpty():
             break
-        for _ in range(3):
-            found = _followed(found, found)
-        found = cut(found)
-        book = cut(found if book is None else _followed(book, found).unionByName(found.join(book.select("word"), "word", "left_anti")))
-        words = first.select("doc_id", "number", "place", F.col("street").alias("old"), F.explode("street").alias("word")).join(book, "word", "left")
-        again = words.groupBy("doc_id", "number", "place", "old").agg(F.array_sort(F.collect_set(F.coalesce("better", "word"))).alias("street"))
-        placed = cut(again.select("doc_id", "number", "place", "street").distinct())
-    return placed.select("doc_id", F.concat_ws("|", "place", "number", F.array_join("street", " ")).alias("building")).distinct()
+        words = placed.select("address", "number", "place", F.explode("street").alias("word")).join(_led_on(found), "word", "left")
+        placed = cut(words.groupBy("address", "number", "place").agg(F.array_sort(F.collect_set(F.coalesce("better", "word"))).alias("street")))
+    building = F.concat_ws("|", "place", "number", F.array_join("street", " ")).alias("building")
+    found = parsed.join(placed.select("address", building), "address").select("doc_id", "building")
+    return cards.select("doc_id").distinct().join(found, "doc_id", "left").distinct()

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.strings import components, is_near, segment_join
+from folioscope.llm.strings import components, segment_join
 from folioscope.plans.materialize import cut
 
 # Usual short and foreign forms of given names.
@@ -186,8 +186,9 @@ FORM = "STRUCT<s STRING, g STRING, m STRING, sure BOOLEAN>"
 
 
 def persons(fields: DataFrame) -> DataFrame:
-    """(doc_id, person): the person that each upload's holder is, as the least node of linked names."""
-    parsed = cut(_parsed(holders(fields)))
+    """(doc_id, person): the person that each upload's holder is, as the least node of linked names; null if it cannot be read."""
+    held = holders(fields)
+    parsed = cut(_parsed(held))
     known = given_words(parsed)
     shared = parsed.sparkSession.sparkContext.broadcast(known)
 
@@ -208,7 +209,8 @@ def persons(fields: DataFrame) -> DataFrame:
     nodes = cut(keyed.groupBy("s", "g", mark.alias("mark")).agg(F.max(first).alias("m1"), F.max("m").alias("m"), F.max("sure").alias("sure"), F.count("*").alias("n")).withColumn("node", F.concat_ws("|", "s", "g", "mark")))
     links = cut(_links(nodes))
     roots = components(links)
-    return members.join(roots, members["node"] == roots["id"], "left").select("doc_id", F.coalesce("root", "node").alias("person")).distinct()
+    found = members.join(roots, members["node"] == roots["id"], "left").select("doc_id", F.coalesce("root", "node").alias("person"))
+    return held.select("doc_id").distinct().join(found, "doc_id", "left").distinct()
 
 
 def _spellings(nodes: DataFrame, near: DataFrame) -> DataFrame:
@@ -255,15 +257,17 @@ def _links(nodes: DataFrame) -> DataFrame:
     x, y = full.alias("x"), full.alias("y")
     typed = x.join(other.alias("o"), F.col("x.s") == F.col("o.s")).join(y, (F.col("y.s") == F.col("o.t")) & (F.col("y.g") == F.col("x.g"))).where(agree)
     typed = typed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # an uncommon given name near another of the same or a near surname
+    # an uncommon given name near another of the same or a near surname: given names meet once each, not under every surname
+    alike = segment_join(full, "g")
+    alike = alike.select(F.col("a").alias("g"), F.col("b").alias("h")).union(alike.select(F.col("b").alias("g"), F.col("a").alias("h")))
     itself = nodes.select("s", F.col("s").alias("t")).distinct()
     spread = itself.unionByName(other)
     rare = full.where(~F.col("sure")).alias("x")
     misspelt = (
-        rare.join(spread.alias("o"), F.col("x.s") == F.col("o.s"))
-        .join(y, F.col("y.s") == F.col("o.t"))
-        .where((F.col("x.node") != F.col("y.node")) & agree)
-        .where(is_near(F.col("x.g"), F.col("y.g")))
+        rare.join(alike.alias("n"), F.col("x.g") == F.col("n.g"))
+        .join(spread.alias("o"), F.col("x.s") == F.col("o.s"))
+        .join(y, (F.col("y.s") == F.col("o.t")) & (F.col("y.g") == F.col("n.h")))
+        .where(agree)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     )
     # initials: the one person of the surname that they fit, else of a near surname

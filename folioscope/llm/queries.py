@@ -96,10 +96,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_buildings(spark: SparkSession, d: str) -> DataFrame:
-    """Every card with its building and the number of the building's other cards."""
+    """Every card with its building and the number of the building's other cards; an unreadable address is null and has none."""
     cards = _buildings(spark, d)
-    sizes = cards.groupBy("building").agg(F.countDistinct("doc_id").alias("cards"))
-    return cards.join(sizes, "building").select("doc_id", "building", (F.col("cards") - 1).alias("links"))
+    sizes = cards.where("building IS NOT NULL").groupBy("building").agg(F.countDistinct("doc_id").alias("cards"))
+    return cards.join(sizes, "building", "left").select("doc_id", "building", F.coalesce(F.col("cards") - 1, F.lit(0)).alias("links"))
 
 
 def _prose(spark: SparkSession, d: str) -> DataFrame:
@@ -125,10 +125,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_persons(spark: SparkSession, d: str) -> DataFrame:
-    """Every upload with its person and the number of the person's other uploads."""
+    """Every upload with a name, its person and the number of the person's other uploads; an unreadable name is null and has none."""
     persons = _persons(spark, d)
-    sizes = persons.groupBy("person").agg(F.countDistinct("doc_id").alias("uploads"))
-    return persons.join(sizes, "person").select("doc_id", "person", (F.col("uploads") - 1).alias("links"))
+    sizes = persons.where("person IS NOT NULL").groupBy("person").agg(F.countDistinct("doc_id").alias("uploads"))
+    return persons.join(sizes, "person", "left").select("doc_id", "person", F.coalesce(F.col("uploads") - 1, F.lit(0)).alias("links"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.plans.materialize import cut
@@ -52,8 +53,8 @@ def _probed(word: str) -> str:
     return f"array_distinct(array_compact(flatten(transform(sequence(0, {_MOST}), d -> {inner}))))"
 
 
-def segment_join(words: DataFrame, word: str = "word", scope: str | None = None) -> DataFrame:
-    """Pairs (a, b[, scope]), a < b, of distinct strings within EDITS of each other, of one scope.
+def segment_join(words: DataFrame, word: str = "word", scope: str | None = None, once: bool = True) -> DataFrame:
+    """Pairs (a, b[, scope]), a < b, of distinct strings within EDITS of each other, of one scope; not ``once``: some twice.
 
     Of two strings within k edits, one of the k + 1 segments of the shorter stands unchanged in the other, shifted by k
     places at most; segments are looked up in an inverted index and candidates verified by banded edit distance. No
@@ -66,7 +67,8 @@ def segment_join(words: DataFrame, word: str = "word", scope: str | None = None)
     probe = base.select(F.col("w").alias("b"), *extra, F.explode(F.expr(_probed("w"))).alias("key"))
     met = probe.join(index, ["key", *extra]).where("a <> b")
     near = met.where(is_near(F.col("a"), F.col("b")))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *extra).distinct()
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *extra)
+    return pairs.distinct() if once else pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -87,7 +89,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Members of a group that one task pairs with the group, at most on average.
+SLICE = 2000
+
+
 def pairs(members: DataFrame, group: str, member: str = "doc_id") -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b, of distinct members of each group: the form that pN_found asks for."""
+    """(doc_a, doc_b), doc_a < doc_b, of distinct members of each group: the form that pN_found asks for.
+
+    A large group is cut into slices of its members by hash; each slice meets the whole group in a task of its own.
+    """
     one = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL").distinct()
-    return one.select("g", F.col("m").alias("doc_a")).join(one.select("g", F.col("m").alias("doc_b")), "g").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    one = one.withColumn("slices", (F.count("*").over(W.partitionBy("g")) / SLICE).cast("int") + 1)
+    left = one.select("g", F.pmod(F.xxhash64("m"), "slices").alias("slice"), F.col("m").alias("doc_a"))
+    right = one.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint") - 1)).alias("slice"), F.col("m").alias("doc_b"))
+    return left.join(right, ["g", "slice"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
