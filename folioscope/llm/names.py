@@ -207,8 +207,7 @@ def persons(fields: DataFrame) -> DataFrame:
     node = F.concat_ws("|", "s", "g", mark)
     members = keyed.select("doc_id", node.alias("node"))
     nodes = cut(keyed.groupBy("s", "g", mark.alias("mark")).agg(F.max(first).alias("m1"), F.max("m").alias("m"), F.max("sure").alias("sure"), F.count("*").alias("n")).withColumn("node", F.concat_ws("|", "s", "g", "mark")))
-    links = cut(_links(nodes))
-    roots = components(links)
+    roots = components(_links(nodes))
     found = members.join(roots, members["node"] == roots["id"], "left").select("doc_id", F.coalesce("root", "node").alias("person"))
     return held.select("doc_id").distinct().join(found, "doc_id", "left").distinct()
 
@@ -247,44 +246,25 @@ def _spellings(nodes: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes of names that denote one person."""
-    agree = (F.col("x.m1") == "") | (F.col("y.m1") == "") | (F.col("x.m1") == F.col("y.m1"))
+    """(a, b): nodes of names that denote one person.
+
+    Two joins by surname (the same or a near one) and a key of the given name: the given name itself or one that an
+    uncommon given name is near to, and the first letter, by which an initial finds the one person of its surname, else
+    of the near ones, that it fits.
+    """
     near = cut(_spellings(nodes, segment_join(nodes, "s")))
-    # every surname with itself and with those near it
-    other = near.select(F.col("a").alias("s"), F.col("b").alias("t")).union(near.select(F.col("b").alias("s"), F.col("a").alias("t")))
-    full, short = nodes.where(F.length("g") > 1), nodes.where(F.length("g") == 1)
-    # the same given name under near surnames
-    x, y = full.alias("x"), full.alias("y")
-    typed = x.join(other.alias("o"), F.col("x.s") == F.col("o.s")).join(y, (F.col("y.s") == F.col("o.t")) & (F.col("y.g") == F.col("x.g"))).where(agree)
-    typed = typed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # an uncommon given name near another of the same or a near surname: given names meet once each, not under every surname
-    alike = segment_join(full, "g")
-    alike = alike.select(F.col("a").alias("g"), F.col("b").alias("h")).union(alike.select(F.col("b").alias("g"), F.col("a").alias("h")))
-    itself = nodes.select("s", F.col("s").alias("t")).distinct()
-    spread = itself.unionByName(other)
-    rare = full.where(~F.col("sure")).alias("x")
-    misspelt = (
-        rare.join(alike.alias("n"), F.col("x.g") == F.col("n.g"))
-        .join(spread.alias("o"), F.col("x.s") == F.col("o.s"))
-        .join(y, (F.col("y.s") == F.col("o.t")) & (F.col("y.g") == F.col("n.h")))
-        .where(agree)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
-    # initials: the one person of the surname that they fit, else of a near surname
-    fits = (F.substring("y.g", 1, 1) == F.col("x.g")) & agree
-    small = short.alias("x")
-    own = small.join(y, (F.col("x.s") == F.col("y.s")) & (F.substring("y.g", 1, 1) == F.col("x.g"))).where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    own_one = _only(own)
-    left = short.join(own.select(F.col("a").alias("node")), "node", "left_anti").alias("x")
-    far = left.join(other.alias("o"), F.col("x.s") == F.col("o.s")).join(y, (F.col("y.s") == F.col("o.t")) & (F.substring("y.g", 1, 1) == F.col("x.g"))).where(fits)
-    far_one = _only(far.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    # initials of near surnames with each other
-    z = short.alias("y")
-    both = small.join(other.alias("o"), F.col("x.s") == F.col("o.s")).join(z, (F.col("y.s") == F.col("o.t")) & (F.col("y.g") == F.col("x.g"))).where(agree)
-    both = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return typed.unionByName(misspelt).unionByName(own_one).unionByName(far_one).unionByName(both).where("a <> b").distinct()
-
-
-def _only(links: DataFrame) -> DataFrame:
-    """Links of the nodes that have one."""
-    return links.distinct().groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
+    both = lambda p, x, y: p.select(F.explode(F.array(F.struct(F.col("a").alias(x), F.col("b").alias(y)), F.struct(F.col("b").alias(x), F.col("a").alias(y)))).alias("p")).select("p.*")
+    spread = cut(both(near, "s", "t").union(nodes.select("s", F.col("s").alias("t")).distinct()))
+    y = nodes.select(F.col("s").alias("t"), F.col("g").alias("key"), F.col("node").alias("b"), F.col("m1").alias("m_b"))
+    agree = (F.col("m1") == "") | (F.col("m_b") == "") | (F.col("m1") == F.col("m_b"))
+    # given names meet once each, not under every surname
+    alike = both(segment_join(nodes.where(F.length("g") > 1), "g"), "g", "key")
+    rare = nodes.where(~F.col("sure")).join(alike, "g").select("s", "node", "m1", "key")
+    x = nodes.select("s", "node", "m1", F.col("g").alias("key")).join(spread.where("s <> t"), "s").select("t", "node", "m1", "key").unionByName(rare.join(spread, "s").select("t", "node", "m1", "key"))
+    named = x.join(y, ["t", "key"]).where(agree).select(F.col("node").alias("a"), "b")
+    full = nodes.where(F.length("g") > 1).select(F.col("s").alias("t"), F.substring("g", 1, 1).alias("g"), F.col("node").alias("b"), F.col("m1").alias("m_b"))
+    fits = nodes.where(F.length("g") == 1).join(spread, "s").join(full, ["t", "g"]).where(agree)
+    own = F.when(F.col("s") == F.col("t"), F.col("b"))
+    one = fits.groupBy(F.col("node").alias("a")).agg(F.min(own).alias("own"), F.max(own).alias("own_too"), F.min("b").alias("near"), F.max("b").alias("near_too"))
+    found = F.when(F.col("own") == F.col("own_too"), F.col("own")).when(F.col("own").isNull() & (F.col("near") == F.col("near_too")), F.col("near"))
+    return named.unionByName(one.select("a", found.alias("b"))).where("a <> b").distinct()
