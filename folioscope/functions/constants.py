@@ -89,3 +89,12 @@ PHONE_MOBILE, PHONE_INTERNATIONAL = r"(?:\+?20\s?|0020\s?|0)?(?:10|11|12|15)\d{8
 DATE = r"(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
 CURRENCY = r"(?:EGP|USD|EUR|GBP|SAR|AED|LE|L\.E|ج\.م|جنيه|دولار|ريال|درهم)"
 VALID_EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,7}$"
+
+# Labels of birth dates, and words in the headers of item tables, in the order in which they are tried.
+BIRTH_LABELS = ["تاريخ الميلاد", "dob", "birth", "date of birth"]
+ITEM_HEADERS = {
+    "description": ["item", "desc", "الصنف", "الوصف", "بيان"],
+    "quantity": ["qty", "quantity", "الكمية", "عدد"],
+    "unit_price": ["price", "unit", "سعر", "فردي"],
+    "amount": ["total", "amount", "الإجمالي", "قيمة"],
+}

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +36,11 @@ def keyword_hit(lower: Column, word: str) -> Column:
     return found
 
 
-def signals(text: Column, width: Column, height: Column, tables: Column, weights: Weights = Weights()) -> list[tuple[str, str, float | Column, Column]]:
-    """(category, signal, weight, condition) of every signal."""
-    lower = F.lower(text)
-    out: list[tuple[str, str, float | Column, Column]] = []
+def signals(text: Column, lower: Column, width: Column, height: Column, tables: Column, weights: Weights = Weights()) -> list[tuple[str, str | Column, float | Column, Column]]:
+    """(category, signal, weight, condition) of every signal; ``lower`` is a column that holds the text in lower case."""
+    out: list[tuple[str, str | Column, float | Column, Column]] = []
     for category, each in weights.tables:
-        out.append((category, "tables_detected", each * tables, tables > 0))
+        out.append((category, F.concat(F.lit("tables_detected_"), tables.cast("int").cast("string")), each * tables, tables > 0))
     sized = (width > 0) & (height > 0)
     tall = sized & (height / width >= 1.8)
     out.append(("receipt", "tall_aspect_ratio_receipt", weights.tall, tall))
@@ -57,7 +54,7 @@ def signals(text: Column, width: Column, height: Column, tables: Column, weights
     for category, words in C.KEYWORDS.items():
         out += [(category, f"kw_{category}:{w}", weights.keyword, keyword_hit(lower, w)) for w in words]
     anchors = sum((lower.contains(a).cast("int") for a in C.ID_ANCHORS), F.lit(0))
-    out.append(("id_card", "egyptian_id_field_labels", weights.anchors, anchors >= 3))
+    out.append(("id_card", F.concat(F.lit("egyptian_id_field_labels_"), anchors.cast("string")), weights.anchors, anchors >= 3))
     out.append(("cv", "cv_contact_plus_sections", weights.cv, any_of(lower, C.CV_HOSTS) & any_of(lower, C.CV_SECTIONS)))
     out.append(("driver_license", "traffic_dept_license", weights.traffic, lower.contains("مرور") & any_of(lower, ["رخصة", "قيادة"])))
     piped = F.size(F.filter(lines_of(text), lambda x: x.rlike(r"[|\t]")))
@@ -79,9 +76,11 @@ def classify(pages: DataFrame, text: str = "text", width: str | None = "width",
     size = [F.col(c).cast("double") if c else none for c in (width, height)]
     table_count = F.coalesce(F.col(tables).cast("double"), F.lit(0.0)) if tables else F.lit(0.0)
     base = pages.withColumn("_clean", stripped(F.coalesce(F.col(text), F.lit(""))))
-    base = base.withColumn("_words", F.size(words_of(F.col("_clean"))))
-    found = signals(F.col("_clean"), *size, table_count, weights)
-    hits = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), (w if isinstance(w, Column) else F.lit(float(w))).alias("weight"))) for c, s, w, cond in found)))
+    # every signal reads the lower-case text: it is a column of its own, made once
+    base = base.withColumns({"_words": F.size(words_of(F.col("_clean"))), "_lower": F.lower("_clean")})
+    found = signals(F.col("_clean"), F.col("_lower"), *size, table_count, weights)
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    hits = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(c).alias("category"), lit(s).alias("signal"), lit(w).cast("double").alias("weight"))) for c, s, w, cond in found)))
     base = base.withColumn("_hits", hits)
 
     def score(category: str) -> Column:
@@ -90,7 +89,7 @@ def classify(pages: DataFrame, text: str = "text", width: str | None = "width",
     base = base.withColumn("_scores", F.array(*(F.struct(score(c).alias("score"), F.lit(-i).alias("rank"), F.lit(c).alias("category")) for i, c in enumerate(C.CATEGORIES))))
     base = base.withColumn("_best", F.array_max("_scores"))
     best = F.col("_best.score")
-    sparse = (F.col("_words") <= 4) & ~any_of(F.lower("_clean"), C.SPARSE_EXCEPTIONS)
+    sparse = (F.col("_words") <= 4) & ~any_of(F.col("_lower"), C.SPARSE_EXCEPTIONS)
     empty = ~filled(F.col(text))
     category = (
         F.when(empty, "unknown").when(sparse, "image_with_text").when(best >= 1.2, F.col("_best.category")).when(F.col("_words") <= 4, "image_with_text").otherwise("generic_document")
@@ -106,6 +105,3 @@ def classify(pages: DataFrame, text: str = "text", width: str | None = "width",
         F.when(scored, positive).otherwise(F.create_map().cast("map<string,double>")).alias("scores"),
     )
 
-
-def total_hits(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -11,13 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import constants as C
 from folioscope.functions import text as T
 from folioscope.functions import validation as V
-from folioscope.plans.materialize import cut
 
 S, D, L, R = r"[\s\p{Z}]", r"\p{Nd}", rf"(?<![{C.WORD}])", rf"(?![{C.WORD}])"
 _DATE = rf"(?:{D}{{4}}[-/]{D}{{1,2}}[-/]{D}{{1,2}}|{D}{{1,2}}[-/]{D}{{1,2}}[-/]{D}{{2,4}})"
@@ -36,6 +34,7 @@ class Field:
     valid: Column | bool = True
     note: Column | str | None = None
     many: bool = False
+    seen: Column | None = None  #: what is looked up in the page's lines: the line's confidence then replaces the field's
 
 
 Found = dict[str, Column]
@@ -49,9 +48,17 @@ class Extractor:
     fields: Callable[[Column], list[Field]]
 
 
+#: Marks the columns of the extractor that is being built, so that several fit into one projection.
+_OWN: list[str] = [""]
+
+
 def x(name: str) -> Column:
-    """A column that an earlier stage has named."""
-    return F.col(f"x_{name}")
+    """A column that an earlier stage of the extractor has named."""
+    return F.col(f"x{_OWN[-1]}_{name}")
+
+
+#: What the layout of a page tells an extractor, where it is known: lines in order, the rows of its table, signatures.
+LAYOUT = {"page_lines": "array<struct<text:string,confidence:double>>", "page_table": "array<array<string>>", "page_signed": "boolean"}
 
 
 def _lit(value: object, kind: str) -> Column:
@@ -185,20 +192,29 @@ def id_address(lines: Column) -> Column:
     return F.coalesce(labelled, F.aggregate(lines, state, step, lambda s: F.nullif(F.array_join(s["parts"], " "), F.lit(""))))
 
 
+def id_birth(lines: Column) -> Column:
+    """The date beside a label of the birth date or on the line after it."""
+    day = lambda v: F.nullif(F.regexp_extract(v, rf"{L}({D}{{1,2}}[-/]{D}{{1,2}}[-/]{D}{{2,4}}|{D}{{4}}[-/]{D}{{1,2}}[-/]{D}{{1,2}}){R}", 1), F.lit(""))
+    at = F.transform(lines, lambda v, i: F.when(T.any_of(F.lower(v), C.BIRTH_LABELS), F.coalesce(day(v), day(F.try_element_at(lines, i + 2)))))
+    return F.try_element_at(F.array_compact(at), F.lit(1))
+
+
 ID_CARD_STAGES = (
     lambda text, as_of: {"lines": id_lines(text)},
-    lambda text, as_of: {"number": id_number(x("lines"), as_of), "name_raw": id_name(x("lines")), "address_raw": id_address(x("lines"))},
-    lambda text, as_of: {"info": V.national_id(x("number"), as_of), "name": T.corrected_line(x("name_raw")), "address": T.corrected_line(x("address_raw"))},
+    lambda text, as_of: {"number": id_number(x("lines"), as_of), "name_raw": id_name(x("lines")), "address_raw": id_address(x("lines")), "born": id_birth(x("lines"))},
+    lambda text, as_of: {"info": V.national_id(x("number"), as_of), "name": T.corrected_line(x("name_raw")), "address": T.corrected_line(x("address_raw")), "born_c": V.date_check(x("born"), as_of, past=True)},
 )
 
 
 def _id_card_fields(as_of: Column) -> list[Field]:
-    info, many = x("info"), F.size(T.words_of(x("name"))) >= 2
+    info, many, born = x("info"), F.size(T.words_of(x("name"))) >= 2, x("born_c")
+    derived = info["birth_date"].isNotNull()
     return [
-        Field("national_id", x("number"), 0.98, True, info["reason"]), Field("birth_date", info["birth_date"], 0.99, True, "Derived from validated ID"), Field("gender", info["gender"], 0.99, True, "Derived from validated ID"),
-        Field("governorate", info["governorate"], 0.98, True, "Decoded governorate"), Field("governorate_code", info["governorate_code"], 0.98),
-        Field("name", F.nullif(x("name"), F.lit("")), F.when(many, 0.92).otherwise(0.65), many, F.when(many, "Multi-word personal name detected").otherwise("Single word name candidate")),
-        Field("address", F.nullif(x("address"), F.lit("")), 0.90),
+        Field("national_id", x("number"), 0.98, True, info["reason"], seen=x("number")), Field("birth_date", F.coalesce(info["birth_date"], x("born")), F.when(derived, 0.99).when(born["valid"], 0.95).otherwise(0.50), derived | born["valid"], F.when(derived, "From the identity number").otherwise(born["reason"])),
+        Field("gender", info["gender"], 0.99, True, "From the identity number"),
+        Field("governorate", info["governorate"], 0.98, True, "From the identity number"), Field("governorate_code", info["governorate_code"], 0.98),
+        Field("name", F.nullif(x("name"), F.lit("")), F.when(many, 0.92).otherwise(0.65), many, F.when(many, "Name of several words").otherwise("Name of one word"), seen=F.when(many, x("name"))),
+        Field("address", F.nullif(x("address"), F.lit("")), 0.90, seen=x("address")),
     ]
 
 
@@ -266,7 +282,7 @@ def _passport_fields(as_of: Column) -> list[Field]:
     return [
         Field("mrz_detected", F.when(x("l1").isNotNull(), "true"), 0.99), Field("issuing_country", F.coalesce(x("country"), x("seen_country")), by("country", 0.99, 0.92)),
         Field("nationality", F.coalesce(x("country"), x("seen_nation")), by("country", 0.99, 0.92)), Field("surname", x("last"), by("surname", 0.98, 0.92)), Field("given_names", x("first"), by("given", 0.98, 0.92)),
-        Field("name", name, by("surname", 0.98, F.when(x("last").isNotNull(), 0.92).otherwise(0.90))), Field("passport_number", x("passport"), sure, ok, note),
+        Field("name", name, by("surname", 0.98, F.when(x("last").isNotNull(), 0.92).otherwise(0.90))), Field("passport_number", x("passport"), sure, ok, note, seen=F.when(x("number").isNull(), x("passport"))),
         Field("date_of_birth", x("dob"), born, x("dob_c")["valid"], x("dob_c")["reason"]), Field("birth_date", x("dob"), born, x("dob_c")["valid"]), Field("sex", x("gender"), by("sex", 0.99, 0.95)), Field("gender", x("gender"), by("sex", 0.99, 0.95)),
         Field("issue_date", x("issued"), F.when(x("issued_c")["valid"], 0.95).otherwise(0.50), x("issued_c")["valid"], x("issued_c")["reason"]),
         Field("expiry_date", x("expiry"), F.when(x("expiry_c")["valid"], by("ends", 0.99, 0.95)).otherwise(0.50), x("expiry_c")["valid"], x("expiry_c")["reason"]),
@@ -278,9 +294,9 @@ def _dated(as_of: Column, past: tuple[str, ...] = (), plain: tuple[str, ...] = (
     return {f"{n}_c": V.date_check(x(n), as_of, past=n in past) for n in (*past, *plain)}
 
 
-def _date_field(name: str, of: str, sure: float) -> Field:
+def _date_field(name: str, of: str, sure: float, seen: bool = False) -> Field:
     c = x(f"{of}_c")
-    return Field(name, x(of), F.when(c["valid"], sure).otherwise(0.50), c["valid"], c["reason"])
+    return Field(name, x(of), F.when(c["valid"], sure).otherwise(0.50), c["valid"], c["reason"], seen=x(of) if seen else None)
 
 
 def _license(text: Column, as_of: Column) -> Found:
@@ -300,7 +316,7 @@ def _license_days(text: Column, as_of: Column) -> Found:
 
 def _license_fields(as_of: Column) -> list[Field]:
     return [
-        Field("license_number", x("number"), 0.95), Field("holder_name", x("holder"), 0.92), Field("license_class", x("class"), 0.94), Field("blood_type", x("blood"), 0.95), _date_field("issue_date", "issued", 0.95), _date_field("expiry_date", "expiry", 0.95),
+        Field("license_number", x("number"), 0.95), Field("holder_name", x("holder"), 0.92, seen=x("holder")), Field("license_class", x("class"), 0.94), Field("blood_type", x("blood"), 0.95), _date_field("issue_date", "issued", 0.95), _date_field("expiry_date", "expiry", 0.95),
     ]
 
 
@@ -319,6 +335,30 @@ def _total_field() -> Field:
     return Field("total", x("total"), sure, ~x("sums") | x("right"), F.when(x("sums"), F.when(x("right"), "Consistent totals").otherwise("Inconsistent totals")))
 
 
+def _column(kind: str) -> Column:
+    """Place of the table's column whose header names ``kind`` (the last of several), null if none does."""
+    heads = F.try_element_at(F.col("page_table"), F.lit(1))
+    kinds = F.transform(heads, lambda h: F.coalesce(*(F.when(T.any_of(F.lower(h), words), k) for k, words in C.ITEM_HEADERS.items()), F.lit("")))
+    return F.aggregate(F.transform(kinds, lambda k, i: F.when(k == kind, i + 1)), F.lit(None).cast("int"), lambda a, i: F.coalesce(i, a))
+
+
+def _table_rows(text: Column, as_of: Column) -> Found:
+    """Rows of two cells or more below the header of the page's table, and the places of its columns."""
+    rows = F.filter(F.slice("page_table", 2, F.greatest(F.size("page_table") - 1, F.lit(0))), lambda r: F.size(r) >= 2)
+    return {"cells": F.coalesce(rows, F.array().cast("array<array<string>>")), **{f"at_{k}": _column(k) for k in C.ITEM_HEADERS}}
+
+
+def _table_items(text: Column, as_of: Column) -> Found:
+    """(description, quantity, unit price, amount) of the table's rows; description and amount fall back to the ends of the row."""
+    cell = lambda r, k: F.when(x(f"at_{k}") <= F.size(r), F.try_element_at(r, x(f"at_{k}")))
+    number = lambda r, k: F.regexp_replace(cell(r, k), rf"[^{D}.]", "").try_cast("double")
+    item = lambda r: F.struct(
+        F.coalesce(cell(r, "description"), F.try_element_at(r, F.lit(1))).alias("description"), number(r, "quantity").alias("quantity"), number(r, "unit_price").alias("unit_price"),
+        F.coalesce(cell(r, "amount"), F.try_element_at(r, F.lit(-1))).alias("amount"),
+    )
+    return {"table": F.transform(x("cells"), item)}
+
+
 _ITEM = rf"^([A-Za-z\x{{0600}}-\x{{06FF}}\s\p{{Z}}0-9]+){S}+({D}+(?:\.{D}+)?){S}*[@xX]{S}*([{D},]+(?:\.{D}{{2}})?){S}+([{D},]+(?:\.{D}{{2}})?)$"
 
 
@@ -338,14 +378,17 @@ def _invoice(text: Column, as_of: Column) -> Found:
 def _invoice_fields(as_of: Column) -> list[Field]:
     usual = F.coalesce(x("number").rlike("^[A-Za-z0-9-_/]{3,}$"), F.lit(False))
     sure = F.when(x("sums") & x("right"), 0.98).otherwise(0.95)
-    part = lambda g: F.transform(x("rows"), lambda v: F.translate(F.regexp_extract(v, _ITEM, g), ",", ""))
-    items = F.transform(x("rows"), lambda v: F.concat_ws(" | ", *(T.stripped(F.translate(F.regexp_extract(v, _ITEM, g), ",", "")) for g in (1, 2, 3, 4))))
+    tabled = F.size(x("table")) > 0
+    line = lambda g: F.transform(x("rows"), lambda v: F.translate(F.regexp_extract(v, _ITEM, g), ",", ""))
+    part = lambda k, g: F.when(tabled, F.array_compact(F.transform(x("table"), lambda v: v[k].cast("string")))).otherwise(line(g))
+    of_lines = F.transform(x("rows"), lambda v: F.concat_ws(" | ", *(T.stripped(F.translate(F.regexp_extract(v, _ITEM, g), ",", "")) for g in (1, 2, 3, 4))))
+    items = F.when(tabled, F.transform(x("table"), lambda v: F.concat_ws(" | ", *(v[k].cast("string") for k in ("description", "quantity", "unit_price", "amount"))))).otherwise(of_lines)
     return [
-        Field("invoice_number", x("number"), F.when(usual, 0.96).otherwise(0.60), usual, F.when(usual, "Valid alphanumeric invoice number").otherwise("Unusual format")),
-        _date_field("invoice_date", "made", 0.95), _date_field("date", "made", 0.95), _date_field("due_date", "due", 0.95),
-        Field("seller", F.when(~T.any_of(F.lower(x("seller")), ["invoice", "date", "bill to", "tax"]), x("seller")), 0.92), Field("buyer", F.when(~T.any_of(F.lower(x("buyer")), ["subtotal", "vat", "tax", "total"]), x("buyer")), 0.92),
-        Field("currency", x("currency"), 0.98), Field("subtotal", x("subtotal"), sure), Field("tax", x("tax"), sure), Field("discount", x("discount"), 0.95), _total_field(),
-        Field("items", items, 0.92, many=True), Field("quantities", part(2), 0.92, many=True), Field("unit_prices", part(3), 0.92, many=True),
+        Field("invoice_number", x("number"), F.when(usual, 0.96).otherwise(0.60), usual, F.when(usual, "Letters and digits").otherwise("Unusual form"), seen=x("number")),
+        _date_field("invoice_date", "made", 0.95, True), _date_field("date", "made", 0.95, True), _date_field("due_date", "due", 0.95, True),
+        Field("seller", F.when(~T.any_of(F.lower(x("seller")), ["invoice", "date", "bill to", "tax"]), x("seller")), 0.92, seen=x("seller")), Field("buyer", F.when(~T.any_of(F.lower(x("buyer")), ["subtotal", "vat", "tax", "total"]), x("buyer")), 0.92, seen=x("buyer")),
+        Field("currency", x("currency"), 0.98, seen=x("currency")), Field("subtotal", x("subtotal"), sure), Field("tax", x("tax"), sure), Field("discount", x("discount"), 0.95), _total_field(),
+        Field("items", items, 0.92, many=True), Field("quantities", part("quantity", 2), 0.92, many=True), Field("unit_prices", part("unit_price", 3), 0.92, many=True),
     ]
 
 
@@ -369,9 +412,11 @@ def _receipt(text: Column, as_of: Column) -> Found:
 
 
 def _receipt_fields(as_of: Column) -> list[Field]:
-    items = F.transform(x("rows"), lambda v: F.concat_ws(" | ", T.stripped(F.regexp_extract(v, _PRICED, 1)), F.translate(F.regexp_extract(v, _PRICED, 2), ",", "")))
+    of_lines = F.transform(x("rows"), lambda v: F.concat_ws(" | ", T.stripped(F.regexp_extract(v, _PRICED, 1)), F.translate(F.regexp_extract(v, _PRICED, 2), ",", "")))
+    of_table = F.transform(x("cells"), lambda r: F.concat_ws(" | ", F.try_element_at(r, F.lit(1)), F.try_element_at(r, F.lit(-1))))
+    items = F.when(F.size(x("cells")) > 0, of_table).otherwise(of_lines)
     return [
-        Field("merchant", x("merchant"), 0.92), Field("receipt_number", x("number"), 0.95), _date_field("date", "made", 0.96), Field("time", x("time"), 0.95), Field("subtotal", x("subtotal"), 0.95), Field("tax", x("tax"), 0.95),
+        Field("merchant", x("merchant"), 0.92, seen=x("merchant")), Field("receipt_number", x("number"), 0.95), _date_field("date", "made", 0.96, True), Field("time", x("time"), 0.95, seen=x("time")), Field("subtotal", x("subtotal"), 0.95), Field("tax", x("tax"), 0.95),
         _total_field(), Field("payment_method", x("paid"), 0.96), Field("currency", x("currency"), 0.98), Field("items", items, 0.90, many=True),
     ]
 
@@ -384,13 +429,13 @@ def _contract(text: Column, as_of: Column) -> Found:
         "one": first_line(found(text, rf"(?:الطرف{S}*الأول|First{S}*Party){_EQ}{who}")), "two": first_line(found(text, rf"(?:الطرف{S}*(?:الثاني|الثانى)|Second{S}*Party){_EQ}{who}")),
         "days": F.regexp_extract_all(text, F.lit(rf"(?iu)(?:تاريخ{S}*التحرير|حرر{S}*في|الموافق|Date|dated){_EQ}({_DATE})"), F.lit(1)),
         "clauses": F.filter(F.transform(clauses, T.stripped), lambda c: (F.length(c) > 3) & (F.length(c) < 120)), "amounts": every(text, rf"[{D},]+(?:\.{D}{{1,2}})?{S}*(?:جنيه|ج\.م|EGP|USD|EUR|دولار|ريال)"),
-        "signed": F.when(T.any_of(text, ["توقيع", "التوقيعات", "Signature", "Signatures", "Signed by"]), "true"),
+        "signed": F.when(F.coalesce(F.col("page_signed"), F.lit(False)) | T.any_of(text, ["توقيع", "التوقيعات", "Signature", "Signatures", "Signed by"]), "true"),
     }
 
 
 def _contract_fields(as_of: Column) -> list[Field]:
     return [
-        Field("title", x("title"), 0.95), Field("first_party", x("one"), 0.92), Field("second_party", x("two"), 0.92), Field("parties", F.array_compact(F.array(x("one"), x("two"))), 0.92, many=True),
+        Field("title", x("title"), 0.95, seen=x("title")), Field("first_party", x("one"), 0.92, seen=x("one")), Field("second_party", x("two"), 0.92, seen=x("two")), Field("parties", F.array_compact(F.array(x("one"), x("two"))), 0.92, many=True),
         _date_field("date", "made", 0.96), Field("dates", F.array_distinct(x("days")), 0.95, many=True), Field("clauses", F.slice(x("clauses"), 1, 15), 0.94, many=True), Field("amounts", F.slice(x("amounts"), 1, 5), 0.93, many=True),
         Field("signatures_detected", x("signed"), 0.95),
     ]
@@ -444,7 +489,7 @@ def _cv_fields(as_of: Column) -> list[Field]:
     contact = F.array_compact(F.array(*(F.when(x(c).isNotNull(), F.concat(F.lit(f"{k}="), x(c))) for k, c in (("email", "mail"), ("phone", "phone"), ("links", "link_text"), ("location", "place")))))
     mail, phone = V.email(x("mail")), V.phone(x("phone"))
     return [
-        Field("name", x("name"), 0.94), Field("email", x("mail"), F.when(mail, 0.98).otherwise(0.50), mail), Field("phone", x("phone"), F.when(phone, 0.95).otherwise(0.50), phone), Field("links", x("links"), 0.95, many=True),
+        Field("name", x("name"), 0.94, seen=x("name")), Field("email", x("mail"), F.when(mail, 0.98).otherwise(0.50), mail, seen=x("mail")), Field("phone", x("phone"), F.when(phone, 0.95).otherwise(0.50), phone, seen=x("phone")), Field("links", x("links"), 0.95, many=True),
         Field("contact_information", contact, 0.95, many=True), Field("summary", x("summary"), 0.90), Field("education", F.transform(F.slice(x("education"), 1, 5), T.stripped), 0.92, many=True),
         Field("experience", F.when(listed, x("jobs")).otherwise(x("other_roles")), F.when(listed, 0.92).otherwise(0.90), many=True), Field("skills", x("skills"), 0.95, many=True),
         Field("certifications", F.array_distinct(F.transform(F.slice(x("certs"), 1, 5), T.stripped)), 0.92, many=True), Field("languages", F.array_distinct(x("languages")), 0.95, many=True),
@@ -515,8 +560,8 @@ GENERIC = Extractor((_generic,), _generic_fields)
 _EXTRACTORS: dict[str, Extractor] = {
     "id_card": Extractor(ID_CARD_STAGES, _id_card_fields),
     "passport": Extractor((_passport_zone, _passport_lines, _passport_read, _passport_seen, _passport_merged, _passport_checked), _passport_fields),
-    "invoice": Extractor((_invoice, lambda text, as_of: _dated(as_of, plain=("made", "due")) | _sums(text, as_of)), _invoice_fields),
-    "receipt": Extractor((_receipt, lambda text, as_of: _dated(as_of, past=("made",)) | _sums(text, as_of)), _receipt_fields),
+    "invoice": Extractor((_invoice, lambda text, as_of: _dated(as_of, plain=("made", "due")) | _sums(text, as_of) | _table_rows(text, as_of), _table_items), _invoice_fields),
+    "receipt": Extractor((_receipt, lambda text, as_of: _dated(as_of, past=("made",)) | _sums(text, as_of) | _table_rows(text, as_of)), _receipt_fields),
     "contract": Extractor((_contract, lambda text, as_of: {"made": F.try_element_at(x("days"), F.lit(1))}, lambda text, as_of: _dated(as_of, plain=("made",))), _contract_fields),
     "cv": Extractor((_cv, _cv_work), _cv_fields),
     "driver_license": Extractor((_license, _license_days, lambda text, as_of: _dated(as_of, past=("issued",), plain=("expiry",))), _license_fields),
@@ -537,31 +582,47 @@ def registered() -> dict[str, Extractor]:
 #: The day that validity counts from, where none is given.
 AS_OF = "2026-01-01"
 KEYS = ("doc_id", "page_number")
+ENTRY = ("field_name", "seq", "value", "confidence", "is_valid", "note")
 
 
 def _entries(f: Field) -> Column:
     """A field's values as an array of rows."""
     values = f.value if f.many else F.when(f.value.isNotNull(), F.array(f.value.cast("string")))
+    sure = _lit(f.confidence, "double")
+    if f.seen is not None:
+        snippet = F.lower(T.stripped(f.seen.cast("string")))
+        line = F.try_element_at(F.filter("page_lines", lambda v: F.contains(F.lower(v["text"]), snippet)), F.lit(1))
+        sure = F.when((snippet != "") & (line["confidence"] > 0), line["confidence"]).otherwise(sure)
 
     def row(value: Column, i: Column) -> Column:
         return F.struct(
-            F.lit(f.name).alias("field_name"), i.alias("seq"), value.alias("value"), _lit(f.confidence, "double").alias("confidence"), F.coalesce(_lit(f.valid, "boolean"), F.lit(False)).alias("is_valid"), _lit(f.note, "string").alias("note")
+            F.lit(f.name).alias("field_name"), i.alias("seq"), value.alias("value"), sure.alias("confidence"), F.coalesce(_lit(f.valid, "boolean"), F.lit(False)).alias("is_valid"), _lit(f.note, "string").alias("note")
         )
 
     return F.transform(F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")), row)
 
 
+def _base(pages: DataFrame, *more: str) -> DataFrame:
+    """Pages with text, with null for parts of LAYOUT that they lack."""
+    return pages.where(T.filled(F.col("text"))).select(*KEYS, "text", *more, *(F.col(c).cast(kind).alias(c) if c in pages.columns else F.lit(None).cast(kind).alias(c) for c, kind in LAYOUT.items()))
+
+
+def _staged(base: DataFrame, extractor: Extractor, day: Column, only: Column | None = None) -> tuple[DataFrame, Column]:
+    """The pages with the extractor's stages as columns, and the array of its fields; null on pages other than ``only``."""
+    held = lambda c: c if only is None else F.when(only, c)
+    for stage in extractor.stages:
+        base = base.withColumns({f"x{_OWN[-1]}_{n}": held(c) for n, c in stage(F.col("text"), day).items()})
+    return base, held(F.filter(F.flatten(F.array(*map(_entries, extractor.fields(day)))), lambda f: f["value"].isNotNull()))
+
+
 def eav(pages: DataFrame, extractor: Extractor, source: str, name: str, as_of: str = AS_OF) -> DataFrame:
     """Rows (keys, source, extractor, field_name, seq, value, confidence, is_valid, note) of one extractor.
 
-    Null values and empty lists give no row; null and empty texts have no fields.
+    Null values and empty lists give no row; null and empty texts have no fields. Pages may have the columns of LAYOUT:
+    a field's confidence is then the one of the first line that holds it, and items are read from the table.
     """
-    day = F.lit(as_of).cast("date")
-    base = pages.where(T.filled(F.col("text"))).select(*KEYS, "text")
-    for stage in extractor.stages:
-        base = base.withColumns({f"x_{n}": c for n, c in stage(F.col("text"), day).items()})
-    rows = base.select(*KEYS, F.explode(F.flatten(F.array(*map(_entries, extractor.fields(day))))).alias("f"))
-    return rows.select(*KEYS, F.lit(source).alias("source"), F.lit(name).alias("extractor"), "f.*").where("value IS NOT NULL")
+    base, found = _staged(_base(pages), extractor, F.lit(as_of).cast("date"))
+    return base.select(*KEYS, F.explode(found).alias("f")).select(*KEYS, F.lit(source).alias("source"), F.lit(name).alias("extractor"), "f.*")
 
 
 def generic(pages: DataFrame, as_of: str = AS_OF) -> DataFrame:
@@ -569,13 +630,28 @@ def generic(pages: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def extract(classified: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """Fields of classified pages: generic for all, specialised by category, the specialised ones before the generic."""
-    classified = cut(classified.select(*KEYS, "text", "category"))  # every branch below reads it again
-    rows = generic(classified, as_of)
+    """Fields of classified pages: generic for all, specialised by category, the specialised ones before the generic.
+
+    One pass: every extractor's columns stand in one chain of projections and are null on pages of other categories; the
+    fields of a page are one array, in which generic ones give way, so nothing is shuffled or read twice.
+    """
+    day, special = F.lit(as_of).cast("date"), []
+    base, general = _staged(_base(classified, "category"), GENERIC, day)
+    base = base.select(*KEYS, "text", "category", *LAYOUT, general.alias("_general"))
     for category, extractor in _EXTRACTORS.items():
-        rows = rows.unionByName(eav(classified.where(F.col("category") == category), extractor, "specialised", category, as_of))
-    rank = F.dense_rank().over(W.partitionBy(*KEYS, "field_name").orderBy(F.col("source").desc()))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+        _OWN.append(f"_{category}")
+        try:
+            base, found = _staged(base, extractor, day, F.col("category") == category)
+        finally:
+            _OWN.pop()
+        special.append(found)
+    base = base.select(*KEYS, "category", "_general", F.coalesce(*special).alias("_special"))
+    told = lambda array, source, name: F.transform(array, lambda f: F.struct(source.alias("source"), name.alias("extractor"), *(f[c].alias(c) for c in ENTRY)))
+    special = F.coalesce("_special", F.array().cast(base.schema["_special"].dataType))
+    names = F.transform(special, lambda f: f["field_name"])
+    rest = F.filter("_general", lambda f: ~F.array_contains(names, f["field_name"]))
+    both = F.concat(told(rest, F.lit("generic"), F.lit("generic")), told(special, F.lit("specialised"), F.col("category")))
+    return base.select(*KEYS, F.explode(both).alias("f")).select(*KEYS, "f.*")
 
 
 def structured(fields: DataFrame, page_confidence: Column | float = 1.0) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import constants as C
 from folioscope.functions.text import any_of, direction, language, normalized, occurrences, stripped, words_of
-from folioscope.operators.recognition import PAGE, boxed
+from folioscope.operators.recognition import PAGE, boxed, mean
 
 #: Tolerances and bands.
 LINE_TOLERANCE, LEAST_HEIGHT, ENGINE_TOLERANCE, HEADER_HEIGHT, GAP = 0.65, 5.0, 0.5, 1.30, 1.7
@@ -114,7 +114,7 @@ def lines(ordered: DataFrame, local: bool = False) -> DataFrame:
     ordered = ordered if local else ordered.repartition(*PAGE)
     raw = F.when(F.coalesce(F.col("raw_text"), F.lit("")) == "", F.col("text")).otherwise(F.col("raw_text"))
     out = ordered.withColumn("_raw", raw).groupBy(*PAGE, "line_number").agg(
-        _joined("text", " ", "reading_order").alias("text"), _joined("_raw", " ", "reading_order").alias("raw_text"), F.avg("confidence").alias("confidence"),
+        _joined("text", " ", "reading_order").alias("text"), _joined("_raw", " ", "reading_order").alias("raw_text"), mean("confidence").alias("confidence"),
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.count("*").alias("blocks"),
     )
     text = F.col("text")
@@ -144,7 +144,7 @@ def paragraphs(page_lines: DataFrame) -> DataFrame:
     """Paragraphs of lines with their type (header or paragraph)."""
     base = paragraphs_of_lines(page_lines)
     out = base.groupBy(*PAGE, "block_id").agg(
-        _joined("text", "\n", "line_number").alias("text"), F.avg("confidence").alias("confidence"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"),
+        _joined("text", "\n", "line_number").alias("text"), mean("confidence").alias("confidence"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"),
         F.max("bottom").alias("bottom"), F.count("*").alias("lines"), F.min_by("is_header", "line_number").alias("_first"),
     )
     return out.withColumns({"type": F.when(F.col("_first"), "header").otherwise("paragraph"), "language": language(F.col("text"))["lang"], "direction": direction(F.col("text"))}).drop("_first")

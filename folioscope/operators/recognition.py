@@ -16,6 +16,12 @@ MERGE_CONFIDENCE, MERGE_OVERLAP, CANVAS = 0.60, 0.18, 3200
 _STRUCTURED = rf"(?<![{C.WORD}])(?:\p{{Nd}}{{4}}[-/]\p{{Nd}}{{1,2}}[-/]\p{{Nd}}{{1,2}}|\p{{Nd}}{{6,}}|20\p{{Nd}}{{8,10}}|[A-Za-z0-9_-]+@[A-Za-z0-9.-]+)(?![{C.WORD}])"
 
 
+def mean(values: Column | str) -> Column:
+    """Average by exact decimal sums, the same in whatever order rows are added; null over nothing."""
+    value = F.col(values) if isinstance(values, str) else values
+    return F.sum(value.cast("decimal(18,9)")).cast("double") / F.count(value)
+
+
 def edge(points: Column, axis: str, least: bool) -> Column:
     """Smallest or greatest coordinate of a polygon."""
     values = F.transform(points, lambda p: p[axis])
@@ -70,7 +76,7 @@ def retry_scale(longest: Column, canvas: int = CANVAS) -> Column:
 def page_quality(blocks: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Quality of each page: average confidence, coherence, counts, structured data, composite score from 0 to 1."""
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("detection_order", F.coalesce("text", F.lit("")).alias("text")))), lambda b: b["text"]), " ")
-    page = blocks.groupBy(*keys).agg(F.avg("confidence").alias("avg_confidence"), F.count("*").alias("block_count"), ordered.alias("_text"))
+    page = blocks.groupBy(*keys).agg(mean("confidence").alias("avg_confidence"), F.count("*").alias("block_count"), ordered.alias("_text"))
     return page.withColumns(_quality(F.col("_text"), F.col("avg_confidence"))).drop("_text")
 
 
@@ -89,7 +95,7 @@ def _quality(text: Column, average: Column) -> dict[str, Column]:
 
 def review_flags(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """needs_review (no blocks, or one under REVIEW) and uncertain_lines (mean under REVIEW) of every page."""
-    lines = blocks.groupBy(*PAGE, "line_number").agg(F.avg("confidence").alias("mean"), F.min("confidence").alias("least"))
+    lines = blocks.groupBy(*PAGE, "line_number").agg(mean("confidence").alias("mean"), F.min("confidence").alias("least"))
     unsure = F.array_sort(F.collect_list(F.when(F.col("mean") < REVIEW, F.col("line_number"))))
     flags = lines.groupBy(*PAGE).agg(F.coalesce(F.bool_or(F.col("least") < REVIEW), F.lit(False)).alias("low"), unsure.alias("uncertain_lines"))
     joined = pages.select(*PAGE).distinct().join(flags, list(PAGE), "left")
@@ -100,8 +106,8 @@ def routing(blocks: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Which pages are read again, and how: ``rotate``, ``original`` or ``keep``."""
     boxes = boxed(blocks)
     shape = boxes.groupBy(*keys).agg(
-        F.avg((F.col("confidence") < REVIEW).cast("double")).alias("weak_fraction"),
-        F.avg((F.col("height") > F.greatest(F.col("width"), F.lit(1.0)) * 1.5).cast("double")).alias("vertical_fraction"),
+        mean((F.col("confidence") < REVIEW).cast("double")).alias("weak_fraction"),
+        mean((F.col("height") > F.greatest(F.col("width"), F.lit(1.0)) * 1.5).cast("double")).alias("vertical_fraction"),
     )
     page = page_quality(blocks, keys).join(shape, list(keys))
     vertical = (F.col("block_count") >= 3) & (F.col("vertical_fraction") >= VERTICAL)
@@ -148,7 +154,7 @@ def merged_passes(primary: DataFrame, secondary: DataFrame, keys: tuple[str, ...
     taken = F.aggregate("_other", F.col("_base"), lambda kept, b: F.when((b["confidence"] < MERGE_CONFIDENCE) | F.exists(kept, lambda k: iou(b, k) > MERGE_OVERLAP), kept).otherwise(F.concat(kept, F.array(b))))
     page = page.withColumn("_taken", taken)
     label = F.when(F.size("_taken") > F.size("_base"), "merged").when(F.col("_first"), "primary").otherwise("secondary")
-    return page.select(*keys, label.alias("label"), F.size("_taken").alias("block_count"), F.aggregate("_taken", F.lit(0.0), lambda s, b: s + b["confidence"]).alias("_sum"), F.col("_taken").alias("blocks")).withColumn(
+    return page.select(*keys, label.alias("label"), F.size("_taken").alias("block_count"), F.aggregate("_taken", F.lit(0).cast("decimal(28,9)"), lambda s, b: (s + F.coalesce(b["confidence"], F.lit(0.0)).cast("decimal(18,9)")).cast("decimal(28,9)")).cast("double").alias("_sum"), F.col("_taken").alias("blocks")).withColumn(
         "average_confidence", F.col("_sum") / F.greatest(F.col("block_count"), F.lit(1))
     ).drop("_sum")
 

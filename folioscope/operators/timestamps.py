@@ -2,8 +2,8 @@
 
 Every value is read under each format that can hold it. The formats valid for a value form its *signature*; per source
 (the station that scanned the paper) an expectation-maximisation over the counts of signatures estimates the mixture of
-formats, with the station's declared numeric order as Dirichlet prior, and the posterior chooses the reading. Ties stay
-marked ``ambiguous``. Only (source, signature, count) leaves the map side, so the estimate never sees single values.
+formats, with the station's declared numeric order as Dirichlet prior of a few values, and the posterior chooses the reading.
+What stays under DECIDED is marked ``ambiguous``. Only (source, signature, count) leaves the map side, so the estimate never sees single values.
 
 Defined results: null, blank, placeholder, partly unreadable (``??/05/2021``) and impossible dates give no row; digits
 of any script and the look-alikes O/o and l/I inside digits count as digits; a time without a date gives no row; a wall
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.plans.materialize import cut
+
 # Names of months by number.
 MONTHS = {
     1: "january jan janvier januar jänner enero janv ene يناير",
@@ -51,9 +53,10 @@ ZONES = {
 YEARS = range(1900, 2100)
 #: Day and second counts stand for dates from 2000 to 2069 and 2001 to 2069.
 SERIAL_DAYS, EPOCH_SECONDS = range(36526, 62093), range(978307200, 3155760000)
-#: Weight of the declared order against observed values; the order printed on the papers of a station is a rule, not a hint.
-PRIOR = 1e6
-ROUNDS = 12
+#: Values that the declared order of a source counts as, beside those observed.
+PRIOR = 8.0
+#: Change of the mixture under which the estimation ends.
+SETTLED = 1e-9
 #: Posterior under which the choice between readings stays marked as ambiguous.
 DECIDED = 0.9
 
@@ -179,16 +182,24 @@ def _clock_of(column: str) -> Column:
 
 
 def mixture(counts: pd.DataFrame, declared: str | None) -> pd.DataFrame:
-    """EM over one source's counts of signatures (sets of formats): each signature's best format and its posterior."""
+    """EM over one source's counts of signatures (sets of formats): each signature's best format and its posterior.
+
+    A value is as likely under each of its readings as the format's share of the source, which the declared order raises
+    by PRIOR values. Without any evidence the readings stay equal and the value ambiguous. Of equal readings the first
+    by name is given.
+    """
     formats = sorted({f for s in counts.signature for f in s.split("|")})
     valid = np.array([[f in s.split("|") for f in formats] for s in counts.signature], float)
-    prior = np.array([PRIOR if f == declared else 1.0 for f in formats])
-    n, weight = counts.n.to_numpy(float)[:, None], prior / prior.sum()
-    for _ in range(ROUNDS):
+    prior = np.array([PRIOR if f == declared else 0.0 for f in formats])
+    n, weight = counts.n.to_numpy(float)[:, None], np.full(len(formats), 1 / len(formats))
+    while True:
         posterior = valid * weight
         posterior /= posterior.sum(1, keepdims=True)
-        weight = (posterior * n).sum(0) + prior - 1 + 1e-9
-        weight /= weight.sum()
+        new = (posterior * n).sum(0) + prior + 1e-9
+        new /= new.sum()
+        settled, weight = np.abs(new - weight).max() < SETTLED, new
+        if settled:
+            break
     posterior = valid * weight
     posterior /= posterior.sum(1, keepdims=True)
     best = posterior.argmax(1)
@@ -201,7 +212,8 @@ def resolve_dates(values: DataFrame, source: str, order: str) -> DataFrame:
     ``source`` names the column of the mixture's source, ``order`` the one of its declared numeric order (may be null).
     """
     read = values.withColumn("_all", _readings_of("value")).where(F.size("_all") > 0)
-    read = read.withColumn("_signature", F.array_join(F.transform("_all", lambda r: r["format"]), "|"))
+    # read once: both the counts and the rows below come from here
+    read = cut(read.withColumn("_signature", F.array_join(F.transform("_all", lambda r: r["format"]), "|")))
     counts = read.groupBy(F.col(source).alias("_source"), F.col(order).alias("_order"), F.col("_signature").alias("signature")).agg(F.count("*").alias("n"))
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -86,11 +86,15 @@ def header_(text: str, height: str, median: str) -> str:
     return f"(({height} > {median} * 1.30 AND {n} <= 8) OR (({starts}) AND {n} BETWEEN 1 AND 10))"
 
 
+def mean_(col: str) -> str:
+    return f"(sum({col}::DECIMAL(18,9))::DOUBLE / nullif(count({col}), 0))"
+
+
 BLOCKS = "SELECT DISTINCT doc_id, page_number, detection_order, points, text, raw_text, confidence, line_number FROM blocks"
 BOXES = f"""SELECT *, (l + r) / 2 AS cx, (t + b) / 2 AS cy, b - t AS h, r - l AS w FROM (
   SELECT *, list_min(list_transform(points, lambda p: p.x)) AS l, list_min(list_transform(points, lambda p: p.y)) AS t,
     list_max(list_transform(points, lambda p: p.x)) AS r, list_max(list_transform(points, lambda p: p.y)) AS b FROM ({BLOCKS}))"""
-LINES = f"""SELECT doc_id, page_number, line_number, string_agg(coalesce(text, ''), ' ' ORDER BY detection_order) AS text, avg(confidence) AS confidence,
+LINES = f"""SELECT doc_id, page_number, line_number, string_agg(coalesce(text, ''), ' ' ORDER BY detection_order) AS text, {mean_('confidence')} AS confidence,
   min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, max(b) - min(t) AS h, count(*) AS n FROM ({BOXES}) GROUP BY ALL"""
 MEDIANS = f"SELECT *, median(h) OVER (PARTITION BY doc_id, page_number) AS med FROM ({LINES})"
 MARKED = f"SELECT *, {header_('text', 'h', 'med')} AS head FROM ({MEDIANS})"
@@ -186,7 +190,7 @@ def q_corrected_cards(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- recognition (R2-R17) -----------------------------------------------------------------------------------------
 _STRUCT = "(?:^|[^\\p{L}\\p{N}_])(?:\\p{Nd}{4}[-/]\\p{Nd}{1,2}[-/]\\p{Nd}{1,2}|\\p{Nd}{6,}|20\\p{Nd}{8,10}|[A-Za-z0-9_-]+@[A-Za-z0-9.-]+)(?:$|[^\\p{L}\\p{N}_])"
-_QUALITY = f"""SELECT doc_id, page_number, avg(confidence) AS a, count(*) AS n, string_agg(coalesce(text, ''), ' ' ORDER BY detection_order) AS x FROM ({BLOCKS}) GROUP BY ALL"""
+_QUALITY = f"""SELECT doc_id, page_number, {mean_('confidence')} AS a, count(*) AS n, string_agg(coalesce(text, ''), ' ' ORDER BY detection_order) AS x FROM ({BLOCKS}) GROUP BY ALL"""
 _SCORED = f"""SELECT *, regexp_matches(x, '{_STRUCT}') AS s, length(replace(x, ' ', '')) AS p, {n_('x', C.ARABIC_BLOCK + 'a-zA-Z' + C.DIGITS)} AS m FROM ({_QUALITY})"""
 
 
@@ -229,7 +233,7 @@ def q_iou(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH l AS (SELECT doc_id, page_number, line_number, avg(confidence) AS m, min(confidence) AS c FROM ({BLOCKS}) GROUP BY ALL),
+@query(f"""WITH l AS (SELECT doc_id, page_number, line_number, {mean_('confidence')} AS m, min(confidence) AS c FROM ({BLOCKS}) GROUP BY ALL),
   f AS (SELECT doc_id, page_number, coalesce(bool_or(c < 0.5), false) AS low, string_agg(CASE WHEN m < 0.5 THEN line_number END::VARCHAR, ',' ORDER BY line_number) AS u FROM l GROUP BY ALL)
   SELECT p.doc_id, p.page_number::BIGINT AS page_number, coalesce(low, true) AS needs_review, coalesce(u, '') AS uncertain_lines FROM (SELECT DISTINCT doc_id, page_number FROM doc_text) p LEFT JOIN f USING (doc_id, page_number)""")
 def q_review_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -253,13 +257,22 @@ def q_scales(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d, "width", "height").select("doc_id", *big("page_number"), recognition.magnification(m).cast("double").alias("magnification"), r6(recognition.retry_scale(m)).alias("retry_scale"))
 
 
-@query()
+_IOU = "(greatest(0, least(q.r, o.r) - greatest(q.l, o.l)) * greatest(0, least(q.b, o.b) - greatest(q.t, o.t)))"
+_SHIFT = "(CASE WHEN detection_order % 2 = 0 THEN h ELSE 2 END)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, page_number, list({{'c': coalesce(confidence, 0), 'l': l, 't': t, 'r': r, 'b': b}} ORDER BY detection_order) AS base,
+    list({{'c': coalesce(confidence, 0), 'l': l + 3, 't': t + {_SHIFT}, 'r': r + 3, 'b': b + {_SHIFT}}} ORDER BY detection_order) AS other FROM ({BOXES}) GROUP BY ALL),
+  f AS (SELECT doc_id, page_number, 0 AS k, base AS kept, other, len(base) AS n FROM p UNION ALL
+    SELECT doc_id, page_number, k + 1, CASE WHEN o.c < 0.60 OR len(list_filter(kept, lambda q: {_IOU} / (greatest(1, (q.r - q.l) * (q.b - q.t)) + greatest(1, (o.r - o.l) * (o.b - o.t)) - {_IOU}) > 0.18)) > 0 THEN kept ELSE list_append(kept, o) END, other, n
+    FROM (SELECT *, other[k + 1] AS o FROM f WHERE k < len(other)))
+  SELECT doc_id, page_number::BIGINT AS page_number, CASE WHEN len(kept) > n THEN 'merged' ELSE 'primary' END AS label, len(kept)::BIGINT AS block_count, round(list_sum(list_transform(kept, lambda q: q.c::DECIMAL(18,9)))::DOUBLE / len(kept), 6) AS average_confidence FROM f WHERE k = len(other)""")
 def q_pass_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Two recognitions of every page merged (the blocks of odd and of even order, the latter moved a little)."""
-    blocks = _blocks(spark, d).select("doc_id", "page_number", "detection_order", "points", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    odd, even = blocks.where("detection_order % 2 = 1"), blocks.where("detection_order % 3 <> 0")
-    moved = even.withColumn("points", F.transform("points", lambda p: F.struct((p["x"] + 3.0).alias("x"), (p["y"] + 2.0).alias("y"))))
-    return recognition.merged_passes(odd, moved).select("doc_id", *big("page_number"), "label", *big("block_count"), r6("average_confidence").alias("average_confidence"))
+    """Two recognitions of every page merged: all its blocks, and all again with those of even order a line lower."""
+    first = _boxes(spark, d).select("doc_id", "page_number", "detection_order", "points", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "height")
+    down = F.when(F.col("detection_order") % 2 == 0, F.col("height")).otherwise(2.0)
+    second = first.withColumn("points", F.transform("points", lambda p: F.struct((p["x"] + 3.0).alias("x"), (p["y"] + down).alias("y"))))
+    return recognition.merged_passes(first.drop("height"), second.drop("height")).select("doc_id", *big("page_number"), "label", *big("block_count"), r6("average_confidence").alias("average_confidence"))
 
 
 @query("""SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 0::BIGINT, 1::BIGINT), (1::BIGINT, 2::BIGINT, 1::BIGINT, 2::BIGINT), (2::BIGINT, 1::BIGINT, 2::BIGINT, 3::BIGINT)) AS v(doc_id, page_number, attempt_no, attempts)""")
@@ -277,11 +290,11 @@ def q_document_rollup(spark: SparkSession, d: str) -> DataFrame:
     return recognition.document_rollup(_texts(spark, d, "text", "needs_review").distinct()).select("doc_id", *big("page_count"), "needs_review", "text")
 
 
-@query("""SELECT doc_id, round(sum(c) / greatest(count(*), 1), 6) AS mean_confidence, count(*)::BIGINT AS pages FROM (SELECT doc_id, page_number, coalesce(avg(confidence), 0) AS c FROM (SELECT DISTINCT * FROM blocks) GROUP BY ALL) GROUP BY ALL""")
+@query(f"""SELECT doc_id, round(sum(c::DECIMAL(18,9))::DOUBLE / greatest(count(*), 1), 6) AS mean_confidence, count(*)::BIGINT AS pages FROM (SELECT doc_id, page_number, coalesce({mean_('confidence')}, 0) AS c FROM (SELECT DISTINCT * FROM blocks) GROUP BY ALL) GROUP BY ALL""")
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean page confidence of documents."""
-    rows = table(spark, d, "blocks").distinct().groupBy("doc_id", "page_number").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("c"))
-    return rows.groupBy("doc_id").agg(r6(F.sum("c") / F.greatest(F.count("*"), F.lit(1))).alias("mean_confidence"), F.count("*").alias("pages"))
+    rows = table(spark, d, "blocks").distinct().groupBy("doc_id", "page_number").agg(F.coalesce(recognition.mean("confidence"), F.lit(0.0)).alias("c"))
+    return rows.groupBy("doc_id").agg(r6(recognition.mean("c")).alias("mean_confidence"), F.count("*").alias("pages"))
 
 
 # ---- layout (L1-L21, R6) ------------------------------------------------------------------------------------------
@@ -329,7 +342,7 @@ def q_lines(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select("doc_id", *big("page_number", "line_number"), "text", *(r6(c).alias(c) for c in ("confidence", "left", "top", "right", "bottom")), *big("blocks"), "language", "direction", "normalized_text")
 
 
-@query(f"""SELECT doc_id, page_number::BIGINT AS page_number, block_id::BIGINT AS block_id, string_agg(text, chr(10) ORDER BY line_number) AS text, round(avg(confidence), 6) AS confidence, count(*)::BIGINT AS lines,
+@query(f"""SELECT doc_id, page_number::BIGINT AS page_number, block_id::BIGINT AS block_id, string_agg(text, chr(10) ORDER BY line_number) AS text, round({mean_('confidence')}, 6) AS confidence, count(*)::BIGINT AS lines,
   CASE WHEN arg_min(head, line_number) THEN 'header' ELSE 'paragraph' END AS type FROM ({PARAGRAPHS}) GROUP BY doc_id, page_number, block_id""")
 def q_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of pages."""
@@ -381,31 +394,36 @@ def q_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- classification (C1-C16) --------------------------------------------------------------------------------------
-_LOW = "low"
 _BND = "(?:^|[^\\p{{L}}\\p{{N}}_]){0}(?:$|[^\\p{{L}}\\p{{N}}_])"
 
 
+def _signals_sql() -> list[tuple[str, str, str, str]]:
+    """(category, signal, weight, condition) in SQL over x, low, n, w, h, dg, tb."""
+    out = [(c, "'tables_detected_' || tb", f"{v}::DOUBLE * tb", "tb > 0") for c, v in classification.Weights().tables]
+    for c, words in C.KEYWORDS.items():
+        for w in words:
+            q = w.replace("'", "''")
+            out.append((c, f"'kw_{c}:{q}'", "1.4::DOUBLE", f"contains(low, '{q}')" + (f" AND regexp_matches(low, '{_BND.format(q)}')" if w.isalnum() and w.isascii() else "")))
+    card, anchors = "w > 0 AND h > 0 AND h / w < 1.8 AND w / h >= 1.35 AND n <= 50", " + ".join(f"contains(low, '{a}')::INT" for a in C.ID_ANCHORS)
+    return out + [
+        ("receipt", "'tall_aspect_ratio_receipt'", "1.8::DOUBLE", "w > 0 AND h > 0 AND h / w >= 1.8"), ("id_card", "'landscape_card_aspect_ratio'", "1.2::DOUBLE", card), ("driver_license", "'landscape_card_aspect_ratio'", "1.2::DOUBLE", card),
+        ("passport", "'mrz_passport_pattern'", "5.5::DOUBLE", "regexp_matches(low, 'p<[a-z]{3}|p<[a-z0-9<]{10}')"), ("id_card", "'egyptian_14_digit_national_id'", "3.5::DOUBLE", f"regexp_matches(dg, '{_BND.format('[23][0-9]{13}')}')"),
+        ("bank_document", "'iban_detected'", "2.5::DOUBLE", f"regexp_matches(low, '{_BND.format('[a-z]{2}[0-9]{2}[a-z0-9]{11,30}')}')"),
+        ("invoice", "'invoice_number_pattern'", "2.2::DOUBLE", "regexp_matches(low, '(?:inv[-#:\\s\\p{Z}]|فاتورة رقم|invoice[\\s\\p{Z}]*#)[\\s\\p{Z}]*[a-z0-9-]+')"),
+        ("id_card", f"'egyptian_id_field_labels_' || ({anchors})", "3.0::DOUBLE", f"({anchors}) >= 3"), ("cv", "'cv_contact_plus_sections'", "2.5::DOUBLE", f"{any_('low', C.CV_HOSTS)} AND {any_('low', C.CV_SECTIONS)}"),
+        ("driver_license", "'traffic_dept_license'", "2.5::DOUBLE", "contains(low, 'مرور') AND (contains(low, 'رخصة') OR contains(low, 'قيادة'))"),
+        ("table", "'delimiters_pipe_or_tab'", "3.0::DOUBLE", "len(list_filter(string_split(low, chr(10)), lambda x: contains(x, '|') OR contains(x, chr(9)))) >= 3"),
+    ]
+
+
 def _score_sql(category: str) -> str:
-    parts = []
-    for w in C.KEYWORDS.get(category, []):
-        q = w.replace("'", "''")
-        parts.append(f"(contains(low, '{q}')" + (f" AND regexp_matches(low, '{_BND.format(q)}')" if w.isalnum() and w.isascii() else "") + ")::INT * 1.4::DOUBLE")
-    extra = {
-        "receipt": "(w > 0 AND h > 0 AND h / w >= 1.8)::INT * 1.8::DOUBLE",
-        "id_card": f"(w > 0 AND h > 0 AND h / w < 1.8 AND w / h >= 1.35 AND n <= 50)::INT * 1.2::DOUBLE + regexp_matches(dg, '{_BND.format('[23][0-9]{13}')}')::INT * 3.5::DOUBLE + ("
-        + " + ".join(f"contains(low, '{a}')::INT" for a in C.ID_ANCHORS) + " >= 3)::INT * 3.0::DOUBLE",
-        "driver_license": "(w > 0 AND h > 0 AND h / w < 1.8 AND w / h >= 1.35 AND n <= 50)::INT * 1.2::DOUBLE + (contains(low, 'مرور') AND (contains(low, 'رخصة') OR contains(low, 'قيادة')))::INT * 2.5::DOUBLE",
-        "passport": "regexp_matches(low, 'p<[a-z]{3}|p<[a-z0-9<]{10}')::INT * 5.5::DOUBLE",
-        "bank_document": f"regexp_matches(low, '{_BND.format('[a-z]{2}[0-9]{2}[a-z0-9]{11,30}')}')::INT * 2.5::DOUBLE",
-        "invoice": "regexp_matches(low, '(?:inv[-#:\\s\\p{Z}]|فاتورة رقم|invoice[\\s\\p{Z}]*#)[\\s\\p{Z}]*[a-z0-9-]+')::INT * 2.2::DOUBLE",
-        "cv": f"({any_('low', C.CV_HOSTS)} AND {any_('low', C.CV_SECTIONS)})::INT * 2.5::DOUBLE",
-        "table": "(len(list_filter(string_split(low, chr(10)), lambda x: contains(x, '|') OR contains(x, chr(9)))) >= 3)::INT * 3.0::DOUBLE",
-    }.get(category)
-    return " + ".join([*parts, *([extra] if extra else [])]) or "0.0::DOUBLE"
+    return " + ".join(f"({cond})::INT * {weight}" for c, _, weight, cond in _signals_sql() if c == category) or "0.0::DOUBLE"
 
 
+_ROWS2 = f"SELECT doc_id, page_number, line_number FROM (SELECT *, {_PARTS} AS parts FROM ({LINES})) WHERE len(parts) >= 3 OR (len(parts) = 2 AND regexp_matches(text, '\\p{{Nd}}'))"
+_TABLES = f"SELECT doc_id, page_number, 1 AS tb FROM ({_ROWS2}) GROUP BY ALL HAVING count(*) >= 2"
 _CLASS = f"""SELECT *, list_max([{', '.join('s' + str(i) for i in range(len(C.CATEGORIES)))}]) AS best, [{', '.join('s' + str(i) for i in range(len(C.CATEGORIES)))}] AS all_s FROM (SELECT *, {', '.join(f'{_score_sql(c)} AS s{i}' for i, c in enumerate(C.CATEGORIES))} FROM (
-  SELECT doc_id, page_number, x, lower(x) AS low, len({words_('x')}) AS n, w, h, translate(replace(x, ' ', ''), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS dg FROM (SELECT doc_id, page_number, {strip_("coalesce(raw_text, '')")} AS x, coalesce(width, 0)::DOUBLE AS w, coalesce(height, 0)::DOUBLE AS h FROM doc_text)))"""
+  SELECT doc_id, page_number, x, lower(x) AS low, len({words_('x')}) AS n, w, h, tb, translate(replace(x, ' ', ''), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS dg FROM (SELECT doc_id, page_number, {strip_("coalesce(raw_text, '')")} AS x, coalesce(width, 0)::DOUBLE AS w, coalesce(height, 0)::DOUBLE AS h, coalesce(tb, 0) AS tb FROM doc_text LEFT JOIN ({_TABLES}) USING (doc_id, page_number))))"""
 _SPARSE = f"n <= 4 AND NOT {any_('low', C.SPARSE_EXCEPTIONS)}"
 
 
@@ -414,16 +432,21 @@ _SPARSE = f"n <= 4 AND NOT {any_('low', C.SPARSE_EXCEPTIONS)}"
   round(CASE WHEN x = '' THEN 0 WHEN {_SPARSE} THEN 0.70 WHEN best >= 2.0 THEN least(0.98, 0.60 + best * 0.05) WHEN round(best, 6) >= 1.2 THEN 0.55 WHEN n <= 4 THEN 0.60 ELSE 0.50 END, 6)::DOUBLE AS confidence,
   round(CASE WHEN x = '' OR ({_SPARSE}) THEN 0 ELSE best END, 6) AS score FROM ({_CLASS})""")
 def q_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Category, confidence and score of every page."""
-    pages = spread(_texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text"))
-    return classification.classify(pages).select("doc_id", *big("page_number"), "category", r6("confidence").alias("confidence"), r6("score").alias("score"))
+    """Category, confidence and score of every page, with the tables of its layout."""
+    return classification.classify(_tabled(spark, d), tables="tables").select("doc_id", *big("page_number"), "category", r6("confidence").alias("confidence"), r6("score").alias("score"))
 
 
-@query()
+def _tabled(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the number of their tables."""
+    tables = layout.tables(_lines(spark, d)).select("doc_id", "page_number", F.lit(1).alias("tables")).distinct()
+    return spread(_texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text")).join(tables, ["doc_id", "page_number"], "left")
+
+
+@query("SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, unnest(CASE WHEN x = '' THEN ['empty_input'] WHEN " + _SPARSE + " THEN ['sparse_text_word_count_le_4'] ELSE list_filter(["
+  + ", ".join(f"CASE WHEN {cond} THEN {signal} END" for _, signal, _, cond in _signals_sql()) + f"], lambda z: z IS NOT NULL) END) AS signal FROM ({_CLASS})")
 def q_classify_signals(spark: SparkSession, d: str) -> DataFrame:
     """The signals of every page's class."""
-    pages = spread(_texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text"))
-    return classification.classify(pages).select("doc_id", *big("page_number"), "category", F.explode("signals").alias("signal"))
+    return classification.classify(_tabled(spark, d), tables="tables").select("doc_id", *big("page_number"), F.explode("signals").alias("signal")).distinct()
 
 
 # ---- validation (V1-V8) -------------------------------------------------------------------------------------------
@@ -499,8 +522,8 @@ def q_contacts_valid(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- extraction (X1-X10, G1-G6, E1-E50) ---------------------------------------------------------------------------
 def _pages(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
-    pages = _texts(spark, d, "raw_text", "document_type").withColumnRenamed("raw_text", "text").distinct()
-    return pages.where(F.col("document_type") == kind) if kind else pages
+    pages = _texts(spark, d, "raw_text", "document_type").withColumnRenamed("raw_text", "text")
+    return spread((pages.where(F.col("document_type") == kind) if kind else pages).distinct())
 
 
 def _values(fields: DataFrame, *names: str) -> DataFrame:
@@ -535,13 +558,25 @@ def q_phones(spark: SparkSession, d: str) -> DataFrame:
     return _values(extraction.generic(_pages(spark, d)), "phones")
 
 
-@query()
+_WORD = "\\p{L}\\p{N}_"
+#: Every character that is in no word comes twice, so that neighbours each find one at their edge.
+_TWICE = f"regexp_replace({digits_('raw_text')}, '([^{_WORD}])', '\\1\\1', 'g')"
+_DAY2 = "(?:[0-9]{4}(?:--|//)[0-9]{1,2}(?:--|//)[0-9]{1,2}|[0-9]{1,2}(?:--|//)[0-9]{1,2}(?:--|//)[0-9]{2,4})"
+
+
+@query(f"""SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, 'dates' AS field_name, replace(replace(v, '--', '-'), '//', '/') AS value
+  FROM (SELECT doc_id, page_number, unnest(regexp_extract_all({_TWICE}, '(?:^|[^{_WORD}])({_DAY2})(?:$|[^{_WORD}])', 1)) AS v FROM ({_DISTINCT}))""")
 def q_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates of pages."""
     return _values(extraction.generic(_pages(spark, d)), "dates")
 
 
-@query()
+_CUR = C.CURRENCY.replace("\\.", "[.]") if "\\." in C.CURRENCY else C.CURRENCY
+_NUM = "[0-9,]+(?:\\.[0-9]{1,2})?"
+
+
+@query(f"""SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, 'amounts' AS field_name, {strip_('v')} AS value FROM (SELECT doc_id, page_number,
+  unnest(regexp_extract_all({digits_('raw_text')}, '(?i)({_CUR}[\\s\\p{{Z}}]*[:=]?[\\s\\p{{Z}}]*{_NUM}|{_NUM}[\\s\\p{{Z}}]*{_CUR})(?:$|[^{_WORD}])', 1)) AS v FROM ({_DISTINCT}))""")
 def q_amounts(spark: SparkSession, d: str) -> DataFrame:
     """Amounts of money on pages."""
     return _values(extraction.generic(_pages(spark, d)), "amounts")
@@ -656,7 +691,7 @@ def q_extract_others(spark: SparkSession, d: str) -> DataFrame:
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     pages = _texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text").distinct()
-    return classification.classify(pages)
+    return classification.classify(spread(pages))
 
 
 @query()
