@@ -2,8 +2,8 @@
 
 Every value is read under each format that can hold it. The formats valid for a value form its *signature*; per source
 (the station that scanned the paper) an expectation-maximisation over the counts of signatures estimates the mixture of
-formats, with the station's declared numeric order as Dirichlet prior of a few values, and the posterior chooses the reading.
-What stays under DECIDED is marked ``ambiguous``. Only (source, signature, count) leaves the map side, so the estimate never sees single values.
+formats, with the station's declared numeric order as Dirichlet prior of a few values, and the posterior chooses the
+reading. What stays under DECIDED is marked ``ambiguous``. The estimate sees (source, signature, count), no single values.
 
 Defined results: null, blank, placeholder, partly unreadable (``??/05/2021``) and impossible dates give no row; digits
 of any script and the look-alikes O/o and l/I inside digits count as digits; a time without a date gives no row; a wall

@@ -35,8 +35,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """How many objects of each structural variant every table holds."""
-    return _nodes(spark, d).dropDuplicates(["response_id", "path"]).groupBy("node_table", "shape").count().withColumnRenamed("count", "objects")
+    """Every structural variant of the tables with its columns and number of objects."""
+    return nested.variants(_nodes(spark, d))
 
 
 def queries() -> dict:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
@@ -37,6 +38,17 @@ def test_mixture_prefers_the_declared_order_and_learns_without_it():
     assert open_["posterior"][0] < T.DECIDED
 
 
+def test_held_out_orders_are_learnt_and_little_evidence_is_marked():
+    """Sources without a declared order: many clear values decide, few leave the mark, and contrary ones do not settle it."""
+    rng = random.Random(1)
+    for order, other in (("dmy", "mdy"), ("mdy", "dmy")):
+        many = pd.DataFrame({"signature": ["dmy|mdy", order, other], "n": [rng.randrange(50, 90), rng.randrange(60, 99), 1]})
+        chosen = T.mixture(many, None).set_index("signature")
+        assert chosen["format"]["dmy|mdy"] == order and chosen["posterior"]["dmy|mdy"] >= T.DECIDED
+        even = T.mixture(pd.DataFrame({"signature": ["dmy|mdy", order, other], "n": [3, 2, 2]}), None).set_index("signature")
+        assert even["posterior"]["dmy|mdy"] < T.DECIDED
+
+
 def test_paper_dates(spark):
     fields = [
         (1, "ReceiptExtractor", "date", "31/03/2019"), (1, "ReceiptExtractor", "time", "02:30"), (2, "ReceiptExtractor", "date", "27/10/2019"), (2, "ReceiptExtractor", "time", "02:30"), (3, "InvoiceExtractor", "invoice_date", "03/04/2020"),
