@@ -43,13 +43,17 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "doc_text", "doc_id", "page_number", "document_type", *personal.FIELDS))
 
 
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fields", "doc_id", "page_number", "extractor", "field_name", "value")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find(_texts(spark, d)).select("doc_id", "page_number", "field", "pii_type", "start_pos")
+    return personal.find(_texts(spark, d), _extracted(spark, d)).select("doc_id", "page_number", "field", "pii_type", "start_pos")
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts of pages with typed placeholders."""
-    return personal.redact(_texts(spark, d))
+    return personal.redact(_texts(spark, d), _extracted(spark, d))
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:

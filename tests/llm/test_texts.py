@@ -108,15 +108,40 @@ TEXTS = [
 ]
 
 
-def test_personal_information():
-    finder = personal.train(personal.Finder(frozenset({"katherine", "quentin"}), frozenset("please contact the on if parcel is missing copies tenant has lived at since".split())), [(t, p) for p, t, _ in TEXTS if t])
-    for paper, text, expected in TEXTS:
-        items = finder.items(text, paper)
+WORDS = "please contact the on if parcel is missing copies tenant has lived at since".split()
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_personal_information(copies):
+    """On few pages what tells of proposals decides, on more the trees."""
+    finder = personal.train(personal.Finder(frozenset({"katherine", "quentin"}), frozenset(WORDS)), [(t, p, {}) for p, t, _ in TEXTS if t and len(t) < 1000] * copies)
+    assert (finder.trees is not None) == (copies > 1)
+    for (paper, text, expected), items in zip(TEXTS, finder.items([(t, p) for p, t, _ in TEXTS])):
         assert len(items) == len(expected), (text, items)
         for kind, begin in expected:
             assert any(k == kind and text[a:].startswith(begin) for k, a, _ in items), (kind, begin, items)
 
 
+def test_extracted_values_teach_the_trees():
+    """A number in no known way of writing is an item where the values extracted from such pages say so."""
+    rnd = random.Random(3)
+    number = lambda: f"{rnd.randrange(100, 999)} {rnd.randrange(1000, 9999)} {rnd.randrange(10, 99)}"
+    pages = []
+    for _ in range(300):
+        a, b = number(), number()
+        pages.append((f"desk box {a}\nmember {b} here\n", "letter", {"".join(filter(str.isdigit, b)): "ID_NUMBER"}))
+    finder = personal.train(personal.Finder(frozenset(), frozenset(["member"])), pages)
+    # the words before differ only in being cues of nothing, so the place in the line tells
+    assert finder.trees is not None and set(finder.thresholds) <= set(personal.TYPES)
+
+
+def test_views_keep_positions():
+    text = "a \u200bb\u00a0 \n  c\u0663\td"
+    view = personal.View(text)
+    assert view.text == "a b\nc3 d" and [text[i] for i in view.at[:-1]] == ["a", " ", "b", "\n", "c", "\u0663", "\t", "d"]
+    assert personal.View("").text == "" and personal.View(" ").text == " "
+
+
 def test_redaction(spark):
     rows = [(1, 1, t, t, None, "passport") for p, t, _ in TEXTS if p == "passport"] + [(2, 1, None, "", " ", "letter")]
     pages = spark.createDataFrame(rows, "doc_id BIGINT, page_number INT, text STRING, raw_text STRING, normalized_text STRING, document_type STRING")
