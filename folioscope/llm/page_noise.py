@@ -1,14 +1,15 @@
 """Noise of scanned pages: furniture, words divided at line ends, misrecognised words; and the text without it.
 
 One pass over all pages collects distinct lines and the first and last lines of pages; words are counted over distinct
-lines, so that copies of a page count once. Frequent words (a share of all words, so
-their number is bounded) form the vocabulary. Correction candidates of another word are all vocabulary words within the
-allowed scanner cost, found exactly: one table of least costs is filled for all of them at once, row by row, and words
-leave it when their costs have passed the limit; boosted trees rank them by how a scanner confuses characters,
-and a second set of trees looks at pairs of lines and says whether the first one's last word goes on in the second.
-Both are trained on the vocabulary itself: words sent through the confusions and words cut in two, against words that
-are right although they are not in the rest of the vocabulary. Furniture is what stands at the edge of pages and comes
-back on other pages of the document or corpus, and what numbers the page.
+lines, so that copies of a page count once. Frequent words (a share of all words, so their number is bounded) form the
+vocabulary. A second pass lists the other words of every page; each distinct one is looked up once, in inverted joins
+with the vocabulary: by character bigrams of words of about its length, counted against what two errors can take away,
+and by its strokes, in which all confusions of a scanner are alike. Candidates within the allowed scanner cost are ranked
+by boosted trees, and the readings go back to the pages that hold the word. A second set of trees looks at pairs of lines
+and says whether the first one's last word goes on in the second. Both are trained on the vocabulary itself: words sent
+through the confusions and words cut in two, against words that are right although they are not in the rest of the
+vocabulary. Furniture is what stands at the edge of pages and comes back on other pages of the document or corpus, and
+what numbers the page.
 
 Defined results: null and blank pages have no lines of any kind; lines count from 1 at line feeds, blank ones too;
 repeated rows count once; names, addresses, numbers and mail addresses are never misread words.
@@ -21,11 +22,12 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.boosting import Boosted
@@ -39,6 +41,8 @@ EDGE_SHARE, EDGE_COUNT = 0.002, 3
 CONFUSED_RATIO = 40
 #: Vocabulary words and other words that the trees are trained on, at most.
 TRAINING_WORDS = 3000
+#: Errors that the bigrams of a candidate allow for; an error takes three bigrams away at most and changes the length by one.
+ERRORS = 2
 #: Tenths of scanner cost up to which a vocabulary word is a candidate.
 COST_LIMIT = 20
 #: Candidates of a word that the trees are trained on, at most, besides the right one: the nearest.
@@ -48,6 +52,8 @@ MISREAD, JOINED = 0.5, 0.5
 SEED = 11
 #: Words or lines that a task holds before it passes them on.
 HELD = 300_000
+#: Letters of words that are looked up; longer runs of signs are no words.
+LEAST_WORD, LONGEST = 2, 40
 
 # Characters that scanners take for each other.
 CONFUSED = ["0oOQ", "1lIi|!", "5sS", "9gq", "8B", "ce", "hb", "t†f", "a@", "uv", "nu", "2zZ", "6bG", "oc", "ij", "بتثنيى", "جحخچ", "دذ", "رز", "سش", "صض", "طظ", "عغ", "فق", "هة", "اأإآ", "وؤ", "كگ"]
@@ -181,6 +187,27 @@ def corpus_words(lines: DataFrame) -> DataFrame:
     return lines.select("word", "skips").mapInPandas(run, WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("upper").alias("upper"))
 
 
+# Strokes of letters that scanners take for each other; strokes beside each other count once.
+STROKES = {"i": "1lIi|!jnuvmhbrw6ıüG", "o": "0ocOQe", "oi": "dgq9", "io": "k", "a": "a@", "t": "t†f", "s": "5sS", "z": "2zZ", "8": "8B", **{g[0]: g for g in CONFUSED if g[0] > "\u0600"}}
+
+
+def strokes(word: str) -> str:
+    """What is left of a word when all confusions are one: words that only confusions and stray marks part have the same."""
+    of = {c: k for k, every in STROKES.items() for c in every}
+    return re.sub("i+", "i", "".join(of.get(c, c) for c in word if c.isalnum() and c != "ـ" or c in of))
+
+
+def strokes_of(word: Column) -> Column:
+    """``strokes`` without leaving the JVM."""
+    many = {k: every for k, every in STROKES.items() if len(k) > 1}
+    out = word
+    for k, every in many.items():
+        out = F.regexp_replace(out, f"[{every}]", k)
+    single = "".join(every for k, every in STROKES.items() if len(k) == 1)
+    out = F.translate(out, single, "".join(k * len(every) for k, every in STROKES.items() if len(k) == 1))
+    return F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}]|ـ", ""), "i+", "i")
+
+
 def grams(word: str) -> set[str]:
     padded = f"^{word}$"
     return {padded[i : i + 2] for i in range(len(padded) - 1)}
@@ -267,6 +294,73 @@ def costs(a: str, letters: np.ndarray, alphabet: dict[str, int], scanner: bool =
     return left, rows[-1]
 
 
+def _letter_tables() -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each letter that can be confused, and of OTHER and MARK; cost of b for a; of leaving a out; number of each
+    pair of letters; whether a pair is read for a letter)."""
+    known = sorted(set("".join(CONFUSED)) | {c for two, one in _MERGED for c in two + one})
+    code = {c: k for k, c in enumerate(known, 1)}
+    n = len(known) + 1
+    same = np.full((n, n), 10, np.int16)
+    for x, near in _SAME.items():
+        same[code[x], [code[y] for y in near]] = 3
+    pairs = sorted({two for two, _ in _MERGED if len(two) == 2})
+    number = np.zeros((n, n), np.int16)
+    read = np.zeros((len(pairs) + 1, n), bool)
+    for k, two in enumerate(pairs, 1):
+        number[code[two[0]], code[two[1]]] = k
+        read[k, [code[one] for t, one in _MERGED if t == two]] = True
+    return code, same, number, read, np.array([code[c] for c in "im"])
+
+
+_CODE, _AS, _PAIR, _READ, _IM = _letter_tables()
+
+
+def pair_costs(a: list[str], b: list[str], scanner: bool = True) -> np.ndarray:
+    """``ocr_cost``, or not ``scanner`` ``edit_distance``, in tenths, of every pair of words: one table of least costs for all."""
+    if not a:
+        return np.empty(0, np.int16)
+    la, lb = np.array([len(w) for w in a]), np.array([len(w) for w in b])
+
+    def table(words: list[str], width: int) -> np.ndarray:
+        out = np.zeros((len(words), width), np.uint32)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(w) for w in words])
+        out[np.arange(width) < lengths[:, None]] = points
+        return out
+
+    pa, pb = table(a, int(la.max())).T.copy(), table(b, int(lb.max())).T.copy()
+    every = np.unique(np.concatenate([pa.ravel(), pb.ravel()]))
+    chars = [chr(p) for p in every]
+    code = np.array([_CODE.get(c, 0) for c in chars])
+    ca, cb = code[np.searchsorted(every, pa)], code[np.searchsorted(every, pb)]
+    loose = np.array([3 if scanner and (not c.isalnum() or c == "ـ") else 10 for c in chars], np.int16)
+    hard = np.array([3 if scanner and not c.isalnum() else 10 for c in chars], np.int16)
+    out_a, hard_a = loose[np.searchsorted(every, pa)], hard[np.searchsorted(every, pa)]
+    n, out = len(a), np.zeros(len(a), np.int16)
+    rows = [[np.full(n, 10 * j, np.int16) for j in range(len(cb) + 1)]]
+    for i in range(1, len(ca) + 1):
+        row = [rows[-1][0] + hard_a[i - 1]]
+        pair_a = _PAIR[ca[i - 2], ca[i - 1]] if scanner and i > 1 else None
+        triple = (ca[i - 3] == _IM[0]) & (ca[i - 2] == _IM[0]) & (ca[i - 1] == _IM[0]) & (pa[i - 1] == pa[i - 2]) if scanner and i > 2 else None
+        for j in range(1, len(cb) + 1):
+            step = np.where(pa[i - 1] == pb[j - 1], 0, _AS[ca[i - 1], cb[j - 1]] if scanner else 10).astype(np.int16)
+            best = np.minimum(rows[-1][j - 1] + step, np.minimum(rows[-1][j] + out_a[i - 1], row[j - 1] + 10))
+            if pair_a is not None and pair_a.any():
+                best = np.where(_READ[pair_a, cb[j - 1]], np.minimum(best, rows[-2][j - 1] + 3), best)
+            if triple is not None and triple.any():
+                best = np.where(triple & (cb[j - 1] == _IM[1]), np.minimum(best, rows[-3][j - 1] + 3), best)
+            if scanner and j > 1:
+                two = _READ[_PAIR[cb[j - 2], cb[j - 1]], ca[i - 1]]
+                if two.any():
+                    best = np.where(two, np.minimum(best, rows[-1][j - 2] + 3), best)
+            row.append(best.astype(np.int16))
+        rows = [*rows[-2:], row]
+        ends = np.flatnonzero(la == i)
+        if len(ends):
+            out[ends] = np.stack(row)[lb[ends], ends]
+    return out
+
+
 @dataclass
 class Lexicon:
     """The vocabulary with its table of letters and trees; made on the driver, the table built on each worker."""
@@ -276,6 +370,7 @@ class Lexicon:
     joiner: Boosted | None = None
     titles: frozenset[str] = frozenset()
     feet: frozenset[str] = frozenset()
+    readings: dict[tuple[str, bool], str] = field(default_factory=dict, repr=False)
     _memo: dict | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
@@ -324,21 +419,39 @@ class Lexicon:
         out[:, 8], out[:, 9], out[:, 10] = [w[:1] == word[:1] for w in words], upper, cost / lengths
         return out
 
-    def reading(self, word: str, upper: bool) -> tuple[str | None, float]:
-        """(replacement, probability) of a word that is not in the vocabulary."""
+    def reading(self, word: str, upper: bool) -> str | None:
+        """The replacement of a word that is not in the vocabulary, if it has one."""
+        return self.readings.get((word, upper))
+
+    def ranked(self, asked: list[tuple[str, bool]], candidates: list[np.ndarray]) -> list[str | None]:
+        """The best candidate (by place in the vocabulary) of each word with MISREAD or more, all by one call of the trees."""
         if self._memo is None:
             self._build()
-        key = (word, upper)
-        if key not in self._memo:
-            if len(self._memo) > 200_000:
-                self._memo.clear()
-            best: tuple[str | None, float] = (None, 0.0)
-            places, cost = self.near(word)
-            if len(places) and self.ranker:
-                p = self.ranker.probability(self.features(word, places, cost, upper))
-                best = (self._words[places[int(p.argmax())]], float(p.max()))
-            self._memo[key] = best
-        return self._memo[key]
+        owner = np.repeat(np.arange(len(asked)), [len(c) for c in candidates])
+        places = np.concatenate([*candidates, np.empty(0, int)]).astype(int)
+        words = [asked[k][0] for k in owner]
+        cost = pair_costs(words, [self._words[k] for k in places])
+        good = (cost <= COST_LIMIT) & (cost > 0)
+        owner, places, cost = owner[good], places[good], cost[good] / 10
+        out: list[str | None] = [None] * len(asked)
+        if not len(owner) or not self.ranker:
+            return out
+        words, near = [asked[k][0] for k in owner], [self._words[k] for k in places]
+        lengths, memo = self._lengths[places], {w: grams(w) for w in {*words, *near}}
+        x = np.empty((len(owner), 11))
+        x[:, 0], x[:, 1], x[:, 2], x[:, 3], x[:, 4] = cost, pair_costs(words, near, scanner=False) // 10, [len(w) for w in words], lengths, self._logs[places]
+        shared = np.array([len(memo[a] & memo[b]) for a, b in zip(words, near)])
+        sizes = np.array([len(memo[a]) + len(memo[b]) for a, b in zip(words, near)])
+        x[:, 5] = shared / (sizes - shared)
+        x[:, 6], x[:, 7] = [any(map(str.isdigit, w)) for w in words], [not w.isalnum() for w in words]
+        x[:, 8], x[:, 9], x[:, 10] = [a[:1] == b[:1] for a, b in zip(words, near)], [asked[k][1] for k in owner], cost / lengths
+        p = self.ranker.probability(x)
+        # the most probable, then the nearest and most frequent
+        order = np.lexsort((places, -self._logs[places], cost, -p, owner))
+        firsts = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        for k in firsts[p[firsts] >= MISREAD]:
+            out[owner[k]] = self._words[places[k]]
+        return out
 
     def join_features(self, first: str, second: str, mark: str, upper: bool) -> list[float]:
         n = lambda w: math.log1p(self.counts.get(w, 0))
@@ -351,8 +464,8 @@ class Lexicon:
         low, rest = first.lower(), second.lower()
         if low + rest not in self.counts and f"{low}-{rest}" not in self.counts:
             # a word of neither kind: divided if its halves are no words, or if it is a misread one
-            whole, p = self.reading(low + rest, False)
-            return mark != "-" or p >= MISREAD or low not in self.counts or rest not in self.counts
+            whole = self.reading(low + rest, False)
+            return mark != "-" or whole is not None or low not in self.counts or rest not in self.counts
         return float(self.joiner.probability(np.array([self.join_features(low, rest, mark, upper)]))[0]) >= JOINED
 
 
@@ -536,8 +649,8 @@ class Page:
             if digits and (digits > max(2, len(part) // 2) or re.fullmatch(r"\d+(?:st|nd|rd|th|er|e|º|ª)?", low)):
                 out.append(part)
                 continue
-            better, p = self.lexicon.reading(bare, part[:1].isupper() and not first)
-            if better is not None and p >= MISREAD:
+            better = self.lexicon.reading(bare, part[:1].isupper() and not first)
+            if better is not None:
                 out.append(_cased(better, part))
                 wrong = True
             else:
@@ -578,6 +691,7 @@ class Page:
                         self.kinds[i].add("hyphen")
                 else:
                     head = re.split(r"['’]", tail)[-1]
+                    self.lexicon.reading(head.lower() + following.lower(), False)
                     rest = re.match(r"[^\s.,;:!?)]+", following)
                     if head and rest and self.lexicon.goes_on(head, rest[0], last[-1], rest[0][0].isupper()):
                         self.kinds[i].add("hyphen")
@@ -626,8 +740,7 @@ class Page:
         for k in range(2, len(letters) - 1):
             if letters[:k] in counts and letters[k:] in counts:
                 return f"{letters[:k]} {letters[k:]}"
-        better, p = self.lexicon.reading(letters, False)
-        return better if p >= MISREAD else None
+        return self.lexicon.reading(letters, False)
 
     def _rejoin(self, i: int, head: str, j: int, tokens: list[str]) -> None:
         """Marks the lines that hold the wrong letters of a divided word."""
@@ -635,8 +748,8 @@ class Page:
         head, rest = head.lower(), _INVISIBLE.sub("", first).strip(_EDGE).lower()
         if head + rest in self.lexicon.counts:
             return
-        better, p = self.lexicon.reading(head + rest, False)
-        if better is None or p < MISREAD:
+        better = self.lexicon.reading(head + rest, False)
+        if better is None:
             return
         costs = [(ocr_cost(head, better[:k]), ocr_cost(rest, better[k:])) for k in range(max(1, len(head) - 1), min(len(better), len(head) + 2))]
         if costs:
@@ -681,19 +794,100 @@ LINES = "doc_id BIGINT, page_number INT, line_no INT, kind STRING"
 TEXTS = "doc_id BIGINT, page_number INT, paragraph INT, text STRING"
 
 
+class Asking(dict):
+    """Readings that note what is asked for and know none."""
+
+    def get(self, key, default=None):
+        self[key] = None
+        return default
+
+
+ASKED = "doc_id BIGINT, page_number INT, word STRING, upper BOOLEAN"
+READ = "word STRING, upper BOOLEAN, better STRING"
+#: Pairs of words and candidates that are judged together.
+TOGETHER = 20_000
+
+
+def _asked(pages: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """(doc_id, page_number, word, upper) of every word that a page needs the reading of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, number, text, keys in zip(batch["doc_id"], batch["page_number"], batch["raw_text"], batch["keys"]):
+                asking = Asking()
+                Page(replace(lexicon.value, readings=asking), number, text, set(keys) if keys is not None else set())
+                rows += [(doc, number, word, upper) for word, upper in asking if LEAST_WORD <= len(word) <= LONGEST]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "word", "upper"])
+
+    return pages.mapInPandas(run, ASKED)
+
+
+def candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, place) of vocabulary words (word, place) that may be the right reading of a word, by inverted joins.
+
+    A word within ERRORS errors of any kind shares all bigrams but three for each error, and one at least; words that only
+    confusions and stray marks part, however many, have the same strokes.
+    """
+    bigrams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2))))
+    word = F.col("word")
+    known = vocabulary.select("place", F.length(word).alias("length"), bigrams(word).alias("grams")).withColumn("size", F.size("grams"))
+    known = known.select("place", "length", "size", F.explode("grams").alias("gram"))
+    own = words.select("word", F.explode(F.sequence(F.length(word) - ERRORS, F.length(word) + ERRORS)).alias("length"), bigrams(word).alias("grams")).withColumn("own", F.size("grams"))
+    own = own.select("word", "length", "own", F.explode("grams").alias("gram"))
+    met = own.join(known, ["gram", "length"]).groupBy("word", "place").agg(F.count("*").alias("shared"), F.first("own").alias("own"), F.first("size").alias("size"))
+    by_grams = met.where(F.col("shared") >= F.greatest("own", "size") - 3 * ERRORS).select("word", "place")
+    alike = words.withColumn("strokes", strokes_of(word)).join(vocabulary.select("place", strokes_of(word).alias("strokes")), "strokes").select("word", "place")
+    return by_grams.union(alike).distinct()
+
+
+def _readings(asked: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """(word, upper, better) of the distinct words asked for that have a right reading; every word is judged once."""
+    spark = asked.sparkSession
+    words = sorted(lexicon.value.counts, key=len)
+    vocabulary = spark.createDataFrame(list(zip(words, range(len(words)))) or [], "word STRING, place INT")
+    each = asked.groupBy("word").agg(F.collect_set("upper").alias("uppers"))
+    near = candidates(each.select("word"), vocabulary).groupBy("word").agg(F.collect_list("place").alias("places"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            wanted, places, held = [], [], 0
+            rows = [(w, u, np.sort(p)) for w, us, p in zip(batch["word"], batch["uppers"], batch["places"]) for u in us]
+            out = []
+            for k, (w, u, p) in enumerate(rows, 1):
+                wanted.append((w, bool(u)))
+                places.append(p)
+                held += len(p)
+                if held >= TOGETHER or k == len(rows):
+                    out += [(*a, b) for a, b in zip(wanted, lexicon.value.ranked(wanted, places)) if b is not None]
+                    wanted, places, held = [], [], 0
+            yield pd.DataFrame(out, columns=["word", "upper", "better"])
+
+    return each.join(near, "word").mapInPandas(run, READ)
+
+
+LINES = "doc_id BIGINT, page_number INT, line_no INT, kind STRING"
+TEXTS = "doc_id BIGINT, page_number INT, paragraph INT, text STRING"
+
+
 def _pages(pages: DataFrame, schema: str, build) -> DataFrame:
-    base = pages.where("raw_text IS NOT NULL").select("doc_id", "page_number", "raw_text")
+    base = pages.where("raw_text IS NOT NULL").select("doc_id", "page_number", "raw_text").distinct()
     lexicon, back = fit(base)
     shared = base.sparkSession.sparkContext.broadcast(lexicon)
+    known = cut(base.join(back, "doc_id", "left"))
+    asked = cut(_asked(known, shared).distinct())
+    read = asked.join(_readings(asked, shared), ["word", "upper"])
+    read = read.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("word", "upper", "better")).alias("readings"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, number, text, keys in zip(batch["doc_id"], batch["page_number"], batch["raw_text"], batch["keys"]):
-                rows += [(doc, number, *r) for r in build(Page(shared.value, number, text, set(keys) if keys is not None else set()))]
+            for doc, number, text, keys, found in zip(batch["doc_id"], batch["page_number"], batch["raw_text"], batch["keys"], batch["readings"]):
+                own = replace(shared.value, readings={(r["word"], r["upper"]): r["better"] for r in found} if found is not None else {})
+                rows += [(doc, number, *r) for r in build(Page(own, number, text, set(keys) if keys is not None else set()))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return base.join(back, "doc_id", "left").mapInPandas(run, schema)
+    return known.join(read, ["doc_id", "page_number"], "left").mapInPandas(run, schema)
 
 
 def noisy_lines(pages: DataFrame) -> DataFrame:
