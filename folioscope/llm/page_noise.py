@@ -3,9 +3,9 @@
 One pass over all pages collects distinct lines and the first and last lines of pages; words are counted over distinct
 lines, so that copies of a page count once. Frequent words (a share of all words, so their number is bounded) form the
 vocabulary. A second pass lists the other words of every page; each distinct one is looked up once, in inverted joins
-with the vocabulary: by character bigrams of words of about its length, counted against what two errors can take away,
-and by its strokes, in which all confusions of a scanner are alike. Candidates within the allowed scanner cost are ranked
-by boosted trees, and the readings go back to the pages that hold the word. A second set of trees looks at pairs of lines
+with the vocabulary: by character bigrams of words of about its length, counted against what errors can take away, and by
+its strokes, in which all confusions of a scanner are alike. All vocabulary words within the allowed scanner cost are
+found so. Boosted trees rank them, and the readings go back to the pages that hold the word. A second set of trees looks at pairs of lines
 and says whether the first one's last word goes on in the second. Both are trained on the vocabulary itself: words sent
 through the confusions and words cut in two, against words that are right although they are not in the rest of the
 vocabulary. Furniture is what stands at the edge of pages and comes back on other pages of the document or corpus, and
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.boosting import Boosted
-from folioscope.plans.materialize import cut
+from folioscope.plans.materialize import cut, spread
 
 #: Share of all words of distinct lines that makes a word vocabulary (at most 1 / WORD_SHARE words), and its least count.
 WORD_SHARE, WORD_COUNT = 2e-5, 4
@@ -41,8 +41,11 @@ EDGE_SHARE, EDGE_COUNT = 0.002, 3
 CONFUSED_RATIO = 40
 #: Vocabulary words and other words that the trees are trained on, at most.
 TRAINING_WORDS = 3000
-#: Errors that the bigrams of a candidate allow for; an error takes three bigrams away at most and changes the length by one.
+#: Errors other than confusions that COST_LIMIT has room for, when words have no confusion besides; such an error takes at
+#: most three bigrams of a word away and changes its length by one.
 ERRORS = 2
+#: Bigrams up to which two words may share none with that many errors.
+FEW = 3 * ERRORS
 #: Tenths of scanner cost up to which a vocabulary word is a candidate.
 COST_LIMIT = 20
 #: Candidates of a word that the trees are trained on, at most, besides the right one: the nearest.
@@ -208,6 +211,20 @@ def strokes_of(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}]|ـ", ""), "i+", "i")
 
 
+def shorter(word: str, times: int = 1) -> set[str]:
+    """The word, and what is left of it without up to so many of its letters."""
+    out = {word}
+    for _ in range(times):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+def shorter_of(word: Column) -> Column:
+    """``shorter`` by one letter without leaving the JVM."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 0, less).otherwise(F.array().cast("array<string>"))))
+
+
 def grams(word: str) -> set[str]:
     padded = f"^{word}$"
     return {padded[i : i + 2] for i in range(len(padded) - 1)}
@@ -254,46 +271,6 @@ def misread_once(word: str) -> set[str]:
     return out | {word[:i] + two + word[i + 1 :] for i, x in enumerate(word) for two in SPLIT.get(x, ()) if len(two) == 2}
 
 
-def costs(a: str, letters: np.ndarray, alphabet: dict[str, int], scanner: bool = True, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of ``letters`` left, table of their last costs): ``ocr_cost`` or, not ``scanner``, ``edit_distance`` in tenths.
-
-    Column j of the table is the cost of the first j letters. A row leaves when no cost of the last three letters of ``a``,
-    from which all later ones come, is within the limit.
-    """
-    kind = np.int16 if len(a) + letters.shape[1] < 3000 else np.int32
-    steps = np.arange(letters.shape[1] + 1, dtype=kind) * kind(10)
-    left = np.arange(len(letters))
-    rows = [np.broadcast_to(steps, (len(letters), len(steps)))]
-    for i, x in enumerate(a, 1):
-        same = np.full(len(alphabet) + 1, 10, kind)
-        if scanner:
-            same[[alphabet[y] for y in _SAME.get(x, ()) if y in alphabet]] = 3
-        if x in alphabet:
-            same[alphabet[x]] = 0
-        last = rows[-1]
-        row = last + kind(3 if scanner and (not x.isalnum() or x == "ـ") else 10)
-        row[:, 0] = last[:, 0] + kind(3 if scanner and not x.isalnum() else 10)
-        np.minimum(row[:, 1:], last[:, :-1] + same[letters], out=row[:, 1:])
-        if scanner:
-            for two, one in _MERGED:
-                if one in alphabet and i >= len(two) and a.startswith(two, i - len(two)):
-                    before = rows[-len(two)][:, :-1] + kind(3)
-                    np.minimum(row[:, 1:], before, out=row[:, 1:], where=letters == alphabet[one])
-            for two in SPLIT.get(x, ()):
-                if len(two) == 2 and two[0] in alphabet and two[1] in alphabet:
-                    pair = (letters[:, :-1] == alphabet[two[0]]) & (letters[:, 1:] == alphabet[two[1]])
-                    np.minimum(row[:, 2:], last[:, :-2] + kind(3), out=row[:, 2:], where=pair)
-        row = np.minimum.accumulate(row - steps, axis=1) + steps
-        rows = [*rows[-2:], row]
-        if limit is not None:
-            near = np.minimum.reduce([r.min(1) for r in rows]) <= limit
-            if not near.all():
-                left, letters, rows = left[near], letters[near], [r[near] for r in rows]
-            if not len(left):
-                break
-    return left, rows[-1]
-
-
 def _letter_tables() -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(code of each letter that can be confused, and of OTHER and MARK; cost of b for a; of leaving a out; number of each
     pair of letters; whether a pair is read for a letter)."""
@@ -315,6 +292,13 @@ def _letter_tables() -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray
 _CODE, _AS, _PAIR, _READ, _IM = _letter_tables()
 
 
+def _keys(word: str) -> set[tuple[str, str]]:
+    """What ``candidates`` looks a word up by."""
+    own = grams(word)
+    out = {("gram", g) for g in own} | {("strokes", strokes(w)) for w in shorter(word)}
+    return out | {("few", w) for w in shorter(word, ERRORS)} if len(own) <= FEW else out
+
+
 def pair_costs(a: list[str], b: list[str], scanner: bool = True) -> np.ndarray:
     """``ocr_cost``, or not ``scanner`` ``edit_distance``, in tenths, of every pair of words: one table of least costs for all."""
     if not a:
@@ -374,51 +358,62 @@ class Lexicon:
     _memo: dict | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        made = ("_words", "_alphabet", "_lengths", "_letters", "_logs")
+        made = ("_words", "_lengths", "_logs", "_grams", "_sizes")
         return {k: v for k, v in self.__dict__.items() if k not in made} | {"_memo": None}
 
     def _build(self) -> None:
         self._words = sorted(self.counts, key=len)
-        self._alphabet = {c: k for k, c in enumerate(sorted(set().union(*self._words)), 1)}
         self._lengths = np.array([len(w) for w in self._words], int)
-        self._letters = np.zeros((len(self._words), int(self._lengths.max(initial=0))), np.int16)
-        for k, w in enumerate(self._words):
-            self._letters[k, : len(w)] = [self._alphabet[c] for c in w]
         self._logs = np.log([self.counts[w] for w in self._words])
         self._memo = {}
 
-    def near(self, word: str, hidden: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, costs) of all vocabulary words within COST_LIMIT of ``word``, the least cost and most frequent first."""
+    def _retrieve(self, word: str) -> np.ndarray:
+        """Places of the candidates of one word: what ``candidates`` gives for many, for training on the driver."""
+        if "_grams" not in self.__dict__:
+            held: dict[tuple, list[int]] = defaultdict(list)
+            for k, w in enumerate(self._words):
+                for key in _keys(w):
+                    held[key].append(k)
+            self._grams = {key: np.array(ks) for key, ks in held.items()}
+            self._sizes = np.array([len(grams(w)) for w in self._words])
+        own, none = grams(word), np.empty(0, int)
+        held = [self._grams.get(("gram", g), none) for g in own]
+        places, shared = np.unique(np.concatenate(held), return_counts=True)
+        good = (np.abs(self._lengths[places] - len(word)) <= ERRORS) & (shared >= np.maximum(len(own), self._sizes[places]) - FEW)
+        return np.unique(np.concatenate([places[good], *(self._grams.get(k, none) for k in _keys(word) if k[0] != "gram")])).astype(int)
+
+    def near(self, words: list[str], hidden: list[str | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, costs) of the candidates of each word within COST_LIMIT, the least cost and most frequent first."""
         if self._memo is None:
             self._build()
-        # a confusion takes two letters away or adds one, at three tenths
-        changes = COST_LIMIT // 3
-        lo, hi = np.searchsorted(self._lengths, [len(word) - 2 * changes, len(word) + changes + 1])
-        width = int(self._lengths[hi - 1]) if hi > lo else 0
-        left, table = costs(word, self._letters[lo:hi, :width], self._alphabet, limit=COST_LIMIT)
-        left = left + lo
-        cost = table[np.arange(len(left)), self._lengths[left]]
-        good = cost <= COST_LIMIT
-        left, cost = left[good], cost[good]
-        order = np.lexsort((left, -self._logs[left], cost))
-        left, cost = left[order], cost[order]
-        other = np.array([self._words[k] not in (word, hidden) for k in left], bool)
-        return left[other], cost[other] / 10
-
-    def features(self, word: str, places: np.ndarray, cost: np.ndarray, upper: bool) -> np.ndarray:
-        """A row for each of the vocabulary words at ``places``."""
-        lengths = self._lengths[places]
-        letters = self._letters[places, : int(lengths.max(initial=0))]
-        edits = costs(word, letters, self._alphabet, scanner=False)[1][np.arange(len(places)), lengths] // 10
-        own, words = grams(word), [self._words[k] for k in places]
-        shared = [(len(own & g), len(own | g)) for g in map(grams, words)]
-        out = np.empty((len(places), 11))
-        out[:, 0], out[:, 1], out[:, 2], out[:, 3], out[:, 4] = cost, edits, len(word), lengths, self._logs[places]
-        out[:, 5] = [a / b for a, b in shared]
-        out[:, 6], out[:, 7] = any(c.isdigit() for c in word), any(not c.isalnum() for c in word)
-        out[:, 8], out[:, 9], out[:, 10] = [w[:1] == word[:1] for w in words], upper, cost / lengths
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            found = [self._retrieve(w) for w in part]
+            owner, places = np.repeat(np.arange(len(part)), [len(f) for f in found]), np.concatenate(found)
+            cost = pair_costs([part[k] for k in owner], [self._words[k] for k in places])
+            for k, w in enumerate(part):
+                left = owner == k
+                own, c = places[left], cost[left]
+                good = (c <= COST_LIMIT) & np.array([self._words[p] not in (w, hidden[at + k] if hidden else None) for p in own], bool)
+                own, c = own[good], c[good]
+                order = np.lexsort((own, -self._logs[own], c))
+                out.append((own[order], c[order] / 10))
         return out
 
+    def features(self, words: list[str], places: np.ndarray, cost: np.ndarray, upper: list[bool]) -> np.ndarray:
+        """A row for each word and the vocabulary word that may be meant."""
+        near = [self._words[k] for k in places]
+        lengths, memo = self._lengths[places], {w: grams(w) for w in {*words, *near}}
+        x = np.empty((len(words), 11))
+        x[:, 0], x[:, 1], x[:, 2], x[:, 3], x[:, 4] = cost, pair_costs(words, near, scanner=False) // 10, [len(w) for w in words], lengths, self._logs[places]
+        shared = np.array([len(memo[a] & memo[b]) for a, b in zip(words, near)])
+        sizes = np.array([len(memo[a]) + len(memo[b]) for a, b in zip(words, near)])
+        x[:, 5] = shared / np.maximum(sizes - shared, 1)
+        x[:, 6], x[:, 7] = [any(map(str.isdigit, w)) for w in words], [not w.isalnum() for w in words]
+        x[:, 8], x[:, 9], x[:, 10] = [a[:1] == b[:1] for a, b in zip(words, near)], upper, cost / lengths
+        return x
+
     def reading(self, word: str, upper: bool) -> str | None:
         """The replacement of a word that is not in the vocabulary, if it has one."""
         return self.readings.get((word, upper))
@@ -436,15 +431,7 @@ class Lexicon:
         out: list[str | None] = [None] * len(asked)
         if not len(owner) or not self.ranker:
             return out
-        words, near = [asked[k][0] for k in owner], [self._words[k] for k in places]
-        lengths, memo = self._lengths[places], {w: grams(w) for w in {*words, *near}}
-        x = np.empty((len(owner), 11))
-        x[:, 0], x[:, 1], x[:, 2], x[:, 3], x[:, 4] = cost, pair_costs(words, near, scanner=False) // 10, [len(w) for w in words], lengths, self._logs[places]
-        shared = np.array([len(memo[a] & memo[b]) for a, b in zip(words, near)])
-        sizes = np.array([len(memo[a]) + len(memo[b]) for a, b in zip(words, near)])
-        x[:, 5] = shared / (sizes - shared)
-        x[:, 6], x[:, 7] = [any(map(str.isdigit, w)) for w in words], [not w.isalnum() for w in words]
-        x[:, 8], x[:, 9], x[:, 10] = [a[:1] == b[:1] for a, b in zip(words, near)], [asked[k][1] for k in owner], cost / lengths
+        x = self.features([asked[k][0] for k in owner], places, cost, [asked[k][1] for k in owner])
         p = self.ranker.probability(x)
         # the most probable, then the nearest and most frequent
         order = np.lexsort((places, -self._logs[places], cost, -p, owner))
@@ -491,6 +478,11 @@ def corrupted(word: str, rng: np.random.Generator) -> str:
     return word.lower()
 
 
+def _flat(rows: list[tuple[str, np.ndarray, np.ndarray, bool]]) -> tuple[list[str], np.ndarray, np.ndarray, list[bool]]:
+    """A row for each candidate."""
+    return [w for w, p, _, _ in rows for _ in p], np.concatenate([p for _, p, _, _ in rows]), np.concatenate([c for _, _, c, _ in rows]), [u for _, p, _, u in rows for _ in p]
+
+
 def learn(counts: dict[str, int], other: dict[str, bool], titles: frozenset[str], feet: frozenset[str]) -> Lexicon:
     """The lexicon with trees trained on vocabulary words and on ``other`` words (word: upper case inside lines)."""
     rng = np.random.default_rng(SEED)
@@ -504,25 +496,24 @@ def learn(counts: dict[str, int], other: dict[str, bool], titles: frozenset[str]
     lexicon = Lexicon({w: n for w, n in counts.items() if w not in wrong}, titles=titles, feet=feet)
     words = [w for w in plain if w not in wrong]
     chosen = [words[k] for k in rng.permutation(len(words))[:TRAINING_WORDS]]
-    x, y = [], []
-    for w in chosen:
-        if len(w) < 2:
-            continue
-        read = corrupted(w, rng)
-        if read != w and read not in lexicon.counts:
-            places, cost = lexicon.near(read)
-            right = np.array([lexicon._words[k] == w for k in places], bool)
-            taken = right | (np.cumsum(~right) <= TRAINING_NEAR)
-            x += list(lexicon.features(read, places[taken], cost[taken], False))
-            y += right[taken].tolist()
-        places, cost = (v[:3] for v in lexicon.near(w, hidden=w))
-        x += list(lexicon.features(w, places, cost, False))
-        y += [False] * len(places)
-    for w, upper in sorted(other.items())[:TRAINING_WORDS]:
-        if upper:
-            places, cost = (v[:3] for v in lexicon.near(w))
-            x += list(lexicon.features(w, places, cost, True))
-            y += [bool(c <= 0.3 and rng.random() < 0.5) for c in cost]
+    rows: list[tuple[str, np.ndarray, np.ndarray, bool]] = []
+    y: list[bool] = []
+    long = [w for w in chosen if len(w) >= 2]
+    read = [(corrupted(w, rng), w) for w in long]
+    read = [(r, w) for r, w in read if r != w and r not in lexicon.counts]
+    for (r, w), (places, cost) in zip(read, lexicon.near([r for r, _ in read])):
+        right = np.array([lexicon._words[k] == w for k in places], bool)
+        taken = right | (np.cumsum(~right) <= TRAINING_NEAR)
+        rows.append((r, places[taken], cost[taken], False))
+        y += right[taken].tolist()
+    for w, (places, cost) in zip(long, lexicon.near(long, hidden=long)):
+        rows.append((w, places[:3], cost[:3], False))
+        y += [False] * len(places[:3])
+    rare = [w for w, upper in sorted(other.items())[:TRAINING_WORDS] if upper]
+    for w, (places, cost) in zip(rare, lexicon.near(rare)):
+        rows.append((w, places[:3], cost[:3], True))
+        y += [bool(c <= 0.3 and rng.random() < 0.5) for c in cost[:3]]
+    x = lexicon.features(*_flat(rows)) if y else np.empty((0, 11))
     if len(set(y)) == 2:
         lexicon.ranker = Boosted().fit(np.array(x, float), np.array(y, float))
     x, y = [], []
@@ -802,6 +793,17 @@ class Asking(dict):
         return default
 
 
+def read_page(lexicon: Lexicon, number: int, text: str, back: set[str]) -> Page:
+    """One page by itself, its words looked up here."""
+    asking = Asking()
+    Page(replace(lexicon, readings=asking), number, text, back)
+    asked = [key for key in asking if LEAST_WORD <= len(key[0]) <= LONGEST]
+    if lexicon._memo is None:
+        lexicon._build()
+    found = lexicon.ranked(asked, [lexicon._retrieve(w) for w, _ in asked])
+    return Page(replace(lexicon, readings={key: b for key, b in zip(asked, found) if b is not None}), number, text, back)
+
+
 ASKED = "doc_id BIGINT, page_number INT, word STRING, upper BOOLEAN"
 READ = "word STRING, upper BOOLEAN, better STRING"
 #: Pairs of words and candidates that are judged together.
@@ -824,21 +826,24 @@ def _asked(pages: DataFrame, lexicon: Broadcast) -> DataFrame:
 
 
 def candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, place) of vocabulary words (word, place) that may be the right reading of a word, by inverted joins.
+    """(word, place) of vocabulary words (word, place) within COST_LIMIT of a word, and others, by inverted joins.
 
-    A word within ERRORS errors of any kind shares all bigrams but three for each error, and one at least; words that only
-    confusions and stray marks part, however many, have the same strokes.
+    The limit has room for one error that is no confusion beside confusions, or for ERRORS without: words that one letter
+    of each and confusions part have the same strokes without these letters; others share all bigrams but three for each
+    error, or, where that may be none, what is left without ERRORS letters. So no word within the limit is missed.
     """
     bigrams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2))))
     word = F.col("word")
-    known = vocabulary.select("place", F.length(word).alias("length"), bigrams(word).alias("grams")).withColumn("size", F.size("grams"))
-    known = known.select("place", "length", "size", F.explode("grams").alias("gram"))
-    own = words.select("word", F.explode(F.sequence(F.length(word) - ERRORS, F.length(word) + ERRORS)).alias("length"), bigrams(word).alias("grams")).withColumn("own", F.size("grams"))
-    own = own.select("word", "length", "own", F.explode("grams").alias("gram"))
-    met = own.join(known, ["gram", "length"]).groupBy("word", "place").agg(F.count("*").alias("shared"), F.first("own").alias("own"), F.first("size").alias("size"))
-    by_grams = met.where(F.col("shared") >= F.greatest("own", "size") - 3 * ERRORS).select("word", "place")
-    alike = words.withColumn("strokes", strokes_of(word)).join(vocabulary.select("place", strokes_of(word).alias("strokes")), "strokes").select("word", "place")
-    return by_grams.union(alike).distinct()
+    own, known = words.withColumn("grams", bigrams(word)), vocabulary.withColumn("grams", bigrams(word))
+    near = known.select("place", F.length(word).alias("length"), F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    each = own.select("word", F.explode(F.sequence(F.length(word) - ERRORS, F.length(word) + ERRORS)).alias("length"), "grams").select("word", "length", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
+    met = each.join(near, ["gram", "length"]).groupBy("word", "place").agg(F.count("*").alias("shared"), F.first("own").alias("own"), F.first("size").alias("size"))
+    by_grams = met.where(F.col("shared") >= F.greatest("own", "size") - FEW).select("word", "place")
+    marked = F.transform(shorter_of(word), lambda w: F.concat(F.lit("strokes "), strokes_of(w)))
+    twice = F.transform(F.flatten(F.transform(shorter_of(word), shorter_of)), lambda w: F.concat(F.lit("few "), w))
+    keys = F.explode(F.array_distinct(F.when(F.size("grams") <= FEW, F.concat(marked, twice)).otherwise(marked)))
+    by_keys = own.select("word", keys.alias("key")).join(known.select("place", keys.alias("key")), "key").select("word", "place")
+    return by_grams.union(by_keys).distinct()
 
 
 def _readings(asked: DataFrame, lexicon: Broadcast) -> DataFrame:
@@ -874,7 +879,7 @@ def _pages(pages: DataFrame, schema: str, build) -> DataFrame:
     base = pages.where("raw_text IS NOT NULL").select("doc_id", "page_number", "raw_text").distinct()
     lexicon, back = fit(base)
     shared = base.sparkSession.sparkContext.broadcast(lexicon)
-    known = cut(base.join(back, "doc_id", "left"))
+    known = cut(spread(base.join(back, "doc_id", "left")))
     asked = cut(_asked(known, shared).distinct())
     read = asked.join(_readings(asked, shared), ["word", "upper"])
     read = read.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("word", "upper", "better")).alias("readings"))

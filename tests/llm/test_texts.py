@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import languages, page_noise, personal, subjects
 from folioscope.llm.boosting import Boosted
@@ -78,7 +79,7 @@ def lexicon():
 
 
 def test_page_noise(lexicon):
-    page = page_noise.Page(lexicon, 2, PAGE, set())
+    page = page_noise.read_page(lexicon, 2, PAGE, set())
     kinds = {i + 1: k for i, k in enumerate(page.kinds) if k}
     assert kinds == {1: {"running_head", "page_number"}, 2: {"hyphen"}, 3: {"hyphen"}, 5: {"misread"}, 6: {"misread"}, 7: {"running_head"}, 8: {"page_number"}}
     text = page.paragraphs()
@@ -171,18 +172,37 @@ def test_subjects(spark):
     assert right >= 0.95 * len(docs) and not found.keys() & {900, 901, 902, 903}
 
 
-def test_candidates_are_all_words_within_the_cost(lexicon):
+def test_candidates_are_all_words_within_the_cost(spark, lexicon):
     vocabulary = {*lexicon.counts, "com", "con", "cor", "car", "can", "cow", "cop", "cot", "cob", "cod", "coy", "until", "tanto"}
     wide = page_noise.Lexicon({w: 5 for w in vocabulary})
-    for read in ("cori", "corn", "uritii", "fanfo", "c^om", "xq", "confirrned", "ﬁ", "o"):
-        places, cost = wide.near(read)
+    words = ["cori", "corn", "uritii", "fanfo", "c^om", "xq", "confirrned", "ﬁ", "o"]
+    found = {w: {wide._words[k]: c for k, c in zip(*near)} for w, near in zip(words, wide.near(words))}
+    for read in words:
         expected = {w: page_noise.ocr_cost(read, w) for w in vocabulary if w != read and page_noise.ocr_cost(read, w) <= 2}
-        assert {wide._words[k]: c for k, c in zip(places, cost)} == pytest.approx(expected)
-    assert {"con", "com", "cor", "car", "can", "cow", "cop", "cot", "cob", "cod", "coy"} <= {wide._words[k] for k in wide.near("cori")[0]}
+        assert found[read] == pytest.approx(expected)
+    assert {"con", "com", "cor", "car", "can", "cow", "cop", "cot", "cob", "cod", "coy"} <= found["cori"].keys()
+    # the joins give what the index on the driver gives
+    rows = spark.createDataFrame(list(zip(wide._words, range(len(wide._words)))), "word STRING, place INT")
+    joined = {}
+    for r in page_noise.candidates(spark.createDataFrame([(w,) for w in words], "word STRING"), rows).collect():
+        joined.setdefault(r.word, set()).add(r.place)
+    assert joined == {w: set(wide._retrieve(w).tolist()) for w in words}
     for w in vocabulary:
         assert {c for c in page_noise.misread_once(w) if c in vocabulary and c != w} == {c for c in vocabulary if c != w and page_noise.ocr_cost(w, c) <= 0.35}
 
 
+def test_strokes_and_tables_of_costs(spark):
+    pairs = [(a, b) for group in page_noise.CONFUSED for a in group for b in group] + [(one, two) for one, every in page_noise.SPLIT.items() for two in every]
+    assert all(page_noise.strokes(f"x{a}y") == page_noise.strokes(f"x{b}y") for a, b in pairs)
+    words = ["", "will", "d^og", "kq9", "شمس", "a-b", "cj1"]
+    rows = spark.createDataFrame([(w,) for w in words], "w STRING").select("w", page_noise.strokes_of(F.col("w")).alias("s"), page_noise.shorter_of(F.col("w")).alias("less")).collect()
+    assert {(r.w, r.s) for r in rows} == {(w, page_noise.strokes(w)) for w in words} and all(set(r.less) == page_noise.shorter(r.w) for r in rows)
+    rnd = random.Random(1)
+    a, b = ([("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9)))) for _ in range(1500)] for letters in ("abcdehilmnorstuvwkdq^~'iil1rn", "abcdehilmnorstuvwkdq-"))
+    assert page_noise.pair_costs(a, b).tolist() == [round(10 * page_noise.ocr_cost(x, y)) for x, y in zip(a, b)]
+    assert page_noise.pair_costs(a, b, scanner=False).tolist() == [10 * page_noise.edit_distance(x, y) for x, y in zip(a, b)]
+
+
 def test_words_of_copied_pages_count_once(spark):
     rows = [(i, 1, f"The confirrned order 10{i}\nwas sent to the housing office.") for i in range(60)]
     rows += [(100 + i, 1, f"Every {w} is confirmed here\nand {w} stays.") for i, w in enumerate(["window", "garden", "letter", "stone", "bridge", "river"])]
