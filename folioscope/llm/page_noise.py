@@ -78,6 +78,9 @@ _ROMAN = re.compile(r"^(?=.)c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
 _MAIL = re.compile(r"(?:[@＠©]|\(at\)|\[at\])\S{0,200}\.\S")
 
 
+_OUTER = re.compile(rf"^(?:{_INVISIBLE.pattern})+|(?:{_INVISIBLE.pattern})+$")
+
+
 def visible(line: str) -> str:
     return " ".join(_INVISIBLE.sub("", line).replace("\xa0", " ").split())
 
@@ -356,10 +359,11 @@ class Lexicon:
     feet: frozenset[str] = frozenset()
     readings: dict[tuple[str, bool], str] = field(default_factory=dict, repr=False)
     _memo: dict | None = field(default=None, repr=False)
+    _joins: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         made = ("_words", "_lengths", "_logs", "_grams", "_sizes")
-        return {k: v for k, v in self.__dict__.items() if k not in made} | {"_memo": None}
+        return {k: v for k, v in self.__dict__.items() if k not in made} | {"_memo": None, "_joins": {}}
 
     def _build(self) -> None:
         self._words = sorted(self.counts, key=len)
@@ -453,7 +457,12 @@ class Lexicon:
             # a word of neither kind: divided if its halves are no words, or if it is a misread one
             whole = self.reading(low + rest, False)
             return mark != "-" or whole is not None or low not in self.counts or rest not in self.counts
-        return float(self.joiner.probability(np.array([self.join_features(low, rest, mark, upper)]))[0]) >= JOINED
+        key = (low, rest, mark == "-", upper)
+        if key not in self._joins:
+            if len(self._joins) > 200_000:
+                self._joins.clear()
+            self._joins[key] = float(self.joiner.probability(np.array([self.join_features(low, rest, mark, upper)]))[0]) >= JOINED
+        return self._joins[key]
 
 
 def corrupted(word: str, rng: np.random.Generator) -> str:
@@ -566,6 +575,12 @@ class Page:
         self._words()
 
     def _titled(self, key: str) -> bool:
+        memo = self.lexicon._joins
+        if key not in memo:
+            memo[key] = self._is_title(key)
+        return memo[key]
+
+    def _is_title(self, key: str) -> bool:
         base = re.sub(r"( #)+$", "", key)
         if base in self.lexicon.titles or key in self.lexicon.titles:
             return True
@@ -660,7 +675,9 @@ class Page:
             if self.kinds[i] & {"running_head", "page_number"}:
                 continue
             tokens = line.replace("\xa0", " ").split()
-            if not [t for t in tokens if _INVISIBLE.sub("", t)]:
+            hidden = _INVISIBLE.search(line) is not None
+            bare = [_INVISIBLE.sub("", t) for t in tokens] if hidden else tokens
+            if not any(bare):
                 continue
             fixed, k = list(tokens), 0
             start = 0
@@ -668,8 +685,9 @@ class Page:
                 self._rejoin(*open_, i, tokens)
                 start = 1
             open_ = None
-            bare = [_INVISIBLE.sub("", t) for t in tokens]
-            if divided(line):
+            cores = [b.strip(_EDGE) for b in bare]
+            ends = divided(line)
+            if ends:
                 last = bare[-1] if bare[-1] else next(t for t in bare[::-1] if t)
                 nxt = next((j for j in range(i + 1, len(self.lines)) if visible(self.lines[j]) and not self.kinds[j] & {"running_head", "page_number"}), None)
                 tail = last[:-1].strip(_EDGE + "'")
@@ -689,18 +707,18 @@ class Page:
                         open_ = (i, head)
                     elif head:
                         open_ = None
-            end = len(tokens) - (1 if divided(line) else 0)
+            end = len(tokens) - ends
             k = start
             while k < end:
                 # letters set apart
                 run = k
-                while run < end and (len(bare[run].strip(_EDGE)) == 1 and (bare[run].strip(_EDGE).isalnum() or run > k)):
+                while run < end and len(cores[run]) == 1 and (cores[run].isalnum() or run > k):
                     run += 1
                     if bare[run - 1][-1:] in ".,;:":
                         break
                 if run - k >= 3:
                     stop = run
-                    shown = "".join(b.strip(_EDGE) for b in bare[k:stop])
+                    shown = "".join(cores[k:stop])
                     whole = self._closed_up(shown.lower())
                     if whole:
                         self.kinds[i].add("misread")
@@ -708,18 +726,21 @@ class Page:
                         fixed[k + 1 : stop] = [""] * (stop - k - 1)
                         k = stop
                         continue
-                low = bare[k].strip(_EDGE).lower()
+                low = cores[k].lower()
+                if not hidden and (not low or low in counts):  # nothing of it to mend
+                    k += 1
+                    continue
                 if k + 1 < end and low.isalpha() and bare[k].isalpha() and low not in counts:
-                    both = low + bare[k + 1].strip(_EDGE).lower()
-                    if both in counts and bare[k + 1].strip(_EDGE).lower() not in counts:
+                    both = low + cores[k + 1].lower()
+                    if both in counts and cores[k + 1].lower() not in counts:
                         self.kinds[i].add("misread")
                         fixed[k], fixed[k + 1] = _cased(both, bare[k]), ""
                         k += 2
                         continue
-                better = self._fix(_strip_edges(tokens[k]), k == 0)
+                better = self._fix(_strip_edges(tokens[k]) if hidden else tokens[k], k == 0)
                 if better is not None:
                     self.kinds[i].add("misread")
-                    fixed[k] = re.sub(re.escape(bare[k].strip(_EDGE)), lambda _: better, bare[k], count=1)
+                    fixed[k] = re.sub(re.escape(cores[k]), lambda _: better, bare[k], count=1)
                 k += 1
             self.fixed[i] = [t for t in fixed if t]
 
@@ -778,7 +799,7 @@ def _cased(word: str, like: str) -> str:
 
 def _strip_edges(token: str) -> str:
     """A token without invisible characters at its edges; those inside stay, as they are gaps in a word."""
-    return re.sub(rf"^(?:{_INVISIBLE.pattern})+|(?:{_INVISIBLE.pattern})+$", "", token)
+    return _OUTER.sub("", token)
 
 
 LINES = "doc_id BIGINT, page_number INT, line_no INT, kind STRING"
