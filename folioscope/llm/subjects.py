@@ -1,11 +1,13 @@
 """Subject areas of texts by a multi-pattern automaton over weighted subject terms.
 
-Terms are mined in two steps. Labelled examples give strong terms: runs of up to three words that stand with one
-subject. Then one pass over all texts counts every run against the subject that the *other* sentences of its text have
-by strong terms; runs that keep to one or two subjects there become terms, weighted by their log-odds. An automaton
-over all terms reads every text once, the longest term first; a sentence's score of a subject is the weight of its
-terms over the logarithm of its length, and a text has every subject that at least two of its sentences reach the
-threshold of. Terms that several subjects share go to the subject that the rest of the text is about.
+The list of terms is curated by rules, not by hand. Labelled examples give strong terms: runs of up to three words that
+stand with one subject. One pass over all texts then counts every word against the subject that the *other* sentences of
+its text have by strong terms; words that keep to one to three subjects there join the list, weighted by how far they do
+and how rare they are. A second pass with that list does so again. Only counts of words leave a task, and only terms come
+to the driver. An automaton over all terms reads every text once, the longest term first; a sentence's score of a subject
+is the weight of its terms over the logarithm of its length, and a text has every subject that at least two of its
+sentences reach the threshold of. The threshold is calibrated on examples that were held out. Terms that several subjects
+share go to the subject that the rest of the text is about.
 
 Defined results: null, blank and very short texts have no subject; markup, entities and text decoded with the wrong
 table are put right first; case does not matter; a repeated sentence counts each time.
@@ -13,6 +15,7 @@ table are put right first; case does not matter; a repeated sentence counts each
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -32,7 +35,7 @@ from folioscope.plans.materialize import cut
 
 #: Labelled examples used, at most.
 EXAMPLES = 20_000
-#: Longest term in words.
+#: Longest term of examples in words.
 RUN = 3
 #: Examples and share of a strong term.
 STRONG_COUNT, STRONG_SHARE, FEW = 3, 0.9, 6
@@ -44,11 +47,13 @@ CONTEXTS = 4
 TERM_SHARE, GROUP_SHARE = 0.72, 0.88
 #: Likelihood ratio of a term's subjects against the language's, at least.
 SIGNIFICANT = 22.0
-#: A run is kept from LEAST_SHARE of the sentences with a known subject on, so there are at most
-#: RUN * (words of a sentence) / LEAST_SHARE of them.
+#: A word is judged from LEAST_SHARE of the sentences with a known subject on, so there are at most
+#: (words of a sentence) / LEAST_SHARE of them.
 LEAST_SHARE = 1e-5
-#: Scores tried as threshold of a sentence; the one that suits the examples best holds.
-THRESHOLDS = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6]
+#: Scores tried as threshold of a sentence; the middle one of those that suit the held-out examples best holds.
+THRESHOLDS = [k / 20 for k in range(1, 21)]
+#: Every so manieth example, by hash, is held out.
+HELD_OUT = 4
 SENTENCES = 2
 #: Runs that a task counts before it passes them on.
 HELD = 300_000
@@ -111,11 +116,12 @@ class Matcher:
     _automaton: ahocorasick.Automaton | None = field(default=None, repr=False)
     _near: dict[str, str] | None = field(default=None, repr=False)
     _known: set[str] | None = field(default=None, repr=False)
+    _repairs: dict[str, str] = field(default_factory=dict, repr=False)
     words: frozenset[str] = frozenset()
     threshold: float = 0.35
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_near": None, "_known": None}
+        return self.__dict__ | {"_automaton": None, "_near": None, "_known": None, "_repairs": {}}
 
     def _build(self) -> None:
         self._automaton = ahocorasick.Automaton()
@@ -129,7 +135,14 @@ class Matcher:
                 self._near.setdefault(word[:i] + word[i + 1 :], word)
 
     def repaired(self, word: str) -> str:
-        """The word of a term that an unknown word is one typing error away from, else the word."""
+        """The word of a term that an unknown word is one typing error away from, else the word; each word is looked up once."""
+        if word not in self._repairs:
+            if len(self._repairs) > HELD:
+                self._repairs.clear()
+            self._repairs[word] = self._repair(word)
+        return self._repairs[word]
+
+    def _repair(self, word: str) -> str:
         if len(word) < 5 or word in self._known:
             return word
         if word in self._near:
@@ -192,11 +205,12 @@ class Matcher:
         return dict(clear)
 
 
+TERMS = "run STRING, subject STRING, weight DOUBLE"
 COUNTS = "lang STRING, run STRING, subject STRING, n BIGINT, cells BIGINT, places BIGINT"
 
 
 def corpus_counts(texts: DataFrame, matcher: Matcher, profiles: Profiles) -> DataFrame:
-    """(lang, run, subject, n, cells, places): sentences of a language holding a run (each holds the empty run), by the
+    """(lang, run, subject, n, cells, places): sentences of a language holding a word (each holds the empty one), by the
     one subject of the other sentences of the text. cells and places have a bit for every 64th part of the sentences
     and of the texts' other sentences on the subject, so that copies and templates count once."""
     shared = texts.sparkSession.sparkContext.broadcast((matcher, profiles))
@@ -207,16 +221,25 @@ def corpus_counts(texts: DataFrame, matcher: Matcher, profiles: Profiles) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match, profile = shared.value
+        spoken_of: dict[str, str] = {}
         for batch in batches:
             counts: dict[tuple, list] = {}
             split = [sentences(t) for t in batch["text"]]
             flat = [" ".join(w) for found in split for w in found]
-            scores, _ = profile.segments(flat) if flat else (np.zeros((0, 1)), None)
-            spoken = iter(np.array(profile.languages)[scores.argmax(1)].tolist() if flat else [])
+            # a sentence that comes again has its language already
+            new = [t for t in dict.fromkeys(flat) if t not in spoken_of]
+            if len(spoken_of) > HELD:
+                spoken_of.clear()
+                new = list(dict.fromkeys(flat))
+            if new:
+                spoken_of.update(zip(new, np.array(profile.languages)[profile.segments(new)[0].argmax(1)].tolist()))
+            spoken = map(spoken_of.__getitem__, flat)
             for found in split:
                 about = [max(s, key=s.get) if s else None for s in match.scores(found)]
                 total = Counter(a for a in about if a)
-                for words, own in zip(found, about):
+                # the least sentence on a subject and the next, for the least other one of each
+                least = heapq.nsmallest(2, ((" ".join(w), i) for i, (w, a) in enumerate(zip(found, about)) if a))
+                for i, (words, own) in enumerate(zip(found, about)):
                     language, rest = next(spoken), total.copy()
                     if own:
                         rest[own] -= 1
@@ -224,9 +247,9 @@ def corpus_counts(texts: DataFrame, matcher: Matcher, profiles: Profiles) -> Dat
                     if len(rest) == 1:
                         (subject,) = rest
                         cell = 1 << (zlib.crc32(" ".join(words).encode()) & 63)
-                        near = min(" ".join(w) for w, a in zip(found, about) if a and w is not words)
+                        near = next(x for x, k in least if k != i)
                         place = 1 << (zlib.crc32(near.encode()) & 63)
-                        for r in {"", *runs(words)}:
+                        for r in {"", *words}:
                             entry = counts.setdefault((language, r, subject), [0, 0, 0])
                             entry[0] += 1
                             entry[1] |= cell
@@ -242,66 +265,75 @@ def corpus_counts(texts: DataFrame, matcher: Matcher, profiles: Profiles) -> Dat
 def mine(texts: DataFrame, examples: DataFrame) -> Matcher:
     """Terms of all texts, from examples (text, subject, lang) of at most EXAMPLES rows."""
     rows = examples.where("text IS NOT NULL AND subject IS NOT NULL").distinct().orderBy(F.xxhash64("text")).limit(EXAMPLES).toPandas()
-    labelled = list(zip(rows["text"], rows["subject"]))
     profiles = fit_rows(rows.rename(columns={"lang": "label"}))
-    strong = strong_terms(zip(rows["text"], rows["subject"], rows["lang"]))
+    held_out = np.array([zlib.crc32(t.encode()) % HELD_OUT == 0 for t in rows["text"]], bool)
+    known = rows[~held_out]
+    strong = strong_terms(zip(known["text"], known["subject"], known["lang"]))
     matcher = Matcher(strong)
     for _ in range(ROUNDS):
         counts = cut(corpus_counts(texts, matcher, profiles))
         base = {(r["lang"], r["subject"]): r["n"] for r in counts.where("run = ''").collect()}
         least = max(4, LEAST_SHARE * sum(base.values()))
-        by_run = (
+        by_word = (
             counts.where("run <> ''").groupBy("lang", "run")
             .agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("by"), F.sum("n").alias("n"), F.least(F.bit_count(F.bit_or("cells")), F.bit_count(F.bit_or("places"))).alias("contexts"))
             .where(F.col("n") >= least)
         )
-        words = frozenset(r["run"] for r in by_run.where((F.col("n") >= 5 * least) & ~F.col("run").contains(" ")).select("run").distinct().toLocalIterator())
-        kept = by_run.where((F.col("contexts") >= CONTEXTS) & (F.array_max(F.map_values("by")) >= 0.25 * F.col("n"))).select("lang", "run", "by")
-        matcher = Matcher(weigh({(r["lang"], r["run"]): dict(r["by"]) for r in kept.toLocalIterator()}, base, strong), words=words)
-    return calibrated(matcher, labelled)
+        by_word = cut(by_word)
+        words = frozenset(r["run"] for r in by_word.where(F.col("n") >= 5 * least).select("run").distinct().toLocalIterator())
+        judged = by_word.where((F.col("contexts") >= CONTEXTS) & (F.array_max(F.map_values("by")) >= 0.25 * F.col("n")))
+        matcher = Matcher(_terms(judged, base, strong), words=words)
+    return calibrated(matcher, list(zip(rows["text"][held_out], rows["subject"][held_out])))
+
+
+def _terms(judged: DataFrame, base: dict[tuple[str, str], int], strong: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
+    """The list of terms: judged words (lang, run, by) that are terms, weighed in the tasks, and strong terms too rare to judge."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r, s, w) for language, r, by in zip(batch["lang"], batch["run"], batch["by"]) for s, w in weighed(language, dict(by), base).items()]
+            yield pd.DataFrame(rows, columns=["run", "subject", "weight"])
+
+    out: dict[str, dict[str, float]] = {}
+    for r in judged.select("lang", "run", "by").mapInPandas(run, TERMS).groupBy("run", "subject").agg(F.max("weight").alias("weight")).toLocalIterator():
+        out.setdefault(r["run"], {})[r["subject"]] = r["weight"]
+    seen = {r["run"] for r in judged.where(F.col("run").isin([t for t in strong if " " not in t])).select("run").distinct().collect()}
+    out |= {t: by for t, by in strong.items() if t not in seen and t not in out}
+    kept = {}
+    for term, by in out.items():
+        words = term.split(" ")
+        inner = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words)]
+        if not any(k in out for k in inner):  # the shorter term says it
+            kept[term] = by
+    return kept
 
 
 def calibrated(matcher: Matcher, labelled: list[tuple[str, str]]) -> Matcher:
-    """The matcher with the threshold that finds the examples' subjects best and the fewest others."""
+    """The matcher with the middle one of the thresholds that find the held-out subjects best and the fewest others."""
 
     def value(threshold: float) -> int:
         matcher.threshold = threshold
         found = [({s for s, n in matcher.subjects(t).items() if n >= SENTENCES}, s) for t, s in labelled]
         return sum((s in f) - 2 * len(f - {s}) for f, s in found)
 
-    matcher.threshold = max(THRESHOLDS, key=lambda t: (value(t), -t))
+    values = [value(t) for t in THRESHOLDS]
+    best = [t for t, v in zip(THRESHOLDS, values) if v == max(values)]
+    matcher.threshold = best[len(best) // 2]
     return matcher
 
 
-def weigh(counts: dict[tuple[str, str], dict[str, int]], base: dict[tuple[str, str], int], strong: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
-    """Weights from 0 to 1 of terms from their counts by language and subject, against the language's sentences."""
-    known = sorted({s for _, s in base})
-    out: dict[str, dict[str, float]] = {}
-    everything = sum(base.values())
-    for (language, run), by in counts.items():
-        of = {s: base.get((language, s), 0) for s in known}
-        total, all_ = sum(by.values()), sum(of.values())
-        ratio = 2 * sum(n * math.log(n * all_ / (total * of[s])) for s, n in by.items() if of[s])
-        if ratio < SIGNIFICANT:
-            continue
-        even = {s: by.get(s, 0) / (n + 5) for s, n in of.items()}
-        ranked = sorted(((s, v / sum(even.values())) for s, v in even.items()), key=lambda x: (-x[1], x[0]))
-        rarity = min(1.0, 0.5 + math.log(everything / total) / math.log(everything + 2))
-        held = dict(ranked[:1]) if ranked[0][1] >= TERM_SHARE else next((dict(ranked[:k]) for k in (2, 3) if sum(v for _, v in ranked[:k]) >= GROUP_SHARE), {})
-        for s, share in held.items():
-            weight = share * rarity
-            out.setdefault(run, {})[s] = max(out.get(run, {}).get(s, 0), weight)
-    judged = {run for _, run in counts}
-    for run, by in strong.items():
-        if run not in judged:  # too rare in the corpus to judge
-            out.setdefault(run, by)
-    kept = {}
-    for run, by in out.items():
-        words = run.split(" ")
-        inner = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if j - i < len(words)]
-        if not any(k in out for k in inner):  # the shorter term says it
-            kept[run] = by
-    return kept
+def weighed(language: str, by: dict[str, int], base: dict[tuple[str, str], int]) -> dict[str, float]:
+    """Weights from 0 to 1 of a word for its subjects from its counts, against the language's sentences; none if it is no term."""
+    of = {s: base.get((language, s), 0) for s in sorted({s for _, s in base})}
+    everything, total, all_ = sum(base.values()), sum(by.values()), sum(of.values())
+    ratio = 2 * sum(n * math.log(n * all_ / (total * of[s])) for s, n in by.items() if of[s])
+    if ratio < SIGNIFICANT:
+        return {}
+    even = {s: by.get(s, 0) / (n + 5) for s, n in of.items()}
+    ranked = sorted(((s, v / sum(even.values())) for s, v in even.items()), key=lambda x: (-x[1], x[0]))
+    rarity = min(1.0, 0.5 + math.log(everything / total) / math.log(everything + 2))
+    held = dict(ranked[:1]) if ranked[0][1] >= TERM_SHARE else next((dict(ranked[:k]) for k in (2, 3) if sum(v for _, v in ranked[:k]) >= GROUP_SHARE), {})
+    return {s: share * rarity for s, share in held.items()}
 
 
 FOUND = "doc_id BIGINT, subject STRING, n_sentences INT"
