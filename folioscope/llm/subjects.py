@@ -267,8 +267,7 @@ def mine(texts: DataFrame, examples: DataFrame) -> Matcher:
     rows = examples.where("text IS NOT NULL AND subject IS NOT NULL").distinct().orderBy(F.xxhash64("text")).limit(EXAMPLES).toPandas()
     profiles = fit_rows(rows.rename(columns={"lang": "label"}))
     held_out = np.array([zlib.crc32(t.encode()) % HELD_OUT == 0 for t in rows["text"]], bool)
-    known = rows[~held_out]
-    strong = strong_terms(zip(known["text"], known["subject"], known["lang"]))
+    strong, known = (strong_terms(zip(r["text"], r["subject"], r["lang"])) for r in (rows, rows[~held_out]))
     matcher = Matcher(strong)
     for _ in range(ROUNDS):
         counts = cut(corpus_counts(texts, matcher, profiles))
@@ -281,24 +280,29 @@ def mine(texts: DataFrame, examples: DataFrame) -> Matcher:
         )
         by_word = cut(by_word)
         words = frozenset(r["run"] for r in by_word.where(F.col("n") >= 5 * least).select("run").distinct().toLocalIterator())
-        judged = by_word.where((F.col("contexts") >= CONTEXTS) & (F.array_max(F.map_values("by")) >= 0.25 * F.col("n")))
-        matcher = Matcher(_terms(judged, base, strong), words=words)
-    return calibrated(matcher, list(zip(rows["text"][held_out], rows["subject"][held_out])))
+        matcher = Matcher(_terms(by_word, base, strong), words=words)
+    # the threshold is set without what the held-out examples say
+    without = calibrated(Matcher(_terms(by_word, base, known), words=words), list(zip(rows["text"][held_out], rows["subject"][held_out])))
+    matcher.threshold = without.threshold
+    return matcher
 
 
-def _terms(judged: DataFrame, base: dict[tuple[str, str], int], strong: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
-    """The list of terms: judged words (lang, run, by) that are terms, weighed in the tasks, and strong terms too rare to judge."""
+def _terms(counted: DataFrame, base: dict[tuple[str, str], int], strong: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
+    """The list of terms: words (lang, run, by, n, contexts) that are terms, weighed in the tasks, and strong terms too rare to judge."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(r, s, w) for language, r, by in zip(batch["lang"], batch["run"], batch["by"]) for s, w in weighed(language, dict(by), base).items()]
             yield pd.DataFrame(rows, columns=["run", "subject", "weight"])
 
+    judged = counted.where((F.col("contexts") >= CONTEXTS) & (F.array_max(F.map_values("by")) >= 0.25 * F.col("n")))
     out: dict[str, dict[str, float]] = {}
     for r in judged.select("lang", "run", "by").mapInPandas(run, TERMS).groupBy("run", "subject").agg(F.max("weight").alias("weight")).toLocalIterator():
         out.setdefault(r["run"], {})[r["subject"]] = r["weight"]
-    seen = {r["run"] for r in judged.where(F.col("run").isin([t for t in strong if " " not in t])).select("run").distinct().collect()}
-    out |= {t: by for t, by in strong.items() if t not in seen and t not in out}
+    # what the examples say holds only of terms with a word that the corpus has too few contexts of
+    parts = sorted({w for t in strong for w in t.split(" ")})
+    seen = {r["run"] for r in counted.where((F.col("contexts") >= CONTEXTS) & F.col("run").isin(parts)).select("run").distinct().collect()}
+    out |= {t: by for t, by in strong.items() if t not in out and not seen.issuperset(t.split(" "))}
     kept = {}
     for term, by in out.items():
         words = term.split(" ")
