@@ -5,8 +5,8 @@ a language's prototype bundles the vectors of its training trigrams, weighted by
 than in the other languages. A text is the
 bundle of its trigrams, compared with the prototypes by cosine. Bundling is linear, so the product of a text with a
 prototype is the sum over its trigrams of their products with it: each distinct trigram is compared once per worker
-and remembered, and texts are sums of table rows. The length of a text's vector follows from its trigram counts, as
-vectors of different trigrams are nearly orthogonal.
+and remembered, and texts are sums of table rows. The length of a text's vector is the root of the sum of its trigrams'
+squared counts, as vectors of different trigrams are orthogonal but for noise of the order of 1 / sqrt(DIMENSIONS).
 
 Defined results: null and blank texts, and texts without letters of a known script, have language null and confidence
 0; a text is mixed when two languages each hold whole sentences of it; script is the one of most letters.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -32,8 +33,10 @@ WINDOW, EPOCHS, RATE, SHARPNESS = 7, 6, 0.002, 40.0
 SEED = 7
 #: Share of trigrams under which a trigram says little of a language.
 RARE = 2e-5
-#: Labelled texts that prototypes are fitted on, at most, from each table.
-TRAINING_TEXTS = 2000
+#: Runs of WINDOW words of labelled texts that prototypes are fitted on, at most, from each table.
+TRAINING_RUNS = 24_000
+#: Characters of a run, at most; longer ones are no words.
+LONGEST = 400
 #: Letters a text needs to count for p1_found.
 LEAST_LETTERS = 30
 #: Letters of whole sentences a second language needs, and their least share, for a text to be mixed.
@@ -158,15 +161,17 @@ class Profiles:
         return self._table[codes]
 
     def segments(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine of each sentence with each prototype, times the root of its trigrams; its number of letters)."""
+        """(cosine of each sentence with each prototype; its number of letters)."""
         codes, owner, letters = _grams(sentences)
         sums = np.zeros((len(sentences), len(self.languages)))
         if len(codes):
             values = self.products(codes)
             firsts = np.flatnonzero(np.diff(owner, prepend=-1))
             sums[owner[firsts]] = np.add.reduceat(values, firsts, axis=0)
-        counts = np.bincount(owner, minlength=len(sentences))
-        return sums / np.sqrt(np.maximum(counts, 1))[:, None], letters
+        # the length of the bundle: a trigram that comes n times counts n squared
+        each, often = np.unique(owner.astype(np.int64) * SIDE**3 + codes, return_counts=True)
+        squares = np.bincount(each // SIDE**3, weights=often.astype(float) ** 2, minlength=len(sentences))
+        return sums / np.sqrt(np.maximum(squares, 1))[:, None], letters
 
 
 def windows(texts: Sequence[str]) -> list[str]:
@@ -320,15 +325,32 @@ def fit_rows(rows: pd.DataFrame) -> Profiles:
 
 
 def fit_profiles(*labelled: DataFrame) -> Profiles:
-    """Prototypes from labelled texts (text, label), TRAINING_TEXTS of each frame at most, taken by hash, and COMMON."""
+    """Prototypes from labelled texts (text, label), TRAINING_RUNS runs of words of each frame at most, taken by hash, and COMMON."""
     return fit_rows(pd.concat([_sample(f.where("text IS NOT NULL AND label IS NOT NULL")) for f in labelled], ignore_index=True))
 
 
 def _sample(frame: DataFrame) -> pd.DataFrame:
-    """The TRAINING_TEXTS rows of the least hashes; every task drops at once those that are surely beyond them."""
-    share = min(1.0, 4 * TRAINING_TEXTS / max(frame.count(), 1))
-    spot = F.xxhash64("text") / F.lit(2.0**64) + 0.5
-    return frame.select("text", "label").where(spot <= share).orderBy(F.xxhash64("text")).limit(TRAINING_TEXTS).toPandas()
+    """The TRAINING_RUNS runs of the least hashes, put together again by text; every task drops at once those surely beyond.
+
+    Texts are cut in the tasks, so what comes to the driver is bounded however long they are.
+    """
+    letters = frame.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    share = min(1.0, 4 * TRAINING_RUNS / max(letters / (8 * WINDOW), 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, label in zip(batch["text"], batch["label"]):
+                own = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                for at, part in enumerate(windows([text])):
+                    spot = zlib.crc32(f"{own} {at}".encode())
+                    if spot < share * 2**32 and len(part) <= LONGEST:
+                        rows.append((own, at, spot, label, part))
+            yield pd.DataFrame(rows, columns=["id", "at", "spot", "label", "run"])
+
+    each = frame.select("text", "label").mapInPandas(run, "id BIGINT, at INT, spot BIGINT, label STRING, run STRING").distinct()
+    rows = each.orderBy("spot", "id", "at", "label").limit(TRAINING_RUNS).toPandas().sort_values(["id", "label", "at"])
+    return rows.groupby(["id", "label"], sort=False).agg(text=("run", " ".join)).reset_index()
 
 
 FOUND = "tbl STRING, doc_id BIGINT, page_number INT, detection_order INT, lang STRING, confidence DOUBLE, letters INT, margin DOUBLE, labelled STRING"
@@ -379,7 +401,7 @@ def wrong_labels(labelled: DataFrame) -> DataFrame:
     )
 
 
-SEGMENTS = "segment INT, text STRING, lang STRING, confidence DOUBLE"
+SEGMENTS = "segment INT, text STRING, lang STRING, confidence DOUBLE, script STRING"
 
 
 def segment_texts(frame: DataFrame, profiles: Profiles, keys: str = "doc_id BIGINT") -> DataFrame:
@@ -398,6 +420,7 @@ def segment_texts(frame: DataFrame, profiles: Profiles, keys: str = "doc_id BIGI
             known = letters > 0
             found["lang"] = [shared.value.languages[k] if ok else None for k, ok in zip(scores.argmax(1), known)]
             found["confidence"] = np.where(known, power.max(1) / power.sum(1), 0.0)
+            found["script"] = [script_of(t) for t in found["text"]]
             yield found
 
     return frame.select(*names, "text").mapInPandas(run, f"{keys}, {SEGMENTS}")

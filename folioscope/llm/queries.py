@@ -56,15 +56,6 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(_texts(spark, d), _extracted(spark, d))
 
 
-def p1_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of every sentence of documents."""
-    documents = table(spark, d, "documents", "doc_id", "text", "lang")
-    profiles = languages.fit_profiles(
-        table(spark, d, "subject_examples", "text", "lang").withColumnRenamed("lang", "label"), documents.select("text", F.col("lang").alias("label"))
-    )
-    return languages.segment_texts(documents, profiles)
-
-
 def _every_text(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Profiles]:
     """Every text of documents, doc_text and blocks, of any kind and length, and the profiles."""
     documents = table(spark, d, "documents", "doc_id", "text", "lang").withColumnRenamed("lang", "label")
@@ -84,8 +75,8 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return languages.label_texts(rows, profiles, script=True).select("tbl", "doc_id", "page_number", "detection_order", "lang", "script", "confidence").distinct()
 
 
-def p1_all_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of every sentence of the three tables."""
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language, script and confidence of every sentence of the three tables."""
     rows, profiles = _every_text(spark, d)
     return languages.segment_texts(rows, profiles, "tbl STRING, doc_id BIGINT, page_number INT, detection_order INT").distinct()
 

@@ -41,8 +41,19 @@ def test_names_and_addresses_bear_no_language():
 def test_trigram_sums_are_vector_products(profiles):
     text = SENTENCES["fr"]
     codes, _ = languages.trigrams([text])
-    direct = languages.vectors(profiles.letters, codes).sum(0) @ profiles.prototypes.T / np.sqrt(languages.DIMENSIONS) / np.sqrt(len(codes))
-    assert np.allclose(direct, profiles.segments([text])[0][0], atol=1e-3)
+    bundle = languages.vectors(profiles.letters, codes).sum(0)
+    counts = np.unique(codes, return_counts=True)[1]
+    found = profiles.segments([text])[0][0]
+    assert np.allclose(bundle @ profiles.prototypes.T / np.sqrt(languages.DIMENSIONS) / np.sqrt((counts**2).sum()), found, atol=1e-3)
+    # the cosine with the bundle itself, whose trigrams are nearly orthogonal
+    assert np.allclose(bundle @ profiles.prototypes.T / np.linalg.norm(bundle), found, atol=0.02)
+
+
+def test_training_runs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(languages, "TRAINING_RUNS", 50)
+    rows = spark.createDataFrame([(f"word{i} " * 400, "en") for i in range(20)] + [("x" * 5000, "de"), (" ", "de")], "text STRING, label STRING")
+    found = languages._sample(rows)
+    assert sum(len(languages.windows([t])) for t in found["text"]) <= 50 + len(found) and set(found["label"]) == {"en"}
 
 
 def test_wrong_labels(spark, profiles):
@@ -219,4 +230,4 @@ def test_every_text_has_language_script_and_segments(spark):
         rows = spark.read.parquet(f"{d}/{name}.parquet").select(*(c for c in ("doc_id", "page_number", "detection_order") if name != "documents" and (c != "detection_order" or name == "blocks") or c == "doc_id")).distinct()
         assert len(texts[texts.tbl == name][keys].drop_duplicates()) == rows.count()
     assert {"latin", "arabic"} <= set(texts.script) and languages.script_of("اب a 1") == "arabic" and languages.script_of("12") is None
-    assert set(queries.p1_all_segments(spark, d).select("tbl").distinct().toPandas().tbl) == {"documents", "doc_text", "blocks"}
+    assert set(queries.p1_segments(spark, d).select("tbl").distinct().toPandas().tbl) == {"documents", "doc_text", "blocks"}
