@@ -4,7 +4,7 @@ Texts longer than the capacity are cut into full containers and a rest; everythi
 into blocks of bounded size by hash. Each block is evolved on several islands: a child takes whole well-filled bins of
 one parent, bins of the other that share an item with them are dissolved, and the displaced items go where they fit
 best. After an epoch the best packing of every island migrates to the next one through a join, and the best island of
-a block wins. Bins that stay emptier than GOOD give their items to a second level of blocks, so poor ends meet.
+a block wins. A block that best fit or an island packs into as few bins as its sizes allow is evolved no further. Bins that stay emptier than GOOD give their items to a second level of blocks, so poor ends meet.
 
 Defined results: empty and null texts have no tokens and still lie in one container; equal sizes and repeated rows are
 items of their own; a table without rows gives none; an item of exactly the capacity fills a container.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.plans.materialize import cut
@@ -26,6 +27,8 @@ from folioscope.plans.materialize import cut
 BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 1200, 2, 5, 14, 2
 #: Filling under which a bin is dissolved for the next level, and the number of levels.
 GOOD, LEVELS = 0.97, 2
+#: Blocks that a task evolves, on average.
+PER_TASK = 8
 #: Kinds of containers, at most; the table is fixed.
 KINDS = 100
 
@@ -105,21 +108,27 @@ def evolve(sizes: list[int], capacity: int, elites: list[Packing], seed: int) ->
     return best, fitness(sizes, capacity, best)
 
 
-ISLAND = "container_kind STRING, capacity INT, block BIGINT, island INT, docs ARRAY<BIGINT>, parts ARRAY<INT>, sizes ARRAY<INT>, bins ARRAY<ARRAY<INT>>, value DOUBLE"
+ISLAND = "container_kind STRING, capacity INT, block BIGINT, island INT, docs ARRAY<BIGINT>, parts ARRAY<INT>, sizes ARRAY<INT>, bins ARRAY<ARRAY<INT>>, value DOUBLE, solved BOOLEAN"
+MEMBER = "container_kind STRING, capacity INT, container_id STRING, fill DOUBLE, doc_id BIGINT, part INT, size INT"
 
 
 def _epoch(islands: DataFrame, epoch: int) -> DataFrame:
+    """The best packing of every island; a block that its first island solves needs no others and stays as it is."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            best = []
-            for sizes, capacity, block, island, own, other in zip(batch.sizes, batch.capacity, batch.block, batch.island, batch.bins, batch.migrant):
+            rows = []
+            for kind, capacity, block, island, docs, parts, sizes, own, other in zip(*(batch[c] for c in ("container_kind", "capacity", "block", "island", "docs", "parts", "sizes", "bins", "migrant"))):
+                plain, capacity = [int(x) for x in sizes], int(capacity)
                 elites = [[list(map(int, b)) for b in p] for p in (own, other) if p is not None]
-                best.append(evolve([int(s) for s in sizes], int(capacity), elites, hash((int(block), int(island), epoch)) & 0xFFFFFFFF))
-            out = batch.drop(columns=["migrant"])
-            out["bins"], out["value"] = [b for b, _ in best], [v for _, v in best]
-            yield out[[c.split()[0] for c in ISLAND.split(", ")]]
+                least = max(1, -(-sum(plain) // capacity))
+                for i in (range(ISLANDS) if epoch == 0 else (int(island),)):
+                    bins, value = evolve(plain, capacity, elites, hash((int(block), i, epoch)) & 0xFFFFFFFF)
+                    solved = len(bins) <= least
+                    rows.append((kind, capacity, block, i, docs, parts, sizes, bins, value, solved))
+                    if solved:
+                        break
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ISLAND.split(", ")])
 
     return islands.mapInPandas(run, ISLAND)
 
@@ -131,24 +140,35 @@ def _evolved(items: DataFrame, total: int) -> DataFrame:
     rows = dealt.groupBy("container_kind", "capacity", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part", "size"))).alias("all"))
     base = rows.select("container_kind", "capacity", "block", F.col("all.doc_id").alias("docs"), F.col("all.part").alias("parts"), F.col("all.size").alias("sizes"))
     none = F.lit(None).cast("array<array<int>>")
-    islands = base.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("bins", none).withColumn("value", F.lit(0.0)).withColumn("migrant", none)
-    tasks = max(islands.sparkSession.sparkContext.defaultParallelism, min(4 * blocks, 4000))
-    for epoch in range(EPOCHS):
-        islands = cut(_epoch(islands.repartition(tasks, "container_kind", "block", "island"), epoch))
-        if epoch + 1 < EPOCHS:
-            sent = islands.select("container_kind", "block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))
-            islands = islands.join(sent, ["container_kind", "block", "island"])
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, min(-(-blocks // PER_TASK), 20_000))
+    spread = base.repartition(tasks, "container_kind", "block").select("*", F.lit(0).alias("island"), none.alias("bins"), none.alias("migrant"))
+    islands = cut(_epoch(spread, 0))
+    done = islands
+    for epoch in range(1, EPOCHS):
+        # blocks that some island has solved are done; in the others the best packing of every island goes to the next one
+        open_ = islands.withColumn("_solved", F.max("solved").over(W.partitionBy("container_kind", "block"))).where("NOT _solved").drop("_solved")
+        sent = open_.select("container_kind", "block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))
+        islands = cut(_epoch(open_.join(sent, ["container_kind", "block", "island"]), epoch))
+        done = done.unionByName(islands)
     best = F.max_by(F.struct("docs", "parts", "sizes", "bins"), F.struct("value", -F.col("island"))).alias("best")
-    return islands.groupBy("container_kind", "capacity", "block").agg(best).select("container_kind", "capacity", "block", "best.*")
+    return done.groupBy("container_kind", "capacity", "block").agg(best).select("container_kind", "capacity", "block", "best.*")
 
 
 def _members(evolved: DataFrame, level: int) -> DataFrame:
     """A row for each item: container, its filling, and the item."""
-    bins = evolved.select("container_kind", "capacity", "block", "docs", "parts", "sizes", F.posexplode("bins").alias("bin", "items"))
-    fill = F.aggregate("items", F.lit(0), lambda s, i: s + F.col("sizes")[i])
-    name = F.concat_ws("-", "container_kind", F.lit(level), "block", "bin")
-    each = bins.select("container_kind", "capacity", name.alias("container_id"), (fill / F.col("capacity")).alias("fill"), "docs", "parts", "sizes", F.explode("items").alias("i"))
-    return each.select("container_kind", "capacity", "container_id", "fill", F.col("docs")[F.col("i")].alias("doc_id"), F.col("parts")[F.col("i")].alias("part"), F.col("sizes")[F.col("i")].alias("size"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, capacity, block, docs, parts, sizes, bins in zip(*(batch[c] for c in ("container_kind", "capacity", "block", "docs", "parts", "sizes", "bins"))):
+                at = np.concatenate([*bins, np.empty(0, int)]).astype(int)
+                each = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+                size = np.asarray(sizes)[at]
+                fill = np.bincount(each, weights=size, minlength=len(bins)) / capacity
+                yield pd.DataFrame({
+                    "container_kind": kind, "capacity": capacity, "container_id": [f"{kind}-{level}-{block}-{k}" for k in each], "fill": fill[each], "doc_id": np.asarray(docs)[at], "part": np.asarray(parts)[at], "size": size,
+                })
+
+    return evolved.mapInPandas(run, MEMBER)
 
 
 def pack(lengths: DataFrame, containers: DataFrame) -> DataFrame:

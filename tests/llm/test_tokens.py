@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 
 from folioscope.llm import byte_bpe, packing
@@ -72,3 +73,13 @@ def test_crossover_keeps_every_item():
     a, b = packing.best_fit(sizes, 512, list(range(200))), packing.best_fit(sizes, 512, list(range(199, -1, -1)))
     child = packing.crossed(sizes, 512, a, b, rng)
     assert sorted(i for x in child for i in x) == list(range(200)) and max(sum(sizes[i] for i in x) for x in child) <= 512
+
+
+@pytest.mark.parametrize("low, high", [(280, 390), (250, 500)])
+def test_evolution_beats_best_fit_near_a_third_of_the_capacity(low, high):
+    """Where three items fill a container, best fit by size pairs the large ones and leaves room; whole bins of others mend it."""
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(low, high, 600)]
+    plain = packing.best_fit(sizes, 1000, sorted(range(600), key=lambda i: -sizes[i]))
+    evolved, _ = packing.evolve(sizes, 1000, [], 1)
+    assert len(evolved) < len(plain) and sorted(i for b in evolved for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 1000 for b in evolved)
