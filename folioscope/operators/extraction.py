@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import constants as C
@@ -654,6 +655,33 @@ def extract(classified: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return base.select(*KEYS, F.explode(both).alias("f")).select(*KEYS, "f.*")
 
 
+def with_layout(pages: DataFrame, page_lines: DataFrame, cells: DataFrame, signed: DataFrame | None = None) -> DataFrame:
+    """Pages with the columns of LAYOUT: their lines in order, the rows of their table (``layout.tables``), and whether they
+    are signed (``layout.page_info``)."""
+    lines = page_lines.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("line_number", "text", "confidence"))).alias("_l"))
+    lines = lines.select(*KEYS, F.transform("_l", lambda v: F.struct(v["text"].alias("text"), v["confidence"].alias("confidence"))).alias("page_lines"))
+    rows = cells.groupBy(*KEYS, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]).alias("_r"))
+    rows = rows.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "_r"))), lambda r: r["_r"]).alias("page_table"))
+    out = pages.join(lines, list(KEYS), "left").join(rows, list(KEYS), "left")
+    return out if signed is None else out.join(signed.select(*KEYS, F.col("has_signatures").alias("page_signed")), list(KEYS), "left")
+
+
+def table_items(pages: DataFrame) -> DataFrame:
+    """(keys, seq, cells, description, quantity, unit_price, amount) of the rows of pages' tables (``with_layout``)."""
+    base = _base(pages)
+    for stage in (_table_rows, _table_items):
+        base = base.withColumns({f"x_{n}": c for n, c in stage(F.col("text"), F.lit(None)).items()})
+    each = base.select(*KEYS, F.posexplode(F.arrays_zip(x("cells").alias("cells"), x("table").alias("item"))).alias("seq", "r"))
+    return each.select(*KEYS, "seq", "r.cells", "r.item.*")
+
+
+def merged(fields: DataFrame) -> DataFrame:
+    """Fields of several sources (keys, source, field_name, ...): of a field of a page those of the source that is last by
+    name (specialised before generic) stay."""
+    rank = F.dense_rank().over(W.partitionBy(*KEYS, "field_name").orderBy(F.col("source").desc()))
+    return fields.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
 def structured(fields: DataFrame, page_confidence: Column | float = 1.0) -> DataFrame:
     """Fields with label, language and direction of their value; without a confidence of their own they take the page's."""
     value = T.normalized(F.col("value"))

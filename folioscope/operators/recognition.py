@@ -159,6 +159,25 @@ def merged_passes(primary: DataFrame, secondary: DataFrame, keys: tuple[str, ...
     ).drop("_sum")
 
 
+def page_text(page_lines: DataFrame) -> DataFrame:
+    """Pages from their lines (``layout.lines``): text, raw_text and normalized_text, where a line without one gives its text."""
+    line = F.struct("line_number", "text", F.coalesce(F.nullif("raw_text", F.lit("")), "text").alias("raw_text"), F.coalesce(F.nullif("normalized_text", F.lit("")), "text").alias("normalized_text"))
+    page = page_lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("_l"))
+    joined = lambda c: F.array_join(F.transform("_l", lambda v: F.coalesce(v[c], F.lit(""))), "\n").alias(c)
+    return page.select(*PAGE, *map(joined, ("text", "raw_text", "normalized_text")))
+
+
+def responses(pages: DataFrame, fields: DataFrame) -> DataFrame:
+    """One nested record per page: document(type, language, confidence), texts, review, and the map of its fields, which is
+    null without any. Pages have page_text's columns, category, language, confidence, needs_review and uncertain_lines."""
+    held = fields.groupBy(*PAGE, "field_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda v: v["value"]).alias("values"))
+    held = held.groupBy(*PAGE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "values")))).alias("fields"))
+    record = F.struct(
+        F.struct(F.col("category").alias("type"), "language", "confidence").alias("document"), "text", "raw_text", "normalized_text", "needs_review", "uncertain_lines", "fields",
+    )
+    return pages.join(held, list(PAGE), "left").select(*PAGE, record.alias("response"))
+
+
 def document_rollup(pages: DataFrame) -> DataFrame:
     """Documents: pages in order joined by a form feed, page count, review if any page needs it."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"]), "\n\f\n")

@@ -195,7 +195,7 @@ _SCORED = f"""SELECT *, regexp_matches(x, '{_STRUCT}') AS s, length(replace(x, '
 
 
 @query(f"""SELECT doc_id, page_number::BIGINT AS page_number, round(a, 6) AS avg_confidence, n::BIGINT AS block_count, p::BIGINT AS char_count, s AS structured, round(m::DOUBLE / greatest(p, 1), 6) AS coherence,
-  round(CASE WHEN p = 0 THEN 0 ELSE least(1.0, greatest(0.0, 0.35::DOUBLE * a + 0.35::DOUBLE * m / greatest(p, 1) + 0.15::DOUBLE * least(1.0, p / 60.0::DOUBLE) + CASE WHEN s THEN 0.1::DOUBLE ELSE 0 END)) END, 6) AS composite FROM ({_SCORED})""")
+  round(CASE WHEN p = 0 THEN 0 ELSE least(1.0, greatest(0.0, 0.35::DOUBLE * a + 0.35::DOUBLE * (m::DOUBLE / greatest(p, 1)) + 0.15::DOUBLE * least(1.0, p / 60.0::DOUBLE) + CASE WHEN s THEN 0.1::DOUBLE ELSE 0 END)) END, 6) AS composite FROM ({_SCORED})""")
 def q_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality of the recognition of every page."""
     return recognition.page_quality(_blocks(spark, d)).select("doc_id", *big("page_number"), r6("avg_confidence").alias("avg_confidence"), *big("block_count", "char_count"), "structured", r6("coherence").alias("coherence"), r6("composite").alias("composite"))
@@ -242,7 +242,7 @@ def q_review_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, page_number::BIGINT AS page_number, CASE WHEN coalesce(a, 0) < 0.30 OR (n >= 3 AND v >= 0.60) THEN 'rotate' WHEN a < 0.60 OR wf >= 0.30 OR c < 0.50 THEN 'original' ELSE 'keep' END AS route FROM (
-  SELECT s.doc_id, s.page_number, a, n, v, wf, CASE WHEN p = 0 THEN 0 ELSE least(1.0, greatest(0.0, 0.35::DOUBLE * a + 0.35::DOUBLE * m / greatest(p, 1) + 0.15::DOUBLE * least(1.0, p / 60.0::DOUBLE) + CASE WHEN s THEN 0.1::DOUBLE ELSE 0 END)) END AS c
+  SELECT s.doc_id, s.page_number, a, n, v, wf, CASE WHEN p = 0 THEN 0 ELSE least(1.0, greatest(0.0, 0.35::DOUBLE * a + 0.35::DOUBLE * (m::DOUBLE / greatest(p, 1)) + 0.15::DOUBLE * least(1.0, p / 60.0::DOUBLE) + CASE WHEN s THEN 0.1::DOUBLE ELSE 0 END)) END AS c
   FROM ({_SCORED}) s JOIN (SELECT doc_id, page_number, avg((h > greatest(w, 1) * 1.5)::INT) AS v, avg((confidence < 0.5)::INT) AS wf FROM ({BOXES}) GROUP BY ALL) USING (doc_id, page_number))""")
 def q_routing(spark: SparkSession, d: str) -> DataFrame:
     """How every page would be read again."""
@@ -545,10 +545,17 @@ def q_emails(spark: SparkSession, d: str) -> DataFrame:
     return _values(extraction.generic(_pages(spark, d)), "emails")
 
 
-@query(_all("urls", "text", "(?i)\\b(?:https?://|www\\.)[A-Za-z0-9.-]+\\.[A-Za-z]{2,}(?:/[^\\s]*)?").replace(_DISTINCT, "SELECT doc_id, 1 AS page_number, text FROM documents WHERE text IS NOT NULL"))
+_SITES = """SELECT doc_id, page_number, string_agg('see www.' || lower(split_part(value, '@', 2)) || ', or (https://' || lower(split_part(value, '@', 2)) || '/id?n=' || doc_id || ') now', chr(10) ORDER BY value) AS text
+  FROM (SELECT DISTINCT doc_id, page_number, value FROM fields WHERE field_name = 'emails' AND contains(value, '@')) GROUP BY ALL"""
+
+
+@query(_all("urls", "text", "(?i)\\b(?:https?://|www\\.)[A-Za-z0-9.-]+\\.[A-Za-z]{2,}(?:/[^\\s]*)?").replace(_DISTINCT, _SITES))
 def q_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses of pages of the web in reviews."""
-    pages = table(spark, d, "documents", "doc_id", "text").withColumn("page_number", F.lit(1))
+    """Addresses of pages of the web, in lines on the sites of mail addresses, as no table holds any."""
+    mails = table(spark, d, "fields", "doc_id", "page_number", "field_name", "value").where("field_name = 'emails' AND contains(value, '@')").distinct()
+    site = F.lower(F.split_part("value", F.lit("@"), F.lit(2)))
+    line = F.concat(F.lit("see www."), site, F.lit(", or (https://"), site, F.lit("/id?n="), F.col("doc_id").cast("string"), F.lit(") now"))
+    pages = mails.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", line.alias("line")))), lambda v: v["line"]), "\n").alias("text"))
     return _values(extraction.generic(pages), "urls")
 
 
@@ -618,10 +625,74 @@ def q_extract_invoice(spark: SparkSession, d: str) -> DataFrame:
     return _values(fields, "invoice_number", "invoice_date", "subtotal", "tax", "total")
 
 
-@query()
-def q_extract_invoice_all(spark: SparkSession, d: str) -> DataFrame:
-    """All fields of invoices with confidence, validity and note."""
-    return extraction.eav(_pages(spark, d, "invoice"), extraction.registered()["invoice"], "specialised", "invoice")
+_W = "\\p{L}\\p{N}_"
+_WHO = "([A-Za-z\\x{0600}-\\x{06FF}0-9\\s\\p{Z}.&''\"-]+)"
+_DAY = "(?:\\p{Nd}{4}[-/]\\p{Nd}{1,2}[-/]\\p{Nd}{1,2}|\\p{Nd}{1,2}[-/]\\p{Nd}{1,2}[-/]\\p{Nd}{2,4})"
+
+
+def found_(pattern: str, text: str = "raw_text") -> str:
+    return f"nullif(regexp_extract({text}, '(?i){pattern}', 1), '')"
+
+
+def first_line_(value: str) -> str:
+    line = strip_(f"regexp_split_to_array({value}, '{C.LINE_ENDS}')[1]")
+    return f"CASE WHEN length({line}) >= 2 THEN {line} END"
+
+
+def lines_(text: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(coalesce({text}, ''), '{C.LINE_ENDS}'), lambda v: {strip_('v')}), lambda v: v <> '')"
+
+
+def _laid_out(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Pages of one kind with what their layout tells."""
+    lines = _lines(spark, d)
+    return extraction.with_layout(_pages(spark, d, kind), lines, layout.tables(lines))
+
+
+_SURE = f"(SELECT arg_min(l.confidence, l.line_number) FROM ({LINES}) l WHERE l.doc_id = p.doc_id AND l.page_number = p.page_number AND contains(lower(l.text), lower({strip_('p.value')})))"
+_PARTIES = " UNION ALL ".join([
+    f"SELECT doc_id, page_number, 'seller' AS field_name, v AS value, 0.92::DOUBLE AS usual FROM (SELECT *, {first_line_(found_('(?:seller|vendor|from|المورد|البائع|شركة)' + _E + _WHO))} AS v FROM ({_DISTINCT})) WHERE document_type = 'invoice' AND v IS NOT NULL AND NOT {any_('lower(v)', ['invoice', 'date', 'bill to', 'tax'])}",
+    f"SELECT doc_id, page_number, 'buyer', v, 0.92::DOUBLE FROM (SELECT *, {first_line_(found_(f'(?:bill{_Z}*to|buyer|customer|client|العميل|المشتري|إلى|السيد)' + _E + _WHO))} AS v FROM ({_DISTINCT})) WHERE document_type = 'invoice' AND v IS NOT NULL AND NOT {any_('lower(v)', ['subtotal', 'vat', 'tax', 'total'])}",
+    f"SELECT doc_id, page_number, 'currency', v, 0.98::DOUBLE FROM (SELECT *, upper({found_(f'(?:^|[^{_W}])(EGP|USD|EUR|GBP|SAR|AED|ج[.]م|جنيه|دولار|ريال)(?:$|[^{_W}])')}) AS v FROM ({_DISTINCT})) WHERE document_type = 'invoice' AND v IS NOT NULL",
+])
+
+
+@query(f"""SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, field_name, value, round(CASE WHEN c > 0 THEN c ELSE usual END, 6) AS confidence FROM (SELECT p.*, {_SURE} AS c FROM ({_PARTIES}) p)""")
+def q_invoice_parties(spark: SparkSession, d: str) -> DataFrame:
+    """Seller, buyer and currency of invoices with the confidence of the first line that holds them."""
+    fields = extraction.eav(_laid_out(spark, d, "invoice"), extraction.registered()["invoice"], "specialised", "invoice").where("field_name IN ('seller', 'buyer', 'currency')")
+    return fields.select("doc_id", *big("page_number"), "field_name", "value", r6("confidence").alias("confidence")).distinct()
+
+
+def _at_(kind: str) -> str:
+    earlier = [any_("lower(h)", C.ITEM_HEADERS[k]) for k in C.ITEM_HEADERS if list(C.ITEM_HEADERS).index(k) < list(C.ITEM_HEADERS).index(kind)]
+    own = " AND ".join([any_("lower(h)", C.ITEM_HEADERS[kind]), *(f"NOT {e}" for e in earlier)])
+    return f"(SELECT max(i) FROM (SELECT unnest(tab[1]) AS h, unnest(range(1, len(tab[1]) + 1)) AS i) WHERE {own})"
+
+
+def _cell_(kind: str) -> str:
+    return f"CASE WHEN at_{kind} <= len(r) THEN r[at_{kind}] END"
+
+
+_TAB = f"SELECT doc_id, page_number, list(parts ORDER BY line_number) AS tab FROM (SELECT *, {_PARTS} AS parts FROM ({LINES})) WHERE len(parts) >= 3 OR (len(parts) = 2 AND regexp_matches(text, '\\p{{Nd}}')) GROUP BY ALL HAVING count(*) >= 2"
+_CELLS = f"""SELECT *, unnest(rs) AS r, unnest(range(0, len(rs))) AS seq FROM (SELECT *, list_filter(tab[2:], lambda z: len(z) >= 2) AS rs, {', '.join(f'{_at_(k)} AS at_{k}' for k in C.ITEM_HEADERS)}
+  FROM (SELECT DISTINCT doc_id, page_number, document_type FROM ({_DISTINCT})) JOIN ({_TAB}) USING (doc_id, page_number) WHERE document_type IN ('invoice', 'receipt'))"""
+_NUMBER = {k: f"try_cast(regexp_replace({_cell_(k)}, '[^\\p{{Nd}}.]', '', 'g') AS DOUBLE)" for k in ("quantity", "unit_price")}
+
+
+@query(f"""SELECT doc_id, page_number::BIGINT AS page_number, document_type, seq::BIGINT AS seq, CASE document_type WHEN 'receipt' THEN r[1] ELSE coalesce({_cell_('description')}, r[1]) END AS description,
+  CASE document_type WHEN 'invoice' THEN {_NUMBER['quantity']} END AS quantity, CASE document_type WHEN 'invoice' THEN {_NUMBER['unit_price']} END AS unit_price, CASE document_type WHEN 'receipt' THEN r[-1] ELSE coalesce({_cell_('amount')}, r[-1]) END AS amount FROM ({_CELLS})""")
+def q_table_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of invoices and receipts from the tables of their layout."""
+    out = None
+    for kind in ("invoice", "receipt"):
+        pages = _laid_out(spark, d, kind).dropDuplicates(["doc_id", "page_number"])
+        rows = extraction.table_items(pages).withColumn("document_type", F.lit(kind))
+        if kind == "receipt":
+            none = F.lit(None).cast("double")
+            rows = rows.withColumns({"description": F.col("cells")[0], "quantity": none, "unit_price": none, "amount": F.element_at("cells", -1)})
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("doc_id", *big("page_number"), "document_type", *big("seq"), "description", "quantity", "unit_price", "amount")
 
 
 _PAY = "(?:^|[^\\p{{L}}\\p{{N}}_])(?:{0})(?:$|[^\\p{{L}}\\p{{N}}_])"
@@ -639,16 +710,46 @@ def q_extract_receipt(spark: SparkSession, d: str) -> DataFrame:
     return _values(extraction.eav(_pages(spark, d, "receipt"), extraction.registered()["receipt"], "specialised", "receipt"), "receipt_number", "total", "payment_method")
 
 
-@query()
+_RECEIPT = {
+    "merchant": f"list_filter({lines_('raw_text')}[1:3], lambda v: len({words_('v')}) <= 6 AND NOT {any_('lower(v)', ['receipt', 'invoice', 'فاتورة', 'إيصال', 'order', 'date', 'cashier', 'كاشير'])})[1]",
+    "date": found_(f"(?:^|[^{_W}])({_DAY})(?:$|[^{_W}])"), "time": strip_(found_(f"(?:^|[^{_W}])((?:[01]?\\p{{Nd}}|2[0-3]):[0-5]\\p{{Nd}}(?::[0-5]\\p{{Nd}})?{_Z}*(?:AM|PM|ص|م)?)(?:$|[^{_W}])")),
+    "subtotal": f"replace({found_(f'(?:subtotal|المجموع{_Z}*الفرعي)' + _E + _M)}, ',', '')", "tax": f"replace({found_('(?:tax|vat|الضريبة)' + _E + _M)}, ',', '')",
+    "currency": f"upper({found_(f'(?:^|[^{_W}])(EGP|USD|EUR|SAR|AED|ج[.]م|جنيه|ريال|درهم)(?:$|[^{_W}])')})",
+}
+
+
+def _columns_sql(columns: dict[str, str], kind: str) -> str:
+    """(doc_id, page_number, field_name, value) of expressions over the pages of one kind."""
+    return " UNION ALL ".join(f"SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, '{n}' AS field_name, {v} AS value FROM ({_DISTINCT}) WHERE document_type = '{kind}' AND {v} IS NOT NULL AND {v} <> ''" for n, v in columns.items())
+
+
+@query(_columns_sql(_RECEIPT, "receipt"))
 def q_extract_receipt_all(spark: SparkSession, d: str) -> DataFrame:
-    """All fields of receipts."""
-    return extraction.eav(_pages(spark, d, "receipt"), extraction.registered()["receipt"], "specialised", "receipt")
+    """Merchants, dates, times and sums of receipts."""
+    return _values(extraction.eav(_pages(spark, d, "receipt"), extraction.registered()["receipt"], "specialised", "receipt"), *_RECEIPT)
+
+
+_ZONE = f"list_filter({lines_('raw_text')}, lambda v: contains(v, 'P<') OR (contains(v, '<') AND length(v) >= 28))"
+_MRZ = f"""SELECT doc_id, page_number, raw_text, l1, CASE WHEN length(l2) >= 28 THEN l2 END AS l2, l1[6:] AS nm, strpos(l1[6:], '<<') AS cutat FROM (SELECT *, CASE WHEN contains(z[-2], '<') THEN z[-2] END AS l1, CASE WHEN contains(z[-2], '<') THEN z[-1] END AS l2
+  FROM (SELECT *, CASE WHEN len(zs) >= 2 THEN list_transform(zs, lambda v: replace(v, ' ', '')) ELSE [] END AS z FROM (SELECT *, {_ZONE} AS zs FROM ({_DISTINCT}) WHERE document_type = 'passport')))"""
+_NAMES = "([A-Za-z\\x{0600}-\\x{06FF}\\s\\p{Z}]+)"
+_some_ = lambda v: f"nullif({strip_(f"replace({v}, '<', ' ')")}, '')"
+_six_ = lambda i, century: f"CASE WHEN regexp_matches(l2[{i}:{i + 5}], '^[0-9]{{6}}$') THEN {century} || l2[{i}:{i + 1}] || '-' || l2[{i + 2}:{i + 3}] || '-' || l2[{i + 4}:{i + 5}] END"
+_seen_ = lambda label: first_line_(found_(f"(?:{label}){_E}{_NAMES}"))
+_PASSPORT = {
+    "issuing_country": f"coalesce(nullif(replace(l1[3:5], '<', ''), ''), {_seen_(f'issuing{_Z}*country|country|دولة الإصدار')})",
+    "surname": f"coalesce({_some_('CASE WHEN cutat > 0 THEN nm[:cutat - 1] ELSE nm END')}, {_seen_('surname|nom|اللقب|اسم العائلة')})", "given_names": f"coalesce({_some_('CASE WHEN cutat > 0 THEN nm[cutat + 2:] END')}, {_seen_(f'given{_Z}*names?|prénoms|الاسم')})",
+    "passport_number": f"coalesce(nullif(replace(l2[1:9], '<', ''), ''), {found_(f'(?:passport{_Z}*(?:no|number)|رقم الجواز){_E}([A-Z0-9]{{7,10}})')})",
+    "date_of_birth": f"coalesce({_six_(14, "CASE WHEN try_cast(l2[14:15] AS INT) > 30 THEN '19' ELSE '20' END")}, {found_(f'(?:date{_Z}*of{_Z}*birth|dob|né le|تاريخ الميلاد){_E}({_DAY})')})",
+    "expiry_date": f"coalesce({_six_(22, "'20'")}, {found_(f'(?:date{_Z}*of{_Z}*expiry|expiry{_Z}*date|expire le|تاريخ الانتهاء){_E}({_DAY})')})",
+    "mrz_detected": "CASE WHEN l1 IS NOT NULL THEN 'true' END",
+}
 
 
-@query()
+@query(_columns_sql(_PASSPORT, "x").replace(f"({_DISTINCT})", f"({_MRZ})").replace("document_type = 'x' AND ", ""))
 def q_extract_passport(spark: SparkSession, d: str) -> DataFrame:
-    """All fields of passports."""
-    return extraction.eav(_pages(spark, d, "passport"), extraction.registered()["passport"], "specialised", "passport")
+    """What passports say in their machine-readable lines, else in print."""
+    return _values(extraction.eav(_pages(spark, d, "passport"), extraction.registered()["passport"], "specialised", "passport"), *_PASSPORT)
 
 
 @query()
@@ -657,10 +758,30 @@ def q_extract_id_card(spark: SparkSession, d: str) -> DataFrame:
     return extraction.eav(_pages(spark, d, "id_card"), extraction.registered()["id_card"], "specialised", "id_card")
 
 
-@query()
+def _term_(term: str) -> str:
+    p = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term)
+    end = f"(?:$|[^{_W}])" if term[-1].isalnum() else f"[{_W}]"
+    return f"CASE WHEN contains(lower(raw_text), '{term}') AND regexp_matches(lower(raw_text), '(?:^|[^{_W}]){p}{end}') THEN '{term.title() if len(term) > 3 else term.upper()}' END"
+
+
+def _terms_(terms: list[str]) -> str:
+    return f"list_filter([{', '.join(map(_term_, terms))}], lambda v: v IS NOT NULL)"
+
+
+_CV = {
+    "name": f"[list_filter({lines_('raw_text')}[1:4], lambda v: NOT contains(v, '@') AND NOT {any_('lower(v)', ['curriculum', 'resume', 'cv', 'page', 'profile', 'contact'])} AND len({words_('v')}) BETWEEN 2 AND 5 AND length(v) < 45)[1]]",
+    "email": "[regexp_extract(raw_text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,7}\\b')]",
+    "phone": f"[{strip_('regexp_extract(raw_text, ' + chr(39) + '(?:[+]?20' + chr(92) + 's?|0020' + chr(92) + 's?|0)?(?:10|11|12|15)[0-9]{8}' + chr(92) + 'b|[+]?[1-9][0-9]{1,3}[-.' + chr(92) + 's]?[(]?[0-9]{2,4}[)]?[-.' + chr(92) + 's]?[0-9]{3,4}[-.' + chr(92) + 's]?[0-9]{3,4}' + chr(39) + ')')}]",
+    "skills": _terms_(extraction.SKILLS), "languages": _terms_(extraction.LANGUAGES),
+    "education": f"list_transform(regexp_extract_all(raw_text, '(?i)(?:Bachelor|Master|PhD|B[.]Sc|M[.]Sc|BSc|MSc|بكالوريوس|ماجستير|دكتوراه|جامعة|University|Faculty of)[^\\n]+')[1:5], lambda v: {strip_('v')})",
+    "summary": f"[{strip_(found_(f'(?:summary|professional{_Z}*summary|profile|about{_Z}*me|نبذة{_Z}*شخصية|نبذة{_Z}*عني){_Z}*[:\n]{_Z}*([^\n]+(?:\n[^\n]+){{1,3}})'))}]",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, '{n}' AS field_name, v AS value FROM (SELECT doc_id, page_number, unnest({v}) AS v FROM ({_DISTINCT}) WHERE document_type = 'cv') WHERE v <> ''" for n, v in _CV.items()))
 def q_extract_cv(spark: SparkSession, d: str) -> DataFrame:
-    """All fields of CVs."""
-    return extraction.eav(_pages(spark, d, "cv"), extraction.registered()["cv"], "specialised", "cv")
+    """Names, contacts, skills, languages, education and summaries of CVs."""
+    return _values(extraction.eav(_pages(spark, d, "cv"), extraction.registered()["cv"], "specialised", "cv"), *_CV)
 
 
 #: Texts of papers that the tables hold none of, with what is to be found in them.
@@ -700,10 +821,36 @@ def q_registry_merge(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract(_classified(spark, d))
 
 
-@query()
+_LABEL = "list_aggregate(list_transform(string_split(field_name, '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"
+
+
+@query(f"""SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, source, field_name, seq::BIGINT AS seq, value, {_LABEL} AS label, {lang_('nv')} AS language, {direction_('nv')} AS direction, coalesce(confidence, 1.0) AS confidence
+  FROM (SELECT *, {normal_('value')} AS nv, dense_rank() OVER (PARTITION BY doc_id, page_number, field_name ORDER BY source DESC) AS k FROM fields WHERE value IS NOT NULL) WHERE k = 1""")
 def q_structured_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Fields with label, language and direction."""
-    return extraction.structured(extraction.extract(_classified(spark, d)))
+    """The extracted fields, specialised before generic, with label, language and direction."""
+    rows = table(spark, d, "fields", "doc_id", "page_number", "source", "field_name", "seq", "value", "confidence").where("value IS NOT NULL").distinct()
+    return extraction.structured(extraction.merged(rows)).select("doc_id", *big("page_number"), "source", "field_name", *big("seq"), "value", "label", "language", "direction", "confidence").distinct()
+
+
+@query(f"""SELECT doc_id, page_number::BIGINT AS page_number, string_agg(text, chr(10) ORDER BY line_number) AS text, string_agg(coalesce(nullif(raw, ''), text), chr(10) ORDER BY line_number) AS raw_text,
+  string_agg(coalesce(nullif({normal_('text')}, ''), text), chr(10) ORDER BY line_number) AS normalized_text FROM (SELECT doc_id, page_number, line_number, string_agg(coalesce(text, ''), ' ' ORDER BY detection_order) AS text,
+  string_agg(coalesce(CASE WHEN coalesce(raw_text, '') = '' THEN text ELSE raw_text END, ''), ' ' ORDER BY detection_order) AS raw FROM ({BLOCKS}) GROUP BY ALL) GROUP BY ALL""")
+def q_page_text(spark: SparkSession, d: str) -> DataFrame:
+    """The three texts of pages from their lines."""
+    return recognition.page_text(_lines(spark, d)).select("doc_id", *big("page_number"), "text", "raw_text", "normalized_text")
+
+
+@query(f"""WITH f AS (SELECT doc_id, page_number, field_name, string_agg(value, '|' ORDER BY seq, value) AS v FROM (SELECT DISTINCT doc_id, page_number, field_name, seq, value FROM fields WHERE value IS NOT NULL AND source = 'specialised') GROUP BY ALL),
+  m AS (SELECT doc_id, page_number, string_agg(field_name || '=' || v, ';' ORDER BY field_name) AS fields FROM f GROUP BY ALL),
+  l AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line_number) AS text, min(confidence) < 0.5 AS low FROM ({LINES}) GROUP BY ALL)
+  SELECT doc_id, page_number::BIGINT AS page_number, document_type AS type, {lang_('l.text')} AS language, l.text AS text, fields FROM (SELECT DISTINCT doc_id, page_number, document_type FROM doc_text) JOIN l USING (doc_id, page_number) LEFT JOIN m USING (doc_id, page_number)""")
+def q_response(spark: SparkSession, d: str) -> DataFrame:
+    """The nested record of every page, with the map of its fields."""
+    pages = recognition.page_text(_lines(spark, d)).join(_texts(spark, d, "document_type").distinct().withColumnRenamed("document_type", "category"), ["doc_id", "page_number"])
+    pages = pages.join(recognition.review_flags(_blocks(spark, d), _texts(spark, d)), ["doc_id", "page_number"]).withColumns({"language": T.language(F.col("text"))["lang"], "confidence": F.lit(1.0)})
+    fields = table(spark, d, "fields", "doc_id", "page_number", "field_name", "seq", "value", "source").where("value IS NOT NULL AND source = 'specialised'").drop("source").distinct()
+    found = recognition.responses(pages, fields).select("doc_id", *big("page_number"), "response.document.type", "response.document.language", "response.text", F.array_sort(F.map_entries("response.fields")).alias("e"))
+    return found.select("doc_id", "page_number", "type", "language", "text", F.array_join(F.transform("e", lambda v: F.concat(v["key"], F.lit("="), F.array_join(v["value"], "|"))), ";").alias("fields"))
 
 
 @query(f"""WITH f AS (SELECT DISTINCT doc_id, page_number, field_name, seq, value FROM fields WHERE value IS NOT NULL AND source = 'specialised'),
