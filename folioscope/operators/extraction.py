@@ -278,7 +278,7 @@ def _passport_fields(as_of: Column) -> list[Field]:
     name = F.when(x("surname").isNotNull(), F.concat_ws(" ", x("given"), x("surname"))).otherwise(F.when(x("first").isNotNull(), F.concat_ws(" ", x("first"), x("last"))))
     ok = x("number_ok")
     sure = F.when(x("number").isNotNull(), F.when(x("checked"), 0.99).when(ok, 0.95).otherwise(0.50)).otherwise(F.when(ok, 0.95).otherwise(0.45))
-    note = F.when(x("number").isNotNull() & x("checked"), "MRZ checksum verified").when(ok, "Valid passport pattern").otherwise("Does not match the standard pattern")
+    note = F.when(x("number").isNotNull() & x("checked"), "Check digit is right").when(ok, "Letters and digits of a passport number").otherwise("Unusual form")
     born = F.when(x("dob_c")["valid"], by("born", 0.99, 0.95)).otherwise(0.50)
     return [
         Field("mrz_detected", F.when(x("l1").isNotNull(), "true"), 0.99), Field("issuing_country", F.coalesce(x("country"), x("seen_country")), by("country", 0.99, 0.92)),

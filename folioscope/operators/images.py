@@ -24,7 +24,14 @@ def as_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     """Pixels, or None for an image that could not be decoded."""
     if height is None or height <= 0 or width <= 0 or not data:
         return None
-    return np.frombuffer(data, np.uint8).reshape(height, width, channels) if channels > 1 else np.frombuffer(data, np.uint8).reshape(height, width)
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels) if channels > 1 else np.frombuffer(data, np.uint8).reshape(height, width)
+    return on_white(pixels) if channels == 4 else pixels
+
+
+def on_white(pixels: np.ndarray) -> np.ndarray:
+    """Colours of pixels with transparency as they look on white paper."""
+    share = pixels[..., 3:].astype(np.float64) / 255
+    return np.rint(pixels[..., :3] * share + 255 * (1 - share)).astype(np.uint8)
 
 
 def gray(image: np.ndarray) -> np.ndarray:
@@ -133,10 +140,10 @@ def quality(images: DataFrame, image: str = "image") -> DataFrame:
     m, h, w = F.col("measures"), F.col(f"{image}.height"), F.col(f"{image}.width")
     empty = m["brightness"].isNull()
     warnings = F.array_compact(F.array(
-        F.when(empty, "Empty or invalid image."), F.when(m["blur"] < BLUR, F.format_string("Image may be blurry (variance: %.1f). Text recognition accuracy may be reduced.", m["blur"])),
-        F.when(m["brightness"] < DARK, F.format_string("Image appears underexposed (mean brightness: %.1f/255).", m["brightness"])), F.when(m["brightness"] > BRIGHT, F.format_string("Image appears washed out or overexposed (mean brightness: %.1f/255).", m["brightness"])),
-        F.when(m["contrast"] < CONTRAST, F.format_string("Low contrast detected (%.1f). Text may blend with background.", m["contrast"])), F.when(~empty & (F.least(w, h) < LEAST_SIDE), F.format_string("Low resolution image (%dx%d). Recommended minimum dimension is 300px.", w, h)),
-        F.when(F.abs(m["skew"]) >= SKEW_WARN, F.format_string("Document skew detected (%+.1f°). Automatic deskew recommended.", m["skew"])),
+        F.when(empty, "There are no pixels to read."), F.when(m["blur"] < BLUR, F.format_string("Edges are soft (variance %.1f): letters may be misread.", m["blur"])),
+        F.when(m["brightness"] < DARK, F.format_string("Dark on the whole (mean %.1f of 255).", m["brightness"])), F.when(m["brightness"] > BRIGHT, F.format_string("Bright on the whole (mean %.1f of 255).", m["brightness"])),
+        F.when(m["contrast"] < CONTRAST, F.format_string("Letters stand out little from the paper (contrast %.1f).", m["contrast"])), F.when(~empty & (F.least(w, h) < LEAST_SIDE), F.format_string("Small image (%d by %d): 300 pixels a side are needed.", w, h)),
+        F.when(F.abs(m["skew"]) >= SKEW_WARN, F.format_string("Lines are tilted (%+.1f°).", m["skew"])),
     ))
     out = F.struct(
         F.coalesce(w, F.lit(0)).alias("width"), F.coalesce(h, F.lit(0)).alias("height"), F.coalesce(m["blur"] < BLUR, F.lit(True)).alias("is_blurry"), F.round(m["blur"], 2).alias("blur_score"), F.round(m["brightness"], 2).alias("brightness"),
@@ -155,8 +162,72 @@ def plan(width: Column, height: Column, measures: Column) -> Column:
     return F.struct(tilted.alias("deskew"), scale.alias("scale"), (measures["shadow"] > SHADOW).alias("flatten"), clahe.alias("clahe"), tilted.alias("corrected"))
 
 
+#: Share of an image that a page on a dark ground covers at least, and its least side in pixels.
+QUAD_SHARE, QUAD_SIDE = 0.35, 150
+#: Tiles of local contrast along each side.
+TILES = 8
+
+
+def page_corners(image: np.ndarray) -> np.ndarray | None:
+    """Corners of a bright page on a dark ground, from the upper left clockwise, or None where the page fills the image, is
+    too small, or is no convex quadrangle."""
+    g = gray(image)
+    bright = g > otsu(g)
+    y, x = np.nonzero(bright)
+    if not len(y) or bright[[0, 0, -1, -1], [0, -1, 0, -1]].any():
+        return None
+    at = [(x + y).argmin(), (x - y).argmax(), (x + y).argmax(), (x - y).argmin()]
+    corners = np.stack([x[at], y[at]], 1).astype(float)
+    sides = np.roll(corners, -1, 0) - corners
+    turns = sides[:, 0] * np.roll(sides, -1, 0)[:, 1] - sides[:, 1] * np.roll(sides, -1, 0)[:, 0]
+    area = abs(np.sum(corners[:, 0] * np.roll(corners[:, 1], -1) - np.roll(corners[:, 0], -1) * corners[:, 1])) / 2
+    good = (turns > 0).all() and area >= QUAD_SHARE * g.size and np.hypot(*sides.T).min() >= QUAD_SIDE
+    return corners if good else None
+
+
+def straightened(image: np.ndarray) -> np.ndarray:
+    """The page of ``page_corners`` seen from above; the image itself where there is none."""
+    corners = page_corners(image)
+    if corners is None:
+        return image
+    sides = np.hypot(*(np.roll(corners, -1, 0) - corners).T)
+    width, height = int(max(sides[0], sides[2])), int(max(sides[1], sides[3]))
+    flat = np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], float)
+    rows, right = [], []
+    for (u, v), (x, y) in zip(flat, corners):  # from flat places back to the image's
+        rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+        right += [x, y]
+    a, b, c, d, e, f, p, q = np.linalg.solve(np.array(rows), np.array(right))
+    v, u = np.mgrid[0:height, 0:width]
+    w = p * u + q * v + 1
+    x, y = np.clip(np.rint((a * u + b * v + c) / w), 0, image.shape[1] - 1).astype(int), np.clip(np.rint((d * u + e * v + f) / w), 0, image.shape[0] - 1).astype(int)
+    return image[y, x]
+
+
+def equalized(image: np.ndarray, limit: float) -> np.ndarray:
+    """Contrast evened out in tiles: each tile's counts are cut at ``limit`` times their mean, what is cut is spread, and a pixel
+    takes a mean of the four tiles around it."""
+    h, w = image.shape
+    edges = [np.linspace(0, n, TILES + 1).astype(int) for n in (h, w)]
+    maps = np.empty((TILES, TILES, 256))
+    for i in range(TILES):
+        for j in range(TILES):
+            tile = image[edges[0][i] : edges[0][i + 1], edges[1][j] : edges[1][j + 1]]
+            counts = np.bincount(tile.ravel(), minlength=256).astype(float)
+            most = max(1.0, limit * tile.size / 256)
+            over = np.maximum(counts - most, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(counts, most) + over / 256) * 255 / max(tile.size, 1)
+    place = [np.clip((np.arange(n) + 0.5) * TILES / n - 0.5, 0, TILES - 1) for n in (h, w)]
+    low = [np.minimum(p.astype(int), TILES - 2) for p in place]
+    fy, fx = (place[0] - low[0])[:, None], (place[1] - low[1])[None, :]
+    at = lambda i, j: maps[(low[0] + i)[:, None], (low[1] + j)[None, :], image]
+    mixed = (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
+
+
 def preprocessed(image: np.ndarray) -> np.ndarray:
-    """Deskewed, scaled and flattened gray pixels by the same decisions; contrast is stretched, not tiled."""
+    """Straightened, deskewed, scaled and flattened gray pixels with even contrast, by the decisions of ``plan``."""
+    image = straightened(image)
     m = measure(image)
     out = deskewed(gray(image), m["skew"]) if abs(m["skew"]) >= SKEW_FIX else gray(image)
     h, w = out.shape
@@ -168,8 +239,7 @@ def preprocessed(image: np.ndarray) -> np.ndarray:
         back = resized(resized(out, max(1, out.shape[1] // 50), max(1, out.shape[0] // 50)), out.shape[1], out.shape[0])
         out = np.clip(out / (back + 1e-5) * 255, 0, 255).astype(np.uint8)
     if m["text_contrast"] < TEXT_CONTRAST and not m["flat"] and m["contrast"] < DULL:
-        low, high = np.percentile(out, (1, 99))
-        out = np.clip((out - low) / max(high - low, 1) * 255, 0, 255).astype(np.uint8)
+        out = equalized(out, 2.0 if m["contrast"] < FADED else 1.2)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioscope-"))
+        if shared is None:
+            shared = tempfile.mkdtemp(prefix="folioscope-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
 
 
 def cut(frame: DataFrame) -> DataFrame:

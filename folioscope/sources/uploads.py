@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +20,56 @@ ALIASES = {"image/jpg": "image/jpeg", "image/x-ms-bmp": "image/bmp"}
 SIGNATURES = [("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"), ("424D", "image/bmp")]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of uploads; ``of`` reads those that the session sets as ``folioscope.limit.<name>``, and refuses other than positive ones."""
+
+    upload_mb: int = UPLOAD_MB
+    document_pages: int = DOCUMENT_PAGES
+    pixels: int = PIXELS
+    document_pixels: int = DOCUMENT_PIXELS
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Limits:
+        found = {f.name: int(spark.conf.get(f"folioscope.limit.{f.name}", str(f.default))) for f in fields(cls)}
+        if bad := [n for n, v in found.items() if v <= 0]:
+            raise ValueError(f"limits must be positive: {', '.join(bad)}")
+        return cls(**found)
+
+
+def tiff_frames(content: bytes | None) -> list[tuple[int, int]]:
+    """(width, height) of every frame of a TIFF file, from its directories alone; a directory that lies beyond the bytes, or is
+    met twice, ends the list, and other files have no frames."""
+    if not content or content[:4] not in (b"II*\0", b"MM\0*"):
+        return []
+    order = "<" if content[:2] == b"II" else ">"
+    out, seen, at = [], set(), struct.unpack_from(f"{order}I", content, 4)[0] if len(content) >= 8 else 0
+    while at and at not in seen and at + 2 <= len(content):
+        seen.add(at)
+        (n,) = struct.unpack_from(f"{order}H", content, at)
+        if at + 2 + 12 * n + 4 > len(content):
+            break
+        size = {}
+        for k in range(n):
+            tag, kind, _, value = struct.unpack_from(f"{order}HHI4s", content, at + 2 + 12 * k)
+            if tag in (256, 257):
+                size[tag] = struct.unpack(f"{order}H", value[:2])[0] if kind == 3 else struct.unpack(f"{order}I", value)[0]
+        out.append((size.get(256, 0), size.get(257, 0)))
+        (at,) = struct.unpack_from(f"{order}I", content, at + 2 + 12 * n)
+    return out
+
+
+def document_frames(uploads: DataFrame) -> DataFrame:
+    """(doc_id, page_number, width, height) of the frames of TIFF uploads (doc_id, content), a page each; the pixels are not decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, i, w, h) for d, c in zip(batch["doc_id"], batch["content"]) for i, (w, h) in enumerate(tiff_frames(c), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_number", "width", "height"])
+
+    return uploads.select("doc_id", "content").mapInPandas(run, "doc_id BIGINT, page_number INT, width INT, height INT")
+
+
 def read_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files under the size limit as (path, size_bytes, content); larger ones are never read, as the length is pushed down."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

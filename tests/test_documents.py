@@ -187,3 +187,66 @@ def test_the_rest_stands_alone():
         if "llm" not in path.relative_to(root).parts:
             tree = ast.parse(path.read_text())
             assert not any("llm" in (getattr(n, "module", None) or "") for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)), path
+
+
+def test_pages_on_dark_ground_and_transparency():
+    ground = np.full((500, 700), 20, np.uint8)
+    quad = np.array([[120, 60], [600, 90], [580, 430], [100, 400]], float)
+    y, x = np.mgrid[0:500, 0:700]
+    inside = np.ones(ground.shape, bool)
+    for (ax, ay), (bx, by) in zip(quad, np.roll(quad, -1, 0)):
+        inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
+    ground[inside] = 230
+    assert np.abs(images.page_corners(ground) - quad).max() <= 2
+    flat = images.straightened(ground)
+    assert (flat > 200).mean() > 0.99 and abs(flat.shape[1] - 480) <= 6 and images.straightened(flat) is flat
+    assert images.page_corners(np.full((300, 300), 200, np.uint8)) is None
+    clear = np.zeros((2, 2, 4), np.uint8)
+    clear[0, 0, 3] = 255
+    assert images.on_white(clear)[0, 0].tolist() == [0, 0, 0] and images.on_white(clear)[1, 1].tolist() == [255] * 3
+    rng = np.random.default_rng(0)
+    dull = rng.integers(100, 130, (200, 240)).astype(np.uint8)
+    assert images.equalized(dull, 2.0).std() > dull.std() and images.equalized(dull, 2.0).shape == dull.shape
+
+
+def tiff(sizes, order="<"):
+    import struct
+
+    out, at = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}I", 8), 8
+    for i, (w, h) in enumerate(sizes):
+        at += 2 + 24 + 4
+        out += struct.pack(f"{order}H", 2) + struct.pack(f"{order}HHIHH", 256, 3, 1, w, 0) + struct.pack(f"{order}HHII", 257, 4, 1, h) + struct.pack(f"{order}I", at if i + 1 < len(sizes) else 0)
+    return out
+
+
+def test_frames_and_limits(spark):
+    sizes = [(100, 200), (300, 40), (7, 9)]
+    assert U.tiff_frames(tiff(sizes)) == U.tiff_frames(tiff(sizes, ">")) == sizes
+    assert U.tiff_frames(None) == U.tiff_frames(b"") == U.tiff_frames(b"II*\0") == U.tiff_frames(b"\x89PNG....") == [] and len(U.tiff_frames(tiff(sizes)[:-3])) == 2
+    rows = spark.createDataFrame([(1, tiff(sizes)), (2, None), (3, b"x")], "doc_id BIGINT, content BINARY")
+    assert {(r.doc_id, r.page_number, r.width, r.height) for r in U.document_frames(rows).collect()} == {(1, i, *s) for i, s in enumerate(sizes, 1)}
+    assert U.Limits.of(spark) == U.Limits()
+    spark.conf.set("folioscope.limit.upload_mb", "3")
+    try:
+        assert U.Limits.of(spark).upload_mb == 3
+        spark.conf.set("folioscope.limit.upload_mb", "0")
+        with pytest.raises(ValueError):
+            U.Limits.of(spark)
+    finally:
+        spark.conf.unset("folioscope.limit.upload_mb")
+
+
+def test_items_lines_and_labels(spark):
+    """Items from tables, confidences from lines, birth dates beside labels, signatures from the layout."""
+    rows = [
+        (1, 1, "INVOICE\nInvoice No: A-17", [("invoice no: a-17", 0.71)], [["Item", "Qty", "Unit price", "Total"], ["Pen", "2", "1.50", "3.00"], ["odd"]], None),
+        (2, 1, "بطاقة تحقيق الشخصية\nAhmed Samir\nDate of birth\n04/05/1990", None, None, None), (3, 1, "Lease Contract\nbetween two", None, None, True),
+    ]
+    pages = spark.createDataFrame(rows, "doc_id BIGINT, page_number INT, text STRING, page_lines ARRAY<STRUCT<text STRING, confidence DOUBLE>>, page_table ARRAY<ARRAY<STRING>>, page_signed BOOLEAN")
+    known = extraction.registered()
+    of = lambda kind, doc: {(r.field_name, r.value): r.confidence for r in extraction.eav(pages.where(f"doc_id = {doc}"), known[kind], "specialised", kind).collect()}
+    invoice = of("invoice", 1)
+    assert invoice[("items", "Pen | 2.0 | 1.5 | 3.00")] == 0.92 and invoice[("invoice_number", "A-17")] == 0.71 and ("quantities", "2.0") in invoice and not any("odd" in v for _, v in invoice)
+    assert of("id_card", 2)[("birth_date", "04/05/1990")] == 0.95 and ("signatures_detected", "true") in of("contract", 3)
+    both = extraction.extract(pages.withColumn("category", F.lit("invoice"))).where("doc_id = 1").collect()
+    assert {r.source for r in both} == {"generic", "specialised"} and len(both) == len({(r.field_name, r.seq) for r in both})
