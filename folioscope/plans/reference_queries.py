@@ -167,18 +167,32 @@ def q_folding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: Lines of cards with their corrections: the cases a corrector must know.
-CORRECTIONS = [
-    ("جمهوز مصر صنالح", "جمهورية مصر العربية", False), ("بطاقه تحقيق الشخصيه", "بطاقة تحقيق الشخصية", True), ("محمل سعيل", "محمد سعيد", False), ("عبا الرحمن", "عبد الرحمن", False), ("شارع الاسكندريه | القاهره", "شارع الإسكندرية القاهرة", False),
-    ("ابراهيم   طارف", "إبراهيم طارق", False), ("plain text", "plain text", False), ("", "", False), ("  الجيزه ~ قسم  ", "الجيزة قسم", False), ("المحمل", "المحمل", False),
-]
+def _replaced(col: str, wrong: str, right: str) -> str:
+    """A word replaced between boundaries; twice, as neighbours share one."""
+    one = lambda c: f"regexp_replace({c}, '(^|[^\\p{{L}}\\p{{N}}_]){wrong}($|[^\\p{{L}}\\p{{N}}_])', '\\1{right}\\{2 + wrong.count('(')}', 'g')"
+    return one(one(col))
+
+
+_PLAIN = f"regexp_replace({strip_('text')}, '[{C.TASHKEEL}]', '', 'g')"
+_BOUND = {"(?<![\\p{L}\\p{N}_])": "(?:^|[^\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])": "(?:$|[^\\p{L}\\p{N}_])"}
+
+
+def _like_any(col: str, patterns: list[str]) -> str:
+    for look, plain in _BOUND.items():
+        patterns = [p.replace(look, plain) for p in patterns]
+    return "(" + " OR ".join(f"regexp_matches({col}, '{p}')" for p in patterns) + ")"
+
 
+_STEPS = [("عبا\\s+(" + "|".join(C.ABD_NAMES) + ")", "عبد \\2"), *(C.NAME_REPAIRS | C.PLACE_REPAIRS).items()]
+_WITH = ", ".join(["f0 AS MATERIALIZED (SELECT DISTINCT text, " + strip_("text") + " AS x FROM blocks WHERE text IS NOT NULL)", *(f"f{i} AS (SELECT text, {_replaced('x', w, r)} AS x FROM f{i - 1})" for i, (w, r) in enumerate(_STEPS, 1))])
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', '{b}', {str(c).lower()})" for i, (a, b, c) in enumerate(CORRECTIONS)) + ") AS v(id, line, corrected, card_title)")
+
+@query(f"""WITH {_WITH} SELECT text AS line, CASE WHEN text = '' THEN '' WHEN {_like_any(_PLAIN, C.HEADER_PATTERNS)} AND NOT {any_(strip_('text'), C.CARD_WORDS)} THEN '{C.HEADER}' WHEN {_like_any(_PLAIN, C.CARD_PATTERNS)} THEN '{C.CARD_TITLE}'
+  ELSE {strip_("regexp_replace(regexp_replace(x, '[؛«»^~|_]+', ' ', 'g'), '[" + chr(92) + "s" + chr(92) + "p{Z}]{2,}', ' ', 'g')")} END AS corrected, {_like_any(_PLAIN, C.CARD_PATTERNS)} AS card_title FROM f{len(_STEPS)}""")
 def q_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """Corrected lines and card titles."""
-    rows = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(CORRECTIONS)], "id BIGINT, line STRING")
-    return rows.select("id", "line", T.corrected_line(F.col("line")).alias("corrected"), T.is_card_title(F.col("line")).alias("card_title"))
+    """Corrections and card titles of all recognised lines."""
+    rows = table(spark, d, "blocks", "text").where("text IS NOT NULL").distinct()
+    return rows.select(F.col("text").alias("line"), T.corrected_line(F.col("text")).alias("corrected"), T.is_card_title(F.col("text")).alias("card_title"))
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, 'جمهورية مصر العربية|بطاقة تحقيق الشخصية|محمد علي'), (2::BIGINT, 'تحقيق|محمود|القاهرة')) AS v(id, corrected)")
@@ -275,12 +289,21 @@ def q_pass_merge(spark: SparkSession, d: str) -> DataFrame:
     return recognition.merged_passes(first.drop("height"), second.drop("height")).select("doc_id", *big("page_number"), "label", *big("block_count"), r6("average_confidence").alias("average_confidence"))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 0::BIGINT, 1::BIGINT), (1::BIGINT, 2::BIGINT, 1::BIGINT, 2::BIGINT), (2::BIGINT, 1::BIGINT, 2::BIGINT, 3::BIGINT)) AS v(doc_id, page_number, attempt_no, attempts)""")
+_TRIES = f"""SELECT doc_id, page_number, k AS attempt_no, k * 90 AS rotation, least(1.0, coalesce(a, 0) * (0.7::DOUBLE + 0.2::DOUBLE * k)) AS average, least(1.0, p / 200.0::DOUBLE * (0.7::DOUBLE + 0.2::DOUBLE * k)) AS composite, greatest(n - 4 * k, 0) AS blocks
+  FROM (SELECT doc_id, page_number, a, n, least(p, 200) AS p FROM ({_SCORED})), range(0, 4) AS r(k)"""
+
+
+@query(f"""WITH t AS (SELECT *, coalesce(sum((rotation <> 0 AND average >= 0.80 AND composite >= 0.70)::INT) OVER (PARTITION BY doc_id, page_number ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_TRIES}))
+  SELECT doc_id, page_number::BIGINT AS page_number, first(attempt_no ORDER BY composite DESC, attempt_no)::BIGINT AS attempt_no, count(*)::BIGINT AS attempts FROM t WHERE before = 0 AND (attempt_no = 0 OR blocks > 0) GROUP BY ALL""")
 def q_best_attempt(spark: SparkSession, d: str) -> DataFrame:
-    """The attempt that is kept."""
-    rows = [(1, 1, 0, 0, .6, .7, 5), (1, 2, 0, 0, .2, .3, 1), (1, 2, 1, 90, .9, .9, 8), (1, 2, 2, 270, .95, .9, 9), (2, 1, 0, 0, .3, .2, 2), (2, 1, 1, 90, .4, .3, 0), (2, 1, 2, 270, .45, .5, 3), (2, 1, 3, 180, .40, .5, 3)]
-    attempts = spark.createDataFrame(rows, "doc_id BIGINT, page_number BIGINT, attempt_no BIGINT, rotation INT, composite DOUBLE, average DOUBLE, block_count INT")
-    return recognition.best_attempt(attempts).select("doc_id", "page_number", "attempt_no", "attempts")
+    """The attempt that is kept of every page: as it is and turned three times, each reading surer and of fewer blocks."""
+    page = recognition.page_quality(_blocks(spark, d)).withColumn("attempt_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    better = 0.7 + 0.2 * F.col("attempt_no").cast("double")
+    attempts = page.select(
+        "doc_id", "page_number", "attempt_no", (F.col("attempt_no") * 90).alias("rotation"), F.least(F.lit(1.0), F.coalesce("avg_confidence", F.lit(0.0)) * better).alias("average"),
+        F.least(F.lit(1.0), F.least("char_count", F.lit(200)) / 200.0 * better).alias("composite"), F.greatest(F.col("block_count") - 4 * F.col("attempt_no"), F.lit(0)).alias("block_count"),
+    )
+    return recognition.best_attempt(attempts).select("doc_id", *big("page_number", "attempt_no", "attempts"))
 
 
 @query("""SELECT doc_id, count(*)::BIGINT AS page_count, coalesce(bool_or(needs_review), false) AS needs_review, string_agg(coalesce(text, ''), chr(10) || chr(12) || chr(10) ORDER BY page_number) AS text
@@ -752,6 +775,33 @@ def q_extract_passport(spark: SparkSession, d: str) -> DataFrame:
     return _values(extraction.eav(_pages(spark, d, "passport"), extraction.registered()["passport"], "specialised", "passport"), *_PASSPORT)
 
 
+_VALID = lambda n: f"(length({n}) = 14 AND {n}[1] IN ('2', '3') AND coalesce(try_strptime({_BORN.replace('n[', n + '[')}, '%Y-%m-%d') <= DATE '2026-01-01', false) AND {_GOV}[{n}[8:9]] IS NOT NULL)"
+_GROUPS = "regexp_extract_all(v, '[0-9]+')"
+_TURNED = f"array_to_string(list_reverse({_GROUPS}), '')"
+_REPAIRED = f"CASE WHEN {n_('v', '0-9')} > length(regexp_replace(v, '[^' || chr(92) || 'p{{L}}]', '', 'g')) AND {n_('v', '0-9')} >= 10 AND len({_GROUPS}) > 1 AND regexp_matches({_TURNED}, '^[23][0-9]{{13}}$') THEN {_TURNED} ELSE v END"
+_JOINED = "regexp_replace(regexp_replace({0}, '([0-9])[ \t]+([0-9])', '\\1\\2', 'g'), '([0-9])[ \t]+([0-9])', '\\1\\2', 'g')"
+_CARD = f"""SELECT doc_id, page_number, list_filter(list_transform(regexp_split_to_array({digits_('raw_text')}, '{C.LINE_ENDS}'), lambda v: {strip_("translate(" + _JOINED.format(_REPAIRED) + ", '|_-؛;:.,»«', '          ')")}), lambda v: v <> '') AS ls
+  FROM ({_DISTINCT}) WHERE document_type = 'id_card'"""
+_BARE = "regexp_replace({0}, '[^0-9]', '', 'g')"
+_NUMBERS = f"""SELECT *, coalesce(
+  list_filter(flatten(list_transform(ls, lambda v: regexp_extract_all(v, '(?:^|[^{_W}])([23][0-9]{{13}})(?:$|[^{_W}])', 1))), lambda z: {_VALID('z')})[1],
+  list_filter(flatten(list_transform(list_filter(list_transform(ls, lambda v: {_BARE.format('v')}), lambda z: length(z) >= 14), lambda z: list_transform(range(1, length(z) - 12), lambda i: z[i:i + 13]))), lambda z: {_VALID('z')})[1],
+  list_filter(flatten(list_transform(range(1, len(sm)), lambda i: [sm[i] || sm[i + 1], sm[i + 1] || sm[i]])), lambda z: regexp_matches(z, '^[23][0-9]{{13}}$') AND {_VALID('z')})[1]) AS n
+  FROM (SELECT *, list_transform(list_filter(ls, lambda v: {n_('v', '0-9')} >= 2), lambda v: {_BARE.format('v')}) AS sm FROM ({_CARD}))"""
+_LABELLED = f"(?:^|[^{_W}])([0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}|[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}})(?:$|[^{_W}])"
+_BESIDE = f"list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN {any_('lower(ls[i])', C.BIRTH_LABELS)} THEN coalesce(nullif(regexp_extract(ls[i], '{_LABELLED}', 1), ''), nullif(regexp_extract(ls[i + 1], '{_LABELLED}', 1), '')) END), lambda z: z IS NOT NULL)[1]"
+_HELD = {
+    "national_id": "n", "birth_date": f"coalesce(try_strptime({_BORN}, '%Y-%m-%d')::DATE::VARCHAR, {_BESIDE})", "gender": "CASE WHEN n IS NOT NULL THEN CASE WHEN n[13]::INT % 2 <> 0 THEN 'Male' ELSE 'Female' END END",
+    "governorate": f"{_GOV}[n[8:9]]", "governorate_code": "n[8:9]",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, '{k}' AS field_name, {v} AS value FROM ({_NUMBERS}) WHERE {v} IS NOT NULL" for k, v in _HELD.items()))
+def q_id_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of identity cards, printed, in longer runs or in two lines, what they hold, and birth dates beside labels."""
+    return _values(extraction.eav(_pages(spark, d, "id_card"), extraction.registered()["id_card"], "specialised", "id_card"), *_HELD)
+
+
 @query()
 def q_extract_id_card(spark: SparkSession, d: str) -> DataFrame:
     """All fields of identity cards."""
@@ -810,6 +860,30 @@ def q_extract_others(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "extractor", "field_name", "value")
 
 
+_PARTY = "([A-Za-z\\x{0600}-\\x{06FF}0-9\\s\\p{Z}.,]+)"
+_ANY_DAY = found_(f"(?:^|[^{_W}])({_DAY})(?:$|[^{_W}])")
+_PROSE = {
+    "contract": {
+        "title": f"[list_filter({lines_('raw_text')}[1:4], lambda v: {any_('v', ['عقد', 'اتفاقية', 'Agreement', 'Contract', 'Memorandum'])})[1]]", "first_party": f"[{first_line_(found_(f'(?:الطرف{_Z}*الأول|First{_Z}*Party){_E}{_PARTY}'))}]",
+        "second_party": f"[{first_line_(found_(f'(?:الطرف{_Z}*(?:الثاني|الثانى)|Second{_Z}*Party){_E}{_PARTY}'))}]", "date": f"[regexp_extract_all(raw_text, '(?i)(?:تاريخ{_Z}*التحرير|حرر{_Z}*في|الموافق|Date|dated){_E}({_DAY})', 1)[1]]",
+        "clauses": f"list_filter(list_transform(regexp_extract_all(raw_text, '(?i)(?:(?:البند|المادة|الفصل){_Z}*[\\x{{0600}}-\\x{{06FF}}0-9]+|Article{_Z}*\\p{{Nd}}+|Clause{_Z}*\\p{{Nd}}+)[^\\n]*'), lambda v: {strip_('v')}), lambda v: length(v) > 3 AND length(v) < 120)[1:15]",
+        "signatures_detected": f"[CASE WHEN {any_('raw_text', ['توقيع', 'التوقيعات', 'Signature', 'Signatures', 'Signed by'])} THEN 'true' END]",
+    },
+    "report": {"report_title": f"[{lines_('raw_text')}[1]]", "date": f"[{_ANY_DAY}]", "author": f"[{first_line_(found_(f'(?:prepared{_Z}*by|author|إعداد|بواسطة){_E}{_NAMES}'))}]"},
+    "letter": {"recipient": f"[{first_line_(found_(f'(?:السيد{_Z}*/|عناية{_Z}*/|to{_Z}*:|dear{_Z}+){_NAMES}'))}]", "subject": f"[{strip_(found_(f'(?:الموضوع|subject|re){_E}([^\\n]+)'))}]", "date": f"[{_ANY_DAY}]"},
+}
+
+
+@query(" UNION ALL ".join(f"SELECT DISTINCT doc_id, page_number::BIGINT AS page_number, '{kind}' AS extractor, '{n}' AS field_name, v AS value FROM (SELECT doc_id, page_number, unnest({e}) AS v FROM ({_DISTINCT}) WHERE document_type = '{kind}') WHERE v <> ''" for kind, of in _PROSE.items() for n, e in of.items()))
+def q_extract_prose(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of all reports, letters and contracts."""
+    out = None
+    for kind, of in _PROSE.items():
+        part = extraction.eav(_pages(spark, d, kind), extraction.registered()[kind], "specialised", kind).where(F.col("field_name").isin(list(of)))
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", *big("page_number"), "extractor", "field_name", "value").distinct()
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     pages = _texts(spark, d, "raw_text", "width", "height").withColumnRenamed("raw_text", "text").distinct()
     return classification.classify(spread(pages))
