@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,7 @@ SUBTYPES: dict[str, dict[str, str]] = {
 }
 
 
+@lru_cache(100_000)
 def canonical(key: str) -> str:
     """``lineNumber``, ``Line-Number`` and ``line_number`` are one key."""
     out = []
