@@ -3,6 +3,7 @@ import random
 import pytest
 
 from folioscope.llm import addresses, names, strings
+from folioscope.plans.materialize import cut
 
 
 def edit(a, b):
@@ -56,6 +57,24 @@ def test_persons(spark):
     assert names.persons(spark.createDataFrame([], "doc_id BIGINT, extractor STRING, field_name STRING, value STRING")).count() == 0
 
 
+def test_persons_read_the_table_once_in_few_plans(spark, tmp_path, monkeypatch):
+    """What the driver holds grows with plans, exchanges and tasks; counted before any round of linking."""
+    rows = [(i, "IDCardExtractor", "name", f"Patricia Legopuvan{c}") for i, c in enumerate("abcd")] + [(9, "PassportExtractor", "surname", "LEGOPUVAN"), (9, "PassportExtractor", "given_names", "PATRIZIA"), (10, "CVExtractor", "name", "Dr.")]
+    spark.createDataFrame(rows, "doc_id BIGINT, extractor STRING, field_name STRING, value STRING").write.parquet(str(tmp_path / "fields"))
+    plans = []
+
+    def kept(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return cut(frame)
+
+    monkeypatch.setattr(names, "cut", kept)
+    out = names.persons(spark.read.parquet(str(tmp_path / "fields")))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len({r.person for r in out.where("doc_id < 10").collect()}) == 1 and out.where("doc_id = 10").first().person is None
+    assert sum(p.count("FileScan parquet") for p in plans) == 1
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 40
+
+
 def test_buildings(spark):
     """Forty streets of two towns, some houses written in many ways; rewrites are mined from them alone."""
     rnd = random.Random(7)
