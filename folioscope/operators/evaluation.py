@@ -11,24 +11,48 @@ from folioscope.functions.text import words_of
 _BASE = 0xFFFF
 
 
-def token_text(tokens: Column, vocabulary: Column) -> Column:
-    """Tokens as a text of one character each, so that the built-in edit distance counts tokens."""
+def token_text(tokens: Column, vocabulary: Column, symbols: Column) -> Column:
+    """Tokens as a text of one character each, so that the built-in edit distance counts tokens.
 
-    def symbol(t: Column) -> Column:
-        n = F.array_position(vocabulary, t) + F.lit(_BASE)
-        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    ``vocabulary`` and ``symbols`` must be columns that stand already: what a lambda holds is computed for every token.
+    """
+    return F.array_join(F.transform(tokens, lambda t: F.element_at(symbols, F.array_position(vocabulary, t).cast("int"))), "")
 
-    return F.array_join(F.transform(tokens, symbol), "")
+
+def _symbols(vocabulary: Column) -> Column:
+    """A character for each place of the vocabulary."""
+    return F.transform(vocabulary, lambda _, i: F.decode(F.unhex(F.lpad(F.hex(i + F.lit(_BASE + 1)), 8, "0")), "UTF-32"))
+
+
+#: Edits within which the band of the edit distance is tried first; a wider one takes a share of 1 / WIDE of the text.
+BANDS, WIDE = (16, 64), 8
+
+
+def _with_distance(rows: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """Adds the exact edit distance of two texts that are not null.
+
+    A band of k edits either gives the distance or tells that it is larger, in time k times the length in place of the
+    square; only texts that differ by more than every band are compared in full.
+    """
+    found, shorter = F.col(name), F.least(F.length(a), F.length(b))
+    out = rows.withColumn(name, F.when(F.col(a) == F.col(b), 0).otherwise(F.levenshtein(a, b, BANDS[0])))
+    for k in BANDS[1:]:
+        out = out.withColumn(name, F.when(found >= 0, found).otherwise(F.levenshtein(a, b, k)))
+    wide = F.call_function("levenshtein", F.col(a), F.col(b), F.floor(shorter / WIDE).cast("int"))
+    out = out.withColumn(name, F.when((found >= 0) | (shorter <= WIDE * BANDS[-1]), found).otherwise(wide))
+    return out.withColumn(name, F.when(found >= 0, found).otherwise(F.levenshtein(a, b)))
 
 
 def text_metrics(rows: DataFrame, expected: str = "expected_text", actual: str = "actual_text") -> DataFrame:
     """Adds character_errors, word_errors, expected_characters, expected_words, cer, wer, exact_match; null counts as empty."""
     e, a = (F.coalesce(F.col(c), F.lit("")) for c in (expected, actual))
-    ew, aw = words_of(e), words_of(a)
-    known = F.array_distinct(F.concat(ew, aw))
-    out = rows.withColumns({
-        "character_errors": F.levenshtein(e, a), "word_errors": F.levenshtein(token_text(ew, known), token_text(aw, known)), "expected_characters": F.length(e), "expected_words": F.size(ew), "exact_match": e == a,
-    })
+    out = rows.withColumns({"_e": e, "_a": a}).withColumns({"_ew": words_of(F.col("_e")), "_aw": words_of(F.col("_a"))})
+    out = out.withColumn("_known", F.when(F.col("_ew") != F.col("_aw"), F.array_distinct(F.concat("_ew", "_aw"))))
+    out = out.withColumn("_symbols", _symbols(F.col("_known")))
+    # pages of the same words have no vocabulary and no word errors
+    out = out.withColumns({f"{c}t": F.coalesce(token_text(F.when(F.col("_known").isNotNull(), F.col(c)), F.col("_known"), F.col("_symbols")), F.lit("")) for c in ("_ew", "_aw")})
+    out = _with_distance(_with_distance(out, "character_errors", "_e", "_a"), "word_errors", "_ewt", "_awt")
+    out = out.withColumns({"expected_characters": F.length("_e"), "expected_words": F.size("_ew"), "exact_match": F.col("_e") == F.col("_a")}).drop("_e", "_a", "_ew", "_aw", "_known", "_symbols", "_ewt", "_awt")
     return out.withColumns({c: F.col(f"{n}_errors") / F.greatest(F.col(f"expected_{n}s"), F.lit(1)) for c, n in (("cer", "character"), ("wer", "word"))})
 
 

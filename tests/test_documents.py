@@ -147,6 +147,24 @@ def test_word_errors_match_the_model(spark):
         assert (r.character_errors, r.word_errors) == (edit(e, a), edit(e.split(), a.split()))
 
 
+def test_distances_of_long_texts_are_exact(spark):
+    """Texts on both sides of every band, and of none; the words of a page are split once, not for every word."""
+    rnd = random.Random(3)
+    rows = []
+    for i, (n, edits) in enumerate([(30, 40), (200, 3), (200, 15), (200, 22), (300, 70), (300, 90), (700, 60), (700, 90), (700, 400), (900, 0)]):
+        text = [rnd.choice("ab cdى 𝄞é") for _ in range(n)]
+        other = list(text)
+        for _ in range(edits):
+            k = rnd.randrange(len(other) + 1)
+            other[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "ش"])
+        rows += [(i, "".join(text), "".join(other)), (100 + i, "".join(other), "".join(text))]
+    scored = evaluation.text_metrics(spark.createDataFrame(rows, "id INT, expected_text STRING, actual_text STRING"))
+    for r in scored.collect():
+        e, a = r.expected_text, r.actual_text
+        assert (r.character_errors, r.word_errors, r.expected_characters, r.expected_words, r.exact_match) == (edit(e, a), edit(e.split(), a.split()), len(e), len(e.split()), e == a)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+
+
 def test_uploads(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"\x89PNG\r\n\x1a\n1234")
     (tmp_path / "b.bin").write_bytes(b"")
